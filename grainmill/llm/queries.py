@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from grainmill.llm.embeddings import op5_embedding_dups
 from grainmill.llm.lm import op3_lm_scores
 from grainmill.llm.merkle import op10_fingerprints
 from grainmill.llm.mixing import op7_mixing
 from grainmill.llm.simhash import op1_simhash
 from grainmill.llm.token_files import op2_token_files
+from grainmill.llm.toxicity import op4_toxicity
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_token_files": op2_token_files, "op3_lm_scores": op3_lm_scores, "op7_mixing": op7_mixing, "op10_fingerprints": op10_fingerprints}
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_token_files": op2_token_files,
+    "op3_lm_scores": op3_lm_scores,
+    "op4_toxicity": op4_toxicity,
+    "op5_embedding_dups": op5_embedding_dups,
+    "op7_mixing": op7_mixing,
+    "op10_fingerprints": op10_fingerprints,
+}
 ORACLE: dict[str, str] = {}
