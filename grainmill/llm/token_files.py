@@ -11,6 +11,7 @@ the named columns are read."""
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,46 +23,81 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from grainmill.llm.simple8b import Reader, Writer
-from grainmill.llm.words import Numbering, Ragged, slices
+from grainmill.llm.words import Numbering, Ragged, slices, sums_by
 from grainmill.session import Written, new_path
 
 END = 1
-#: Distinct chunks remembered per task, and the longest that is remembered: bounds on memory only.
-REMEMBERED, LONGEST = 400_000, 64
+#: Distinct chunks remembered by a Python worker, a bound on its memory only.
+REMEMBERED = 1_000_000
+#: Words encoded by one call; their ids are told apart by the word-end mark.
+TOGETHER = 512
+#: A full stop or comma after a letter is a chunk of its own to the tokenizer as well.
+STOP = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D]|$)")
 
 
 class ChunkEncoder:
     """Encodes texts by their white-space-free chunks, each distinct chunk once. The tokenizer drops white space before
-    it merges, so a text's ids are those of its chunks."""
+    it merges and lowers case, so a text's ids are those of its chunks with A-Z lowered. Texts that may hold a special
+    token (they match by case) are cut at white space only."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._reset()
 
     def _reset(self) -> None:
         self.known, self.ids = Numbering(), Ragged(np.uint32)
-
-    def _encode(self, chunks: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch([c.decode() for c in chunks], add_special_tokens=False)]
+        self.known[b""] = 0  # no chunk is empty: 0 is the end of a text
+        self.ids.extend([[END]])
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        texts = [c.decode() for c in chunks]
+        runs: list = [None] * len(texts)
+        words = [i for i, t in enumerate(texts) if t.isalpha()]
+        rest = [i for i, t in enumerate(texts) if not t.isalpha()]
+        for at in range(0, len(words), TOGETHER):
+            some = words[at : at + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(texts[i] for i in some)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.nonzero(self.ends[ids])[0] + 1
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                for i, run in zip(some, np.split(ids, ends[:-1]), strict=True):
+                    runs[i] = run
+            else:  # a word that the tokenizer cuts
+                rest += some
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            runs[i] = np.array(e.ids, np.uint32)
+        self.ids.extend_arrays(runs)
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, each text's followed by END, and their counts."""
         if len(self.known) > REMEMBERED:
             self._reset()
-        parts, counts = [], []
+        chunks: list[bytes] = []
+        sizes = []
         for text in texts:
-            chunks = text.encode().split() if text else []
-            numbers = self.known.numbers(chunks)
-            self.ids.extend(self._encode(self.known.take_fresh()))
-            ids, _ = self.ids.gather(numbers)
-            parts += [ids, np.array([END], np.uint32)]
-            counts.append(len(ids) + 1)
-        if any(len(t) > 1 << 20 for t in texts if t):  # long texts without spaces aren't worth remembering
-            self._reset()
-        return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), np.array(counts, np.int64)
+            if raw := text.encode() if text else b"":
+                chunks += (raw if b"<|" in raw else STOP.sub(rb" \1", raw.lower())).split()
+            chunks.append(b"")
+            sizes.append(len(chunks))
+        numbers = self.known.numbers(chunks)
+        self._learn(self.known.take_fresh())
+        ids, lens = self.ids.gather(numbers)
+        return ids, sums_by(lens, np.diff(sizes, prepend=0))
+
+
+_encoders: dict[str, ChunkEncoder] = {}
+
+
+def encoder_of(path: str) -> ChunkEncoder:
+    """One per Python worker and file: what it has learned serves the worker's next tasks."""
+    if path not in _encoders:
+        _encoders[path] = ChunkEncoder(path)
+    return _encoders[path]
 
 
 def _filesystem(uri: str):
@@ -86,7 +122,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, folder: s
             if writer is None:
                 system.create_dir(where, recursive=True)
                 out = system.open_output_stream(path)
-                encoder, writer = ChunkEncoder(tokenizer), Writer(out)
+                encoder, writer = encoder_of(tokenizer), Writer(out)
             ids, counts = encoder(batch.column(1).to_pylist())
             writer.add(batch.column(0).to_pylist(), counts, ids.astype(np.uint64))
         if writer is not None:

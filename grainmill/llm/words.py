@@ -48,13 +48,17 @@ class Ragged:
         self.n = 0
 
     def extend(self, runs: list) -> None:
-        if not runs:
-            return
         lens = np.fromiter(map(len, runs), np.int64, len(runs))
-        flat = np.fromiter((x for r in runs for x in r), self.data.dtype, int(lens.sum()))
-        end, start = self.n + len(runs), int(self.ends[self.n])
+        self._append(np.fromiter((x for r in runs for x in r), self.data.dtype, int(lens.sum())), lens)
+
+    def extend_arrays(self, runs: list[np.ndarray]) -> None:
+        if runs:
+            self._append(np.concatenate(runs), np.fromiter(map(len, runs), np.int64, len(runs)))
+
+    def _append(self, flat: np.ndarray, lens: np.ndarray) -> None:
+        end, start = self.n + len(lens), int(self.ends[self.n])
         if end + 1 > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros(max(len(self.ends), len(runs) + 1), np.int64)])
+            self.ends = np.concatenate([self.ends, np.zeros(max(len(self.ends), len(lens) + 1), np.int64)])
         if start + len(flat) > len(self.data):
             self.data = np.concatenate([self.data, np.zeros(max(len(self.data), len(flat)), self.data.dtype)])
         self.data[start : start + len(flat)] = flat
