@@ -6,6 +6,7 @@ from grainmill.llm.embeddings import op5_embedding_dups
 from grainmill.llm.lm import op3_lm_scores
 from grainmill.llm.merkle import op10_fingerprints
 from grainmill.llm.mixing import op7_mixing
+from grainmill.llm.pieces import op8_pieces
 from grainmill.llm.simhash import op1_simhash
 from grainmill.llm.token_files import op2_token_files
 from grainmill.llm.toxicity import op4_toxicity
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_embedding_dups": op5_embedding_dups,
     "op7_mixing": op7_mixing,
+    "op8_pieces": op8_pieces,
     "op10_fingerprints": op10_fingerprints,
 }
 ORACLE: dict[str, str] = {}

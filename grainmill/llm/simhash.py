@@ -94,39 +94,48 @@ def _postings(nodes: DataFrame, fps: list[str], min_shared: int) -> DataFrame:
     return nodes.select(*nodes.columns, F.explode(F.array(*keys)).alias("key"))
 
 
-def links(spark: SparkSession, nodes: DataFrame, fps: list[str], min_shared: int, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame] | None = None, keep: Written | None = None) -> DataFrame:
+def by_bytes(fps: list[str], min_shared: int) -> tuple[Callable[[DataFrame], DataFrame], Callable[[str, str], Column]]:
+    """Posting function and pair test of the byte-position index over the fingerprint columns `fps`."""
+
+    def enough(x: str, y: str) -> Column:
+        some = F.lit(False)
+        for name in fps:
+            some = some | (_shared(F.col(x + name), F.col(y + name)) >= min_shared)
+        return some
+
+    return lambda nodes: _postings(nodes, fps, min_shared), enough
+
+
+def links(spark: SparkSession, nodes: DataFrame, post: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame] | None = None, keep: Written | None = None) -> DataFrame:
     """(node, component) of nodes joined by verified links.
 
-    nodes: id bigint, unique, and whatever `near` reads, written to a table. A candidate shares at least min_shared
-    positional bytes of one of the fingerprint columns `fps`; near(prefix a, prefix b) is the test on the pair's
-    columns, and verify, if given, filters pairs (a, b) further."""
+    nodes: id bigint, unique, and whatever post and near read, written to a table. post(nodes) adds a posting column
+    `key`, a row per posting list; pairs that share a list are candidates if near(prefix a, prefix b) holds on their
+    columns; verify, if given, filters pairs (a, b) further."""
     keep = keep or Written(spark)
     cols = nodes.columns
 
-    def paired(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
-        enough = F.lit(False)
-        for name in fps:
-            enough = enough | (_shared(F.col(f"x_{name}"), F.col(f"y_{name}")) >= min_shared)
-        found = left.join(right, on & enough & near("x_", "y_"))
+    def paired(left: DataFrame, right: DataFrame, on: Column, name: str) -> DataFrame:
+        found = left.join(right, on & near("x_", "y_"))
         out = found.select(F.greatest("x_id", "y_id").alias("a"), F.least("x_id", "y_id").alias("b")).distinct()
-        return verify(out) if verify else out
+        return keep(verify(keep(out, f"{name}-pairs")) if verify else out, name)
 
     def named(df: DataFrame, prefix: str) -> DataFrame:
         return df.select(*(F.col(c).alias(prefix + c) for c in df.columns))
 
-    lists = _postings(nodes, fps, min_shared)
+    lists = post(nodes)
     heads = lists.groupBy("key").agg(F.min(F.struct("id", *(c for c in cols if c != "id"))).alias("h"), F.max("id").alias("most")).where("h.id < most").select("key", "h.*")
-    first = keep(paired(named(lists, "x_"), named(heads, "y_"), (F.col("x_key") == F.col("y_key")) & (F.col("x_id") != F.col("y_id"))), "stars")
+    first = paired(named(lists, "x_"), named(heads, "y_"), (F.col("x_key") == F.col("y_key")) & (F.col("x_id") != F.col("y_id")), "stars")
     found = components(spark, first, keep)
 
     marked = nodes.join(found, nodes.id == found.node, "left").select(*cols, F.coalesce("component", "id").alias("component"))
     marked = keep(marked, "marked")
-    lists = _postings(marked, fps, min_shared)
+    lists = post(marked)
     # A list of two was settled by its star; any longer one that still holds two components is compared across them.
     mixed = lists.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("key")
     open_lists = keep(lists.join(mixed, "key", "left_semi"), "open")
     x, y = named(open_lists, "x_"), named(open_lists, "y_")
-    second = paired(x, y, (F.col("x_key") == F.col("y_key")) & (F.col("x_component") < F.col("y_component")))
+    second = paired(x, y, (F.col("x_key") == F.col("y_key")) & (F.col("x_component") < F.col("y_component")), "across")
     return components(spark, first.unionByName(second), keep)
 
 
@@ -137,7 +146,8 @@ def hamming_components(spark: SparkSession, fps: DataFrame, max_bits: int = 4, k
         raise ValueError("a byte-position index guarantees shared bytes only below 8 differing bits")
     keep = keep or Written(spark)
     nodes = keep(fps.groupBy("fp").agg(F.min("id").alias("id")).where("id is not null"), "nodes").select("id", "fp")
-    found = links(spark, nodes, ["fp"], BYTES - max_bits, lambda x, y: F.bit_count(F.col(f"{x}fp").bitwiseXOR(F.col(f"{y}fp"))) <= max_bits, keep=keep)
+    post, enough = by_bytes(["fp"], BYTES - max_bits)
+    found = links(spark, nodes, post, lambda x, y: enough(x, y) & (F.bit_count(F.col(f"{x}fp").bitwiseXOR(F.col(f"{y}fp"))) <= max_bits), keep=keep)
     return nodes.join(found, nodes.id == found.node, "left").select("fp", F.coalesce("component", "id").alias("component"))
 
 
@@ -212,9 +222,10 @@ def near_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
         for f in fps:
             some = some | (F.bit_count(F.col(x + f).bitwiseXOR(F.col(y + f))) <= max_bits)
         lo, hi = F.least(F.col(x + "n"), F.col(y + "n")), F.greatest(F.col(x + "n"), F.col(y + "n"))
-        return some & (lo >= hi * threshold)
+        return some & enough(x, y) & (lo >= hi * threshold)
 
-    found = links(spark, nodes.select("id", "n", *fps), fps, min_shared, near, _jaccard_filter(docs, id_col, text_col, width, threshold), keep)
+    post, enough = by_bytes(fps, min_shared)
+    found = links(spark, nodes.select("id", "n", *fps), post, near, _jaccard_filter(docs, id_col, text_col, width, threshold), keep)
     named = nodes.join(found, nodes.id == found.node, "left").select("key", F.coalesce("component", "id").alias("component"))
     return rows.select("id", "key").join(named, "key", "left").select("id", "component")
 
