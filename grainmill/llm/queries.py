@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from grainmill.llm.embeddings import op5_embedding_dups
+from grainmill.llm.lines import op9_line_dedup
 from grainmill.llm.lm import op3_lm_scores
 from grainmill.llm.merkle import op10_fingerprints
 from grainmill.llm.mixing import op7_mixing
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_embedding_dups": op5_embedding_dups,
     "op7_mixing": op7_mixing,
     "op8_pieces": op8_pieces,
+    "op9_line_dedup": op9_line_dedup,
     "op10_fingerprints": op10_fingerprints,
 }
 ORACLE: dict[str, str] = {}
