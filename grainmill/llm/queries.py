@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from grainmill.llm.embeddings import op5_embedding_dups
+from grainmill.llm.html import op6_main_text
 from grainmill.llm.lines import op9_line_dedup
 from grainmill.llm.lm import op3_lm_scores
 from grainmill.llm.merkle import op10_fingerprints
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_lm_scores": op3_lm_scores,
     "op4_toxicity": op4_toxicity,
     "op5_embedding_dups": op5_embedding_dups,
+    "op6_main_text": op6_main_text,
     "op7_mixing": op7_mixing,
     "op8_pieces": op8_pieces,
     "op9_line_dedup": op9_line_dedup,
