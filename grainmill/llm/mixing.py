@@ -137,11 +137,10 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFram
     """The mix as documents, with the columns of `docs`: a row for each pass over a document, its text cut to the words
     that the pass takes; rows without words stay as they are. n_chars, if there, is counted anew."""
     keep = Written(spark)
-    options["carry"] = tuple(c for c in docs.columns if c != "doc_id")
     whole = docs.columns
     held = {c: f"_{i}" for i, c in enumerate(whole)}
     source = docs.select("doc_id", "text", "source", F.struct(*(F.col(c).alias(held[c]) for c in whole)).alias("_row"))
-    mixed = mix(spark, source, keep=keep, **options | {"carry": ("_row",)})
+    mixed = mix(spark, source, keep=keep, carry=("_row",), **options)
     spans = mixed.pieces.groupBy("rid", "pass").agg(F.min("from_word").alias("lo"), F.max("to_word").alias("hi"))
     rows = mixed.rows.select("rid", "size", "_row")
     took = rows.where("size > 0").join(spans, "rid")

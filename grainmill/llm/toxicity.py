@@ -166,6 +166,23 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id bigint, score double, worst_sentence bigint, n_offending bigint")
 
 
+def clean(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of `docs` whose text scores below the threshold, columns as they are."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bags, fitted = Bags(), held.value
+        for batch in slices(batches, f"c{at}"):
+            bags.tidy()
+            words, sizes, counts = bags(batch.column(at).to_pylist())
+            yield batch.filter(pa.array(noisy_or(fitted.sentence_scores(bags, words, sizes), counts) < threshold))
+
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
+    out = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).mapInArrow(run, kinds)
+    return out.toDF(*docs.columns)
+
+
 def locate(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, sentence, score, words) of each offending sentence, its words joined by a space."""
 
