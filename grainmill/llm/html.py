@@ -8,7 +8,7 @@ many pages the host has) are folded into its wrapper. So a host with a third of
 page is sampled.
 
 The wrapper tells what a part of a page is: markup regions named as article or main are data; without them, the parts
-whose slots vary and that aren't mostly links; template text inside a varying region is notices and furniture. Rules by
+whose slots vary and that aren't mostly links, as template text in a varying region is notices and furniture. Rules by
 tag and by words of class and id hold for every page, also where a host has one page only.
 
 Null and empty html give an empty text, as do pages without text. Broken, unclosed and cut-off markup is read as far as
@@ -255,13 +255,12 @@ class Page:
         self.now = []
 
     def take(self, node: Node, wrapper: list | None, named: bool, template: bool) -> None:
-        """named: the region is an article by its markup; template: constant texts are the host's, not the page's."""
+        """named: the region is an article by its markup, and all in it but furniture is data; template: in other
+        regions, blocks whose texts never vary are the host's, not the page's."""
         items = _match(node.kids, wrapper[2]) if wrapper else [None] * len(node.kids)
         for kid, item in zip(node.kids, items, strict=True):
             if isinstance(kid, str):
-                constant = template and item is not None and item[2] is not None and item[3] > 2 and not node.tag.startswith("h")
-                if not constant:
-                    self.now.append(kid)
+                self.now.append(kid)
                 continue
             if kid.bad:
                 continue
@@ -270,6 +269,8 @@ class Page:
                 continue
             if not named and item is not None and item[4] and item[5] > 0.5 * item[4] and kid.tag in BLOCK:
                 continue  # mostly links
+            if template and item is not None and item[3] > 2 and kid.tag in BLOCK and not _varies(item):
+                continue
             block = kid.tag in BLOCK
             if block:
                 self.flush()
@@ -300,7 +301,7 @@ def main_text(page: str | None, wrapper: list | None = None) -> str:
         while item is not None and walk is not region:  # follow the wrapper down to the region
             step = next(((k, w) for k, w in zip(walk.kids, _match(walk.kids, item[2]), strict=True) if not isinstance(k, str) and _holds(k, region)), None)
             walk, item = step if step else (region, None)
-        varying = item is not None and item[3] > 2 and _varies(item)
+        varying = not named and item is not None and item[3] > 2 and _varies(item)
         out.take(region, item, named, varying)
         out.flush()
     return " ".join(out.blocks)

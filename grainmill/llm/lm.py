@@ -45,7 +45,7 @@ def held_out(doc_id: int | None, folds: int = 5, fold: int = 1) -> bool:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    body = b"".join(np.int64(len(a)).tobytes() + a.dtype.str.encode().ljust(4) + a.view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays)
+    body = b"".join(np.int64(len(a)).tobytes() + a.dtype.str.encode().ljust(4) + a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
     return zstandard.ZstdCompressor(level=1).compress(body)
 
 
