@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.llm.words import Ragged, slices
+from grainmill.llm.words import Numbering, Ragged, slices
 
 SPACE = "▁"
 VARIANTS = 4
@@ -38,10 +38,17 @@ WORD = re.compile(rf"\n| *{LETTER}+(?=[ \n{MARKS}]|\Z)| +[^ \n]*|[^ \n]+")
 LETTER_MARK = re.compile(rf"{LETTER}[{MARKS}]")
 #: Symbols up to which a plain list serves as the agenda.
 SHORT = 48
-NONE = float("inf")
+NONE = 1 << 60
 MASK = (1 << 32) - 1
 
 
+def merge_hash(rank: int, place: int, key: int) -> int:
+    """32-bit keyed hash of a candidate merge: the merged piece's rank and its place in the word."""
+    h = ((rank * 0x9E3779B1) ^ (place * 0x85EBCA77) ^ key) & MASK
+    h = ((h ^ (h >> 15)) * 0x2C1B3C6D) & MASK
+    return h ^ (h >> 13)
+
+
 class PieceModel:
     def __init__(self, path: str):
         import sentencepiece
@@ -56,14 +63,18 @@ class PieceModel:
             raise ValueError("lossless coding needs a model with byte fallback")
         if any(SPACE in p.lstrip(SPACE) or "\n" in p or LETTER_MARK.search(p) for p in self.ids):
             raise ValueError("a piece of this model reaches over a word's border")
-        self.score = {p: -model.get_score(i) for p, i in self.ids.items()}
+        self.score = {p: int(-model.get_score(i)) for p, i in self.ids.items()}  # the model's scores are whole
         values = [bytes([b]) for b in range(256)]
         self.values = [values[int(names[i][3:5], 16)] if model.is_byte(i) else names[i].replace(SPACE, " ").encode() if plain[i] else b"" for i in range(n)]
 
-    def segment(self, word: str, key: int = 0, rate: float = 0.0) -> list[int]:
-        """Ids of a word whose spaces are real spaces; a space mark in it stands for itself."""
-        text = [SPACE if c == " " else "\0own" if c == SPACE else c for c in word]
-        limit = int(rate * (MASK + 1))
+    def segment(self, word: str, key: int = 0, limit: int = 0) -> list[int]:
+        """Ids of a word whose spaces are real spaces; a space mark in it stands for itself. A candidate merge is skipped
+        if its keyed hash is below `limit`."""
+        text = list(word)
+        if word[0] == " ":
+            text[: len(word) - len(word.lstrip(" "))] = [SPACE] * (len(word) - len(word.lstrip(" ")))
+        if SPACE in word:
+            text = ["\0own" if w == SPACE else t for t, w in zip(text, word, strict=True)]
         (self._merge_short if len(text) <= SHORT else self._merge_long)(text, key, limit)
         out: list[int] = []
         for symbol in text:
@@ -74,27 +85,23 @@ class PieceModel:
                 out += [self.bytes[b] for b in (SPACE if symbol == "\0own" else symbol).encode("utf-8", "surrogatepass")]
         return out
 
-    def _skipped(self, both: str, place: int, key: int, limit: int) -> bool:
-        h = ((self.ids[both] * 0x9E3779B1) ^ (place * 0x85EBCA77) ^ key) & MASK
-        h = ((h ^ (h >> 15)) * 0x2C1B3C6D) & MASK
-        h = ((h ^ (h >> 12)) * 0x297A2D39) & MASK
-        return (h ^ (h >> 15)) < limit
-
     def _merge_short(self, text: list[str], key: int, limit: int) -> None:
         """The agenda as a list by place: its minimum's first index is the best and leftmost pair."""
-        get, skipped = self.score.get, self._skipped
+        get = self.score.get
         agenda = [get(a + b, NONE) for a, b in zip(text, text[1:], strict=False)]
         place = list(range(len(text)))
         while agenda:
             best = min(agenda)
-            if best is NONE or best == NONE:
+            if best == NONE:
                 return
             i = agenda.index(best)
-            both = text[i] + text[i + 1]
-            if limit and skipped(both, place[i], key, limit):
-                agenda[i] = NONE
-                continue
-            text[i] = both
+            if limit:  # the hash of merge_hash, written out as this is the innermost loop
+                h = ((best * 0x9E3779B1) ^ (place[i] * 0x85EBCA77) ^ key) & MASK
+                h = ((h ^ (h >> 15)) * 0x2C1B3C6D) & MASK
+                if (h ^ (h >> 13)) < limit:
+                    agenda[i] = NONE
+                    continue
+            text[i] = both = text[i] + text[i + 1]
             del text[i + 1], agenda[i], place[i + 1]
             if i:
                 agenda[i - 1] = get(text[i - 1] + both, NONE)
@@ -109,11 +116,11 @@ class PieceModel:
         agenda = [(s, i, i + 1, i + 2) for i in range(n - 1) if (s := get(text[i] + text[i + 1])) is not None]
         heapq.heapify(agenda)
         while agenda:
-            _, i, mid, last = heapq.heappop(agenda)
+            rank, i, mid, last = heapq.heappop(agenda)
             if not text[i] or end[i] != mid or not text[mid] or end[mid] != last:
                 continue
             both = text[i] + text[mid]
-            if limit and self._skipped(both, i, key, limit):
+            if limit and merge_hash(rank, i, key) < limit:
                 continue
             text[i], text[mid], end[i] = both, "", last
             if last < n:
@@ -131,7 +138,7 @@ class PieceEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Numbering()
         self.ids = Ragged(np.uint32)
         self.slot = np.full(1 << 16, -1, np.int64)
 
@@ -139,7 +146,7 @@ class PieceEncoder:
         """Ids of all texts end to end, and their counts."""
         if len(self.known) > REMEMBERED:
             self._reset()
-        known, words, sizes, variants = self.known, [], [], []
+        words, sizes, variants = [], [], []
         for doc_id, text in zip(doc_ids, texts, strict=True):
             mine = WORD.findall(" " + text) if text else []
             words += mine
@@ -147,16 +154,17 @@ class PieceEncoder:
             draw = np.arange(len(mine), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(xxhash.xxh64_intdigest(f"{self.seed}:{doc_id}"))
             draw = (draw ^ (draw >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
             variants.append(((draw >> np.uint64(33)) % np.uint64(self.variants)).astype(np.int64))
-        numbers = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+        numbers = self.known.numbers(words)
+        self.known.take_fresh()
         codes = numbers * self.variants + (np.concatenate(variants) if variants else numbers)
-        if len(known) * self.variants > len(self.slot):
-            self.slot = np.concatenate([self.slot, np.full(max(len(self.slot), len(known) * self.variants), -1, np.int64)])
+        if len(self.known) * self.variants > len(self.slot):
+            self.slot = np.concatenate([self.slot, np.full(max(len(self.slot), len(self.known) * self.variants), -1, np.int64)])
         fresh, first = np.unique(codes, return_index=True)
         new = self.slot[fresh] < 0
         fresh, first = fresh[new], first[new]
         self.slot[fresh] = self.ids.n + np.arange(len(fresh))
-        segment, keys, rate, v = self.model.segment, self.keys, self.rate, self.variants
-        self.ids.extend([segment(words[i], keys[c % v], rate) for c, i in zip(fresh.tolist(), first.tolist(), strict=True)])
+        segment, keys, limit, v = self.model.segment, self.keys, int(self.rate * (MASK + 1)), self.variants
+        self.ids.extend([segment(words[i], keys[c % v], limit) for c, i in zip(fresh.tolist(), first.tolist(), strict=True)])
         ids, lens = self.ids.gather(self.slot[codes])
         ends = np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)]
         return ids, np.diff(ends)
