@@ -7,13 +7,12 @@ is accepted, one with an accepted earlier neighbour is rejected, until all are s
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
 from grainmill.functions.text import let, shingles
 from grainmill.session import Written
@@ -33,26 +32,28 @@ def _coefficients(n: int) -> list[tuple[int, int]]:
     return out
 
 
-def _signature(n: int) -> Callable[[Column], Column]:
-    """UDF from shingle hashes below PRIME to their least value under each permutation; products stay within 62 bits."""
+def least_values(hashes: np.ndarray, n: int = PERMUTATIONS) -> np.ndarray:
+    """Least value of hashes below PRIME under each permutation; products stay within 62 bits."""
     a, b = (np.array(c, np.uint64)[:, None] for c in zip(*_coefficients(n), strict=True))
+    out = np.full(n, PRIME, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        h = hashes[at : at + 4096].astype(np.uint64)[None, :]
+        out = np.minimum(out, ((a * h + b) % np.uint64(PRIME)).min(axis=1))
+    return out.astype(np.int64)
 
-    def least(hashes: np.ndarray) -> np.ndarray:
-        out = np.full(n, PRIME, np.uint64)
-        for at in range(0, len(hashes), 4096):
-            h = hashes[at : at + 4096].astype(np.uint64)[None, :]
-            out = np.minimum(out, ((a * h + b) % np.uint64(PRIME)).min(axis=1))
-        return out.astype(np.int64)
 
-    def run(x: pd.Series) -> pd.Series:
-        return pd.Series([None if h is None or not len(h) else least(np.asarray(h)) for h in x], dtype=object)
+def minhash(records: DataFrame, order: str, tokens: str, width: int = 5, n: int = PERMUTATIONS) -> DataFrame:
+    """(order, signature) of each record's token shingles; null without tokens."""
 
-    return F.pandas_udf(run, ArrayType(LongType()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashed = (v.values.to_numpy() if v.is_valid else () for v in batch.column(1))
+            signed = [least_values(h, n) if len(h) else None for h in hashed]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed, pa.list_(pa.int64()))], names=[order, "signature"])
 
-
-def minhash(tokens: Column, width: int = 5, n: int = PERMUTATIONS) -> Column:
-    """Signature of the token shingles; null without tokens."""
-    return _signature(n)(F.transform(shingles(tokens, width), lambda s: F.pmod(F.xxhash64(s), F.lit(PRIME))))
+    kind = records.schema[order].dataType.simpleString()
+    hashes = F.transform(shingles(F.col(tokens), width), lambda s: F.pmod(F.xxhash64(s), F.lit(PRIME)))
+    return records.select(order, hashes.alias("hashes")).mapInArrow(run, f"{order} {kind}, signature array<bigint>")
 
 
 def bands(signature: Column, n: int = BANDS, rows: int = ROWS) -> Column:
@@ -102,7 +103,7 @@ def near(spark: SparkSession, records: DataFrame, order: str, tokens: str) -> Da
     """Adds `accepted` and `cluster`: the earliest accepted record that a rejected one collides with. Later records of
     an accepted signature are rejected; records without tokens collide with nothing."""
     keep = Written(spark)
-    signed = keep(records.select(order, minhash(F.col(tokens)).alias("signature")), "signed")
+    signed = keep(minhash(records, order, tokens), "signed")
     pairs = collisions(spark, signed, order, keep)
     state = first_wins(spark, pairs, keep)
     taken = state.where("accepted").select(F.col("node").alias("earlier"))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from grainmill.functions.text import first_present
 from grainmill.operators.sets import first_by, numbered
@@ -53,7 +53,7 @@ def hydrate(rows: DataFrame, fetch: Callable[[], Callable[[str], bytes | None]],
                     texts.append(None)
             yield frame.assign(**{content: texts})[lambda f: f[content].notna()]
 
-    return rows.mapInPandas(run, StructType(rows.schema.fields).add(content, "string"))
+    return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField(content, StringType())]))
 
 
 def source_files(spark: SparkSession, root: str, glob: str = "*.py", limit: int | None = None) -> DataFrame:
