@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
-LINE_BREAK = r"[\n\r\x0B\f\x1c-\x1e\x85  ]"
+LINE_BREAK = "(?:\r\n|[\n\r\x0B\f\x1c-\x1e\x85\u2028\u2029])"
 
 
 def col(x: Column | str) -> Column:
@@ -30,13 +30,17 @@ def strip_chars(x: Column | str, chars: str) -> Column:
 
 def split_lines(x: Column | str) -> Column:
     """Lines without their breaks; a final break opens no further line; empty text has none."""
-    x = col(x)
-    parts = F.split(F.regexp_replace(x, "\r\n", "\n"), LINE_BREAK, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(col(x), LINE_BREAK, -1), lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p))
+
+
+def head_lines(x: Column | str, n: int) -> Column:
+    """The first n lines, without looking at the rest."""
+    return F.slice(F.split(col(x), LINE_BREAK, n + 1), 1, n)
 
 
 def line_count(x: Column | str) -> Column:
-    return F.when(col(x) == "", F.lit(0)).otherwise(F.size(split_lines(x)))
+    """Breaks, and a last line without one."""
+    return F.regexp_count(col(x), F.lit(LINE_BREAK)) + F.regexp_like(col(x), F.lit(rf"(?s).(?<!{LINE_BREAK})\z")).cast("int")
 
 
 def first_line(x: Column | str) -> Column:

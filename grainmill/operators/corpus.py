@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.functions.text import col, line_count, split_lines, strip
+from grainmill.functions.text import col, head_lines, let, line_count, split_lines, strip
 
 # Licences, the words that reject one, headers of generated files, and the order of stages.
 PERMISSIVE = {
@@ -38,12 +38,12 @@ def license_of(names: Column) -> Column:
 
 
 def has_content(x: Column | str) -> Column:
-    return F.coalesce(strip(x) != "", F.lit(False))
+    return F.coalesce(F.regexp_like(col(x), F.lit(r"[^\s\x1c-\x1f\x85\p{Z}]")), F.lit(False))
 
 
 def is_generated(x: Column | str) -> Column:
     """A generated-file header among the first five lines after leading white space."""
-    lines = F.slice(split_lines(F.regexp_replace(col(x), r"^[\s\x1c-\x1f\x85\p{Z}]+", "")), 1, 5)
+    lines = head_lines(F.regexp_replace(col(x), r"^[\s\x1c-\x1f\x85\p{Z}]+", ""), 5)
 
     def header(line: Column) -> Column:
         text, some = F.lower(strip(line)), F.lit(False)
@@ -56,9 +56,9 @@ def is_generated(x: Column | str) -> Column:
 
 def is_mostly_comments(x: Column | str, threshold: float = 0.8) -> Column:
     """More than this share of lines blank or starting with a hash; empty text is."""
-    lines = split_lines(x)
-    marked = F.size(F.filter(lines, lambda line: (strip(line) == "") | F.startswith(strip(line), F.lit("#"))))
-    return F.when(line_count(x) == 0, F.lit(True)).otherwise(marked / F.size(lines) > threshold)
+    marked = r"^[\s\x1c-\x1f\x85\p{Z}]*(#|$)"
+    share = let(split_lines(x), lambda lines: F.size(F.filter(lines, lambda line: F.regexp_like(line, F.lit(marked)))) / F.size(lines))
+    return F.when(col(x) == "", F.lit(True)).otherwise(share > threshold)
 
 
 def is_test_path(path: Column | str) -> Column:
