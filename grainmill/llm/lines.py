@@ -1,11 +1,11 @@
 """Fuzzy line dedup.
 
 Lines are normalised (lower case, digits to 0, ASCII punctuation to spaces, single spaces); equal normalised lines are one
-node. A node's SimHash is over its distinct words; nodes at <= 3 differing bits share at least two of five blocks of
-the fingerprint (pigeonhole), so they meet in a posting list of two blocks. Candidates are verified by edit similarity,
-1 - distance / longer length, on the normalised lines; of each connected group the first occurrence by (doc_id,
-document, line) stays and the others go. Shorter lines than an edit could leave similar match by equality only, which
-loses nothing.
+node. A node's SimHash is over its distinct words; nodes at <= 3 differing bits share at least three of six blocks of
+the fingerprint (pigeonhole), so they meet in a posting list of three blocks, 31 to 33 bits. Candidates are verified by
+edit similarity, 1 - distance / longer length, on the normalised lines; of each connected group the first occurrence
+by (doc_id, document, line) stays and the others go. Lines too short for an edit to leave them similar match by equality
+only, which loses nothing.
 
 A group of copies is one node, links are stars first and then only across components, and the occurrence to keep is a
 minimum with map-side combine, so neither a line that is everywhere nor a large group of near copies is gathered.
@@ -22,81 +22,121 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainmill.llm.simhash import links
-from grainmill.llm.words import Numbering, slices
+from grainmill.llm.words import slices
 from grainmill.session import Written
 
 MAX_BITS = 3
 SIMILARITY = 0.9
-#: Bit ranges of the five blocks of a fingerprint.
-BLOCKS = [(0, 13), (13, 26), (26, 39), (39, 52), (52, 64)]
+#: Bit ranges of the six blocks of a fingerprint.
+BLOCKS = [(0, 11), (11, 22), (22, 33), (33, 43), (43, 54), (54, 64)]
 TABLE = bytes(ord("0") if chr(b).isdigit() else 32 if chr(b) in string.punctuation else b for b in range(256))
-REMEMBERED = 500_000
+#: Texts worked on at once: the arrays then stay in the processor's caches.
+SLICE = 256 << 10
+#: The bits of a byte, each in a byte of its own.
+SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").reshape(-1, 8).copy().view(np.uint64)[:, 0]
+BASE = 0x9E3779B97F4A7C15 | 1
+INVERSE = pow(BASE, -1, 1 << 64)
 #: Rows of candidates' documents that are broadcast at most; beyond, they are joined by shuffle.
 SMALL = 200_000
 
 
-def normalised(text: str) -> list[list[bytes]]:
-    """Words of each line."""
-    return [line.split() for line in text.lower().encode("utf-8", "surrogatepass").translate(TABLE).split(b"\n")]
-
-
-def _key(words: list[bytes]) -> int:
-    return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
-
-
-class _Prints:
-    """SimHashes of many word lists at once."""
-
-    def __init__(self):
-        self.known, self.bits = Numbering(), np.zeros((1 << 12, 64), np.int8)
-
-    def __call__(self, lists: list[list[bytes]]) -> np.ndarray:
-        if len(self.known) > REMEMBERED:
-            self.__init__()
-        flat = [w for words in lists for w in words]
-        numbers = self.known.numbers(flat)
-        if fresh := self.known.take_fresh():
-            h = np.array([xxhash.xxh64_intdigest(w, 42) for w in fresh], np.uint64)
-            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.int8) * 2 - 1
-            if len(self.known) > len(self.bits):  # rows past the known words are spare
-                self.bits = np.concatenate([self.bits, np.zeros((max(len(self.bits), len(bits)), 64), np.int8)])
-            self.bits[len(self.known) - len(bits) : len(self.known)] = bits
-        lens = np.fromiter(map(len, lists), np.int64, len(lists))
-        line = np.repeat(np.arange(len(lists)), lens)
-        codes = np.unique(line * len(self.known) + numbers)  # a word counts once a line
-        line, numbers = codes // len(self.known), codes % len(self.known)
-        out = np.zeros(len(lists), np.int64)
-        starts = np.nonzero(np.diff(line, prepend=-1))[0]
-        for at in range(0, len(starts), 4096):
-            some = starts[at : at + 4096]
-            end = starts[at + 4096] if at + 4096 < len(starts) else len(line)
-            sums = np.add.reduceat(self.bits[numbers[some[0] : end]], some - some[0], axis=0, dtype=np.int32)
-            out[line[some]] = np.packbits(sums > 0, axis=1, bitorder="little").reshape(-1, 8).view(np.int64)[:, 0]
-        return out
+def normalise(text: str) -> bytes:
+    """Lower case, digits to 0, ASCII punctuation to spaces; lines as they were."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(TABLE)
+
+
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0, 1, .. modulo 2 ** 64."""
+    held = _POWERS.get(base)
+    if held is None or len(held) < n:
+        held = np.full(max(n, 1 << 20), base, np.uint64)
+        held[0] = 1
+        held = _POWERS[base] = np.cumprod(held, dtype=np.uint64)
+    return held[:n]
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of runs of values: polynomials modulo 2 ** 64, shifted to a common start, then mixed with the run's
+    length."""
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _powers(BASE, len(values)), dtype=np.uint64, out=total[1:])
+    shifted = (total[ends] - total[starts]) * _powers(INVERSE, len(values) + 1)[starts]
+    return _mix(shifted + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def line_facts(texts: list[str | None]) -> tuple[np.ndarray, ...]:
+    """(text, pos, key, n, print) of the lines that aren't blank after normalisation, in order: key is a 64-bit hash of
+    the normalised line, n its code points, print the SimHash of its distinct words. All steps are on whole arrays."""
+    raw = [normalise(t) if t else b"" for t in texts]
+    buffer = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+    space = (buffer == 32) | ((buffer >= 9) & (buffer <= 13))
+    edges = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
+    starts, ends = np.nonzero(edges == -1)[0], np.nonzero(edges == 1)[0]
+    if not len(starts):
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
+    breaks = np.nonzero(buffer == 10)[0]
+    line_of_word = np.searchsorted(breaks, starts)
+    text_ends = np.cumsum([len(r) + 1 for r in raw]) - 1  # each text's own closing break
+    closing = np.searchsorted(breaks, text_ends)  # its number among breaks
+    words = _run_hashes(buffer.astype(np.uint64) + np.uint64(1), starts, ends)
+    first = np.nonzero(np.diff(line_of_word, prepend=-1))[0]
+    last = np.append(first[1:], len(words))
+    lines = line_of_word[first]
+    keys = _run_hashes(words, first, last).view(np.int64)
+    points = np.concatenate([[0], np.cumsum((buffer & 0xC0) != 0x80)])
+    n = np.add.reduceat(points[ends] - points[starts], first) + (last - first) - 1
+    text = np.searchsorted(closing, lines)
+    pos = lines - np.where(text > 0, closing[text - 1] + 1, 0)
+    # Distinct words per line: sorted by line, then by hash.
+    rank = np.searchsorted(lines, line_of_word).astype(np.uint64)
+    width = max(1, int(len(lines) - 1).bit_length())
+    order = np.argsort((rank << np.uint64(64 - width)) | (words >> np.uint64(width)), kind="stable")
+    same = np.zeros(len(order), bool)
+    same[1:] = (words[order[1:]] == words[order[:-1]]) & (rank[order[1:]] == rank[order[:-1]])
+    kept = order[~same]
+    owner, held = rank[kept], words[kept]
+    begin = np.nonzero(np.diff(owner.astype(np.int64), prepend=-1))[0]
+    return text, pos, keys, n, _majorities(held, begin)
+
+
+def _majorities(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """SimHash of each run of hashes. Bits are counted eight at a time, each in a byte of a 64-bit number, over pieces of
+    at most 255 hashes; the pieces of a run are then added up."""
+    sizes = np.diff(np.append(begin, len(hashes)))
+    pieces = -(-sizes // 255)
+    run = np.repeat(np.arange(len(begin)), pieces)
+    nth = np.arange(len(run)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    starts = begin[run] + 255 * nth
+    parts = hashes.view(np.uint8).reshape(-1, 8)
+    ones = np.empty((len(starts), 64), np.uint8)
+    for k in range(8):
+        ones[:, 8 * k : 8 * k + 8] = np.add.reduceat(SPREAD[parts[:, k]], starts).view(np.uint8).reshape(-1, 8)
+    if len(starts) > len(begin):
+        ones = np.add.reduceat(ones, np.nonzero(nth == 0)[0], axis=0, dtype=np.int64)
+    return np.packbits(ones.astype(np.int64) * 2 > sizes[:, None], axis=1, bitorder="little").reshape(-1, 8).view(np.int64)[:, 0]
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, doc_id, pos, key, n, print) of each line that isn't blank: doc is a hash of (doc_id, text), n the normalised
-    line's code points."""
+    """(doc, doc_id, pos, key, n, print) of each line that isn't blank: doc is a hash of (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prints = _Prints()
-        for batch in slices(batches):
-            where, words = [], []
-            for doc, i, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "doc_id", "text")), strict=True):
-                for pos, w in enumerate(normalised(text) if text else []):
-                    if w:
-                        where.append((doc, i, pos))
-                        words.append(w)
-            cols = list(zip(*where, strict=True)) or [[], [], []]
-            size = [sum(len(x) - sum(1 for b in x if b & 0xC0 == 0x80) if not x.isascii() else len(x) for x in w) + len(w) - 1 for w in words]
-            arrays = [*(pa.array(c, pa.int64()) for c in cols), pa.array([_key(w) for w in words], pa.int64()), pa.array(size, pa.int64()), pa.array(prints(words), pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc", "doc_id", "pos", "key", "n", "print"])
+        for batch in slices(batches, limit=SLICE):
+            text, *facts = line_facts(batch.column(2).to_pylist())
+            at = pa.array(text)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(f) for f in facts)], names=["doc", "doc_id", "pos", "key", "n", "print"])
 
     return _named(docs, id_col, text_col).mapInArrow(run, "doc bigint, doc_id bigint, pos bigint, key bigint, n bigint, print bigint")
 
@@ -109,10 +149,12 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(_doc(id_col, text_col).alias("doc"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
 
 
-def _post(nodes: DataFrame) -> DataFrame:
-    parts = [F.shiftrightunsigned("print", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in BLOCKS]
-    keys = [F.lit(c).cast("bigint") * (1 << 26) + parts[i] * (1 << 13) + parts[j] for c, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))]
-    return nodes.select(*nodes.columns, F.explode(F.array(*keys)).alias("key"))
+def _keys(nodes: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
+    """A posting key for each three of the six blocks."""
+    prints = nodes["print"].view(np.uint64)
+    parts = [((prints >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)).astype(np.int64) for lo, hi in BLOCKS]
+    for c, (i, j, k) in enumerate(combinations(range(len(BLOCKS)), 3)):
+        yield (c << 33) + (parts[i] << 22) + (parts[j] << 11) + parts[k]
 
 
 def distance_within(a: str, b: str, most: int) -> bool:
@@ -155,8 +197,11 @@ def distance_within(a: str, b: str, most: int) -> bool:
 
 def _verify(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, similarity: float, keep: Written):
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            seen = {_key(w): b" ".join(w).decode("utf-8", "replace") for t in batch.column(2).to_pylist() for w in (normalised(t) if t else []) if w}
+        for batch in slices(batches, limit=SLICE):
+            texts = batch.column(2).to_pylist()
+            text, pos, keys, *_ = line_facts(texts)
+            parts = [normalise(t).split(b"\n") if t else [] for t in texts]
+            seen = {k: b" ".join(parts[t][p].split()).decode("utf-8", "replace") for t, p, k in zip(text.tolist(), pos.tolist(), keys.tolist(), strict=True)}
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.string())], names=["key", "line"])
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +238,7 @@ def duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
         lo, hi = F.least(F.col(f"{x}n"), F.col(f"{y}n")), F.greatest(F.col(f"{x}n"), F.col(f"{y}n"))
         return (F.bit_count(F.col(f"{x}print").bitwiseXOR(F.col(f"{y}print"))) <= MAX_BITS) & (lo >= hi * similarity)
 
-    found = links(spark, fuzzy.select("id", "print", "n"), _post, near, _verify(docs, fuzzy, id_col, text_col, similarity, keep), keep)
+    found = links(spark, fuzzy.select("id", "print", "n"), ["print"], _keys, near, _verify(docs, fuzzy, id_col, text_col, similarity, keep), keep)
     grouped = nodes.join(found, nodes.key == found.node, "left").select("key", "copies", "first", F.coalesce("component", "key").alias("group"))
     kept = grouped.groupBy("group").agg(F.min("first").alias("kept"), F.sum("copies").alias("n")).where("n > 1")
     repeated = grouped.join(kept, "group").select("key", "kept")
@@ -204,31 +249,20 @@ def duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
 def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, count: bool = False) -> DataFrame:
     """The documents without repeated lines, columns as they were; with `count`, also n_lines and n_gone."""
     gone = duplicates(spark, docs, id_col, text_col, similarity)
-    schema = docs.schema
     wide = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)), _doc(id_col, text_col).alias("doc"))
-    at = docs.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, lines, lost = [], [], []
-            for text, drop in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                parts = text.split("\n") if text else []
-                if drop:
-                    drop = set(drop)
-                    text = "\n".join([x for i, x in enumerate(parts) if i not in drop])
-                texts.append(text)
-                lines.append(len(parts))
-                lost.append(len(drop or ()))
-            cols = [batch.column(i) for i in range(len(schema))]
-            cols[at] = pa.array(texts, pa.string())
-            if count:
-                cols += [pa.array(lines, pa.int64()), pa.array(lost, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    names = [f"c{i}" for i in range(len(schema))] + ["n_lines", "n_gone"] * count
-    out_schema = ", ".join([f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(schema)] + ["n_lines bigint", "n_gone bigint"] * count)
-    out = wide.join(gone, "doc", "left").drop("doc").mapInArrow(run, out_schema)
-    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)), *names[len(schema) :])
+    text = F.col(f"c{docs.columns.index(text_col)}")
+
+    def kept(parts: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0).cast("bigint"), (F.size(parts) - 1).cast("bigint")), F.col("gone"))
+        return F.array_join(F.transform(stay, lambda i: F.element_at(parts, (i + 1).cast("int"))), "\n")
+
+    # The split stands in an array of one, so that the lambda sees its value and not the expression.
+    without = F.transform(F.array(F.split(text, "\n", -1)), kept)[0]
+    out = wide.join(gone, "doc", "left")
+    cols = [F.when(F.col("gone").isNull(), text).otherwise(without).alias(c) if c == text_col else F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    n_lines = F.when(F.coalesce(text, F.lit("")) == "", F.lit(0)).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
+    more = [n_lines.cast("bigint").alias("n_lines"), F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("bigint").alias("n_gone")] if count else []
+    return out.select(*cols, *more)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.llm.words import Numbering, words_of
+from grainmill.llm.words import Numbering, pack, steps_of, unpack, words_of
 from grainmill.session import Written
 
 #: Bytes of text in a chunk (more only for one longer text), which bounds a task's memory.
@@ -44,27 +44,6 @@ def held_out(doc_id: int | None, folds: int = 5, fold: int = 1) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % folds == fold
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    body = b"".join(np.int64(len(a)).tobytes() + a.dtype.str.encode().ljust(4) + a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(body)
-
-
-def _unpack(blob: bytes) -> list[np.ndarray]:
-    body, at, out = zstandard.ZstdDecompressor().decompress(blob), 0, []
-    while at < len(body):
-        n = int(np.frombuffer(body, np.int64, 1, at)[0])
-        kind = np.dtype(body[at + 8 : at + 12].decode().strip())
-        size = n * kind.itemsize
-        out.append(np.frombuffer(body, np.uint8, size, at + 12).reshape(kind.itemsize, n).T.copy().reshape(-1).view(kind))
-        at += 12 + size
-    return out
-
-
-def _steps(sorted_hashes: np.ndarray) -> np.ndarray:
-    """Sorted values as differences, whose high bytes compress to nothing."""
-    return np.diff(sorted_hashes, prepend=np.uint64(0))
-
-
 def bigram_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     x = first * np.uint64(0xBF58476D1CE4E5B9) + (second ^ (second >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
@@ -182,13 +161,13 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
                 for p in range(1 << bits):
                     blobs = []
                     for h, c, cuts in sides:
-                        blobs += [_steps(h[cuts[p] : cuts[p + 1]]), c[cuts[p] : cuts[p + 1]]]
-                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([chunk], pa.int64()), pa.array([_pack(*blobs)], pa.binary())], names=["p", "chunk", "asked"])
+                        blobs += [steps_of(h[cuts[p] : cuts[p + 1]]), c[cuts[p] : cuts[p + 1]]]
+                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([chunk], pa.int64()), pa.array([pack(*blobs)], pa.binary())], names=["p", "chunk", "asked"])
 
     def answer(group: pa.Table) -> pa.Table:
         p = group.column("p")[0].as_py()
         chunk_ids = group.column("chunk").to_pylist()
-        asked = [_unpack(b.as_py()) for b in group.column("asked")]
+        asked = [unpack(b.as_py()) for b in group.column("asked")]
         out: list[list[np.ndarray]] = [[] for _ in chunk_ids]
         stats = {}
         for side in (0, 2):
@@ -203,7 +182,7 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
             for i, a in enumerate(asked):
                 out[i].append(answers[at : at + len(a[side])])
                 at += len(a[side])
-        rows = {"p": [p] * len(out), "chunk": chunk_ids, "counts": [_pack(*o) for o in out]}
+        rows = {"p": [p] * len(out), "chunk": chunk_ids, "counts": [pack(*o) for o in out]}
         first = [True] + [False] * (len(out) - 1)  # the range's share of the totals, once
         rows |= {k: [v if f else 0 for f in first] for k, v in stats.items()}
         return pa.table({k: pa.array(v, pa.binary() if k == "counts" else pa.int32() if k == "p" else pa.int64()) for k, v in rows.items()})
@@ -218,7 +197,7 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
             ids, texts = _open(blob.as_py())
             tokens = Tokens(texts)
             order = np.argsort(np.array(found.column("p").to_pylist(), np.int64))
-            parts = [_unpack(found.column("counts")[i].as_py()) for i in order.tolist()]
+            parts = [unpack(found.column("counts")[i].as_py()) for i in order.tolist()]
             counts = []
             for side, h in ((0, tokens.hashes), (1, tokens.pair_hashes())):
                 back = np.zeros(len(h), np.int64)

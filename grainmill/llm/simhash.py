@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainmill.llm.components import components
-from grainmill.llm.words import slices, words_of
+from grainmill.llm.words import pack, release, slices, steps_of, unpack, words_of
 from grainmill.session import Written
 
 BYTES = 8
@@ -82,20 +82,23 @@ def _combos(min_shared: int, width: int = 3) -> list[tuple[int, ...]]:
     return list(combinations(range(BYTES - (min_shared - width)), width))
 
 
-def _postings(nodes: DataFrame, fps: list[str], min_shared: int) -> DataFrame:
-    combos = _combos(min_shared)
-    keys = []
-    for f, name in enumerate(fps):
-        for c, places in enumerate(combos):
-            packed = F.lit(f * len(combos) + c).cast("bigint")
-            for p in places:
-                packed = F.shiftleft(packed, 8).bitwiseOR(_byte(F.col(name), p))
-            keys.append(packed)
-    return nodes.select(*nodes.columns, F.explode(F.array(*keys)).alias("key"))
+Keys = Callable[[dict[str, np.ndarray]], Iterator[np.ndarray]]
+#: Nodes whose postings a task deals out at once, and postings that it matches at once.
+DEALT, MATCHED = 1 << 16, 1 << 20
+
 
+def by_bytes(fps: list[str], min_shared: int) -> tuple[Keys, Callable[[str, str], Column]]:
+    """Posting keys and pair test of the byte-position index over the fingerprint columns `fps`."""
+    combos = _combos(min_shared)
 
-def by_bytes(fps: list[str], min_shared: int) -> tuple[Callable[[DataFrame], DataFrame], Callable[[str, str], Column]]:
-    """Posting function and pair test of the byte-position index over the fingerprint columns `fps`."""
+    def keys(nodes: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
+        for f, name in enumerate(fps):
+            places = nodes[name].view(np.uint8).reshape(-1, BYTES).astype(np.int64)
+            for c, combo in enumerate(combos):
+                key = np.full(len(places), f * len(combos) + c, np.int64)
+                for p in combo:
+                    key = (key << 8) | places[:, p]
+                yield key
 
     def enough(x: str, y: str) -> Column:
         some = F.lit(False)
@@ -103,40 +106,117 @@ def by_bytes(fps: list[str], min_shared: int) -> tuple[Callable[[DataFrame], Dat
             some = some | (_shared(F.col(x + name), F.col(y + name)) >= min_shared)
         return some
 
-    return lambda nodes: _postings(nodes, fps, min_shared), enough
+    return keys, enough
+
 
+def _deal(prints: list[str], keys: Keys, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(part, data): postings of many nodes at once, by a hash of their key; data is their keys and node ids."""
 
-def links(spark: SparkSession, nodes: DataFrame, post: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame] | None = None, keep: Written | None = None) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            held.clear()
+            nodes = {name: np.ascontiguousarray(table.column(name).to_numpy(), np.int64) for name in prints}
+            posted = list(keys(nodes))
+            key, node = np.concatenate(posted), np.tile(table.column("id").to_numpy(), len(posted))
+            part = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+            part = (part % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((key, part))
+            key, node, part = key[order], node[order], part[order]
+            cuts = np.searchsorted(part, np.arange(parts + 1))
+            some = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
+            data = [pack(steps_of(key[cuts[p] : cuts[p + 1]].view(np.uint64)), node[cuts[p] : cuts[p + 1]]) for p in some]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(data, pa.binary())], names=["part", "data"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= DEALT:
+                yield out()
+        if held:
+            yield out()
+        release()
+
+    return run
+
+
+def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, id) of postings whose key has more than one. Held are one head per key and a run of postings, so a list of
+    any length streams through: its head goes out with the first posting that meets it."""
+    heads = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]  # key, node, has gone out
+
+    def settle(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        nonlocal heads
+        key = np.concatenate([np.cumsum(h[0], dtype=np.uint64).view(np.int64) for h in held])
+        node = np.concatenate([h[1] for h in held])
+        order = np.argsort(key, kind="stable")
+        key, node = key[order], node[order]
+        first = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0] if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(key)))
+        distinct = key[first]
+        at = np.minimum(np.searchsorted(heads[0], distinct), max(len(heads[0]) - 1, 0))
+        known = heads[0][at] == distinct if len(heads[0]) else np.zeros(len(distinct), bool)
+        met = known | (size > 1)
+        goes = np.repeat(met, size)
+        late = at[known][~heads[2][at[known]]] if known.any() else np.zeros(0, np.int64)
+        out = np.concatenate([key[goes], heads[0][late]]), np.concatenate([node[goes], heads[1][late]])
+        heads[2][late] = True
+        fresh = ~known
+        merged = [np.concatenate([old, new]) for old, new in zip(heads, (distinct[fresh], node[first][fresh], (size > 1)[fresh]), strict=True)]
+        order = np.argsort(merged[0], kind="stable")
+        heads = [m[order] for m in merged]
+        return pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], names=["key", "id"])
+
+    held, n = [], 0
+    for batch in batches:
+        for blob in batch.column(1):
+            held.append(unpack(blob.as_py()))
+            n += len(held[-1][1])
+            if n >= MATCHED:
+                yield settle(held)
+                held, n = [], 0
+    if held:
+        yield settle(held)
+    release()
+
+
+def links(spark: SparkSession, nodes: DataFrame, prints: list[str], keys: Keys, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame] | None = None, keep: Written | None = None) -> DataFrame:
     """(node, component) of nodes joined by verified links.
 
-    nodes: id bigint, unique, and whatever post and near read, written to a table. post(nodes) adds a posting column
-    `key`, a row per posting list; pairs that share a list are candidates if near(prefix a, prefix b) holds on their
-    columns; verify, if given, filters pairs (a, b) further."""
+    nodes: id bigint, unique, the bigint columns `prints`, and what near reads, written to a table. keys gives posting keys
+    from arrays of the prints, an array per posting; pairs that share a key are candidates if near(prefix a, prefix b)
+    holds on their columns; verify, if given, filters pairs (a, b) further."""
     keep = keep or Written(spark)
     cols = nodes.columns
 
     def paired(left: DataFrame, right: DataFrame, on: Column, name: str) -> DataFrame:
         found = left.join(right, on & near("x_", "y_"))
         out = found.select(F.greatest("x_id", "y_id").alias("a"), F.least("x_id", "y_id").alias("b")).distinct()
-        return keep(verify(keep(out, f"{name}-pairs")) if verify else out, name)
+        if not verify:
+            return keep(out, name)
+        out = keep(out, f"{name}-pairs")
+        return keep(verify(out), name) if out.limit(1).count() else out
 
     def named(df: DataFrame, prefix: str) -> DataFrame:
         return df.select(*(F.col(c).alias(prefix + c) for c in df.columns))
 
-    lists = post(nodes)
-    heads = lists.groupBy("key").agg(F.min(F.struct("id", *(c for c in cols if c != "id"))).alias("h"), F.max("id").alias("most")).where("h.id < most").select("key", "h.*")
-    first = paired(named(lists, "x_"), named(heads, "y_"), (F.col("x_key") == F.col("y_key")) & (F.col("x_id") != F.col("y_id")), "stars")
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = nodes.select("id", *prints).repartition(spread, "id").mapInArrow(_deal(prints, keys, 2 * spread), "part int, data binary")
+    shared = dealt.repartition(spread, "part").mapInArrow(_match, "key bigint, id bigint")
+    members = keep(shared.join(nodes, "id").select("key", *cols), "members")
+    heads = members.groupBy("key").agg(F.min(F.struct("id", *(c for c in cols if c != "id"))).alias("h"), F.count("*").alias("size"))
+    first = paired(named(members, "x_"), named(heads.select("key", "h.*"), "y_"), (F.col("x_key") == F.col("y_key")) & (F.col("x_id") != F.col("y_id")), "stars")
     found = components(spark, first, keep)
 
-    marked = nodes.join(found, nodes.id == found.node, "left").select(*cols, F.coalesce("component", "id").alias("component"))
-    marked = keep(marked, "marked")
-    lists = post(marked)
     # A list of two was settled by its star; any longer one that still holds two components is compared across them.
-    mixed = lists.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("key")
-    open_lists = keep(lists.join(mixed, "key", "left_semi"), "open")
+    longer = members.join(heads.where("size > 2").select("key"), "key", "left_semi")
+    marked = keep(longer.join(found, longer.id == found.node, "left").select("key", *cols, F.coalesce("component", "id").alias("component")), "marked")
+    mixed = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    open_lists = keep(marked.join(mixed, "key", "left_semi"), "open")
     x, y = named(open_lists, "x_"), named(open_lists, "y_")
     second = paired(x, y, (F.col("x_key") == F.col("y_key")) & (F.col("x_component") < F.col("y_component")), "across")
-    return components(spark, first.unionByName(second), keep)
+    return components(spark, first.unionByName(second), keep) if second.limit(1).count() else found
 
 
 def hamming_components(spark: SparkSession, fps: DataFrame, max_bits: int = 4, keep: Written | None = None) -> DataFrame:
@@ -146,8 +226,8 @@ def hamming_components(spark: SparkSession, fps: DataFrame, max_bits: int = 4, k
         raise ValueError("a byte-position index guarantees shared bytes only below 8 differing bits")
     keep = keep or Written(spark)
     nodes = keep(fps.groupBy("fp").agg(F.min("id").alias("id")).where("id is not null"), "nodes").select("id", "fp")
-    post, enough = by_bytes(["fp"], BYTES - max_bits)
-    found = links(spark, nodes, post, lambda x, y: enough(x, y) & (F.bit_count(F.col(f"{x}fp").bitwiseXOR(F.col(f"{y}fp"))) <= max_bits), keep=keep)
+    keys, enough = by_bytes(["fp"], BYTES - max_bits)
+    found = links(spark, nodes, ["fp"], keys, lambda x, y: enough(x, y) & (F.bit_count(F.col(f"{x}fp").bitwiseXOR(F.col(f"{y}fp"))) <= max_bits), keep=keep)
     return nodes.join(found, nodes.id == found.node, "left").select("fp", F.coalesce("component", "id").alias("component"))
 
 
@@ -224,8 +304,8 @@ def near_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
         lo, hi = F.least(F.col(x + "n"), F.col(y + "n")), F.greatest(F.col(x + "n"), F.col(y + "n"))
         return some & enough(x, y) & (lo >= hi * threshold)
 
-    post, enough = by_bytes(fps, min_shared)
-    found = links(spark, nodes.select("id", "n", *fps), post, near, _jaccard_filter(docs, id_col, text_col, width, threshold), keep)
+    keys, enough = by_bytes(fps, min_shared)
+    found = links(spark, nodes.select("id", "n", *fps), fps, keys, near, _jaccard_filter(docs, id_col, text_col, width, threshold), keep)
     named = nodes.join(found, nodes.id == found.node, "left").select("key", F.coalesce("component", "id").alias("component"))
     return rows.select("id", "key").join(named, "key", "left").select("id", "component")
 

@@ -4,11 +4,14 @@ A word is a run of bytes other than space and 0x09-0x0D, which is what bytes.spl
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 
 #: Texts handed to numpy at once: bounds a Python worker's memory whatever the Arrow batch holds.
 SLICE_BYTES = 4 << 20
@@ -74,6 +77,15 @@ class Ragged:
         return self.data[np.repeat(starts - before, lens) + np.arange(total)], lens
 
 
+def release() -> None:
+    """Hands freed memory back to the system, as a Python worker lives on and would hold it while other work runs."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each slice holds about `limit` bytes of text, or one row if that is longer."""
     for batch in batches:
@@ -87,6 +99,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             held += n + 64
         if start < len(lens):
             yield batch.slice(start)
+    release()
 
 
 def sums_by(values: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -94,3 +107,25 @@ def sums_by(values: np.ndarray, lens: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0], np.cumsum(values)])
     ends = np.cumsum(lens)
     return total[ends] - total[ends - lens]
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays in one compressed blob, byte by byte of their values, so that high bytes that hardly vary cost nothing."""
+    body = b"".join(np.int64(len(a)).tobytes() + a.dtype.str.encode().ljust(4) + a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
+    return zstandard.ZstdCompressor(level=1).compress(body)
+
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    body, at, out = zstandard.ZstdDecompressor().decompress(blob), 0, []
+    while at < len(body):
+        n = int(np.frombuffer(body, np.int64, 1, at)[0])
+        kind = np.dtype(body[at + 8 : at + 12].decode().strip())
+        size = n * kind.itemsize
+        out.append(np.frombuffer(body, np.uint8, size, at + 12).reshape(kind.itemsize, n).T.copy().reshape(-1).view(kind))
+        at += 12 + size
+    return out
+
+
+def steps_of(sorted_hashes: np.ndarray) -> np.ndarray:
+    """Sorted values as differences, whose high bytes compress to nothing."""
+    return np.diff(sorted_hashes, prepend=np.uint64(0))

@@ -3,6 +3,7 @@
 from itertools import combinations
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -32,7 +33,9 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
 
 
-def test_components_match_union_find(spark):
+@pytest.mark.parametrize("single", [components.SINGLE, 0])
+def test_components_match_union_find(spark, monkeypatch, single):
+    monkeypatch.setattr(components, "SINGLE", single)
     r = np.random.default_rng(0)
     pairs = [tuple(map(int, p)) for p in r.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5)]
     got = {x.node: x.component for x in components.components(spark, spark.createDataFrame(pairs, "a bigint, b bigint").repartition(5)).collect()}
@@ -101,15 +104,14 @@ def test_edit_distance(a, b, most):
 
 def brute_lines(rows):
     """Kept texts by doc order, from pairs of all lines."""
-    prints = lines._Prints()
     occ, norm = [], {}
     for k, (i, text) in enumerate(rows):
-        for pos, w in enumerate(lines.normalised(text) if text else []):
-            if w:
+        for pos, line in enumerate(lines.normalise(text).split(b"\n") if text else []):
+            if w := line.split():
                 occ.append((k, i, pos, b" ".join(w).decode()))
     names = sorted({o[3] for o in occ})
     for n in names:
-        norm[n] = int(prints([n.encode().split()])[0]) & (2**64 - 1)
+        norm[n] = int(lines.line_facts([n])[4][0]) & (2**64 - 1)
     pairs = [(a, b) for a, b in combinations(names, 2) if bin(norm[a] ^ norm[b]).count("1") <= 3 and lines.distance_within(a, b, int(0.1 * max(len(a), len(b)) + 1e-9))]
     group = union(names, pairs)
     first = {}
@@ -119,6 +121,19 @@ def brute_lines(rows):
     return [(i, None if t is None else "\n".join(x for pos, x in enumerate(t.split("\n")) if (k, pos) not in gone)) for k, (i, t) in enumerate(rows)], pairs
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text("ab1,. \n\x0b\x1cé日", max_size=25)), max_size=6))
+def test_line_facts_match_a_plain_reading(texts):
+    text, pos, keys, n, prints = lines.line_facts(texts)
+    want = [(t, p, b" ".join(line.split())) for t, x in enumerate(texts) for p, line in enumerate(lines.normalise(x).split(b"\n") if x else []) if line.split()]
+    assert list(zip(text.tolist(), pos.tolist(), strict=True)) == [w[:2] for w in want]
+    assert n.tolist() == [len(w[2].decode()) for w in want]
+    names = [w[2] for w in want]
+    assert all((keys[i] == keys[j]) == (names[i] == names[j]) for i in range(len(names)) for j in range(i))
+    alone = [lines.line_facts([x.decode()]) for x in names]
+    assert [int(a[2][0]) for a in alone] == keys.tolist() and [int(a[4][0]) for a in alone] == prints.tolist()
+
+
 def test_line_dedup_matches_all_pairs(spark):
     from tests.llm.conftest import invented
 
@@ -142,3 +157,24 @@ def test_line_dedup_edge_cases(spark, docs, empty):
     out = lines.dedup(spark, docs, count=True)
     assert out.count() == docs.count()
     assert lines.dedup(spark, empty).count() == 0
+
+
+def test_posting_lists_stream_in_runs_of_any_size(monkeypatch):
+    import pyarrow as pa
+
+    from grainmill.llm.words import pack, steps_of
+
+    r = np.random.default_rng(0)
+    keys, nodes = r.integers(-20, 200, 900), np.arange(900)
+    keys[r.integers(0, 900, 200)] = 7  # one long list
+    blobs = []
+    for part in np.array_split(np.arange(900), 23):
+        order = part[np.argsort(keys[part].view(np.uint64), kind="stable")]
+        blobs.append(pack(steps_of(keys[order].view(np.uint64)), nodes[order]))
+    batches = [pa.RecordBatch.from_arrays([pa.array([0] * len(b), pa.int32()), pa.array(b, pa.binary())], names=["part", "data"]) for b in (blobs[:9], blobs[9:])]
+    counts = {k: int((keys == k).sum()) for k in set(keys.tolist())}
+    want = sorted((k, n) for k, n in zip(keys.tolist(), nodes.tolist(), strict=True) if counts[k] > 1)
+    for run in (1, 50, 10_000):
+        monkeypatch.setattr(simhash, "MATCHED", run)
+        got = [x for b in simhash._match(iter(batches)) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        assert sorted(got) == want
