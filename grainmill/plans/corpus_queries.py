@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from grainmill.functions import code, text
-from grainmill.operators import batches, corpus, datasets, dedup, sets
+from grainmill.operators import batches, corpus, datasets, dedup, prompts, sets
 from grainmill.plans.bindings import RECORDS, records
 from grainmill.session import table
 from grainmill.sources import files, sinks
@@ -251,3 +251,7 @@ add("f03_f07_code_facts", lambda s, d: sources(s, d).withColumn("f", code.code_f
 add("a09_x09_identifiers", lambda s, d: code.identifier_table(sources(s, d)), "WITH t AS (SELECT doc_id FROM documents WHERE doc_id % 9 > 1), n AS (SELECT doc_id, 'f' || doc_id % 7 AS name, 1 AS k FROM t UNION ALL SELECT doc_id, 'self', 1 FROM t UNION ALL SELECT doc_id, 'x' || doc_id % 3, 2 FROM t UNION ALL SELECT doc_id, 'MAX_' || doc_id % 5, 1 FROM t UNION ALL SELECT doc_id, 'x', 1 FROM documents WHERE doc_id % 9 = 1) SELECT name, sum(k)::bigint AS total, count(DISTINCT doc_id) AS n_files, round(round(100.0 * count(DISTINCT doc_id) / (SELECT count(*) FROM documents WHERE doc_id % 9 <> 0), 1), 6) + 0.0 AS pct_files, CASE WHEN name = 'self' THEN 'convention' WHEN name = 'x' THEN 'single_letter' WHEN starts_with(name, 'MAX') THEN 'constant_style' ELSE 'other' END AS category FROM n GROUP BY name")
 add("a10_categories", lambda s, d: code.identifier_table(sources(s, d)).groupBy("category").agg(F.count("*").alias("n_names"), F.sum("total").alias("total")), None)
 add("x11_remarks", lambda s, d: sources(s, d).select("doc_id", code.code_facts("code")["remarks"].alias("remarks")), "SELECT doc_id, CASE WHEN doc_id % 9 > 1 THEN 'note ' || doc_id ELSE '' END AS remarks FROM documents")
+add("b05_parallel", lambda s, d: prompts.parallel(packaged(s, d).select("file_path"), s.createDataFrame([(x,) for x in ("am", "ur", "zh")], "target string")).groupBy("target").agg(F.count("*").alias("n")), "SELECT target, count(*) AS n FROM documents CROSS JOIN (VALUES ('am'), ('ur'), ('zh')) t(target) GROUP BY 1")
+_E_SHARE = "length(regexp_replace(text, '[^a-e]', '', 'g')) / length(text)"
+add("a38_overview", lambda s, d: prompts.by_tier(docs(s, d), corpus.script_share("text", "a", "e"), F.when(F.col("n_chars") > 3000, "long").otherwise("short"), ["source"]), f"SELECT source, CASE WHEN n_chars > 3000 THEN 'long' ELSE 'short' END AS tier, count(*) AS n, sum(length(text))::bigint AS n_chars, {r(f'avg({_E_SHARE})', 'mean_share')} FROM documents GROUP BY 1, 2")
+add("a38_histogram", lambda s, d: prompts.histogram(docs(s, d), F.col("n_chars").cast("double"), 0.0, 10_000.0, 20), "SELECT CASE WHEN n_chars >= 10000 THEN 21 ELSE floor(n_chars / 500.0) + 1 END::bigint AS bin, count(*) AS n FROM documents GROUP BY 1")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from grainmill.functions import labels, stats
 from grainmill.operators import answers as ans
 from grainmill.operators import evaluation as ev
+from grainmill.operators import prompts as pr
 from grainmill.plans.bindings import ANSWERS, CELLS, DIMENSION, LABELS, VERSUS, answers, dimension
 from grainmill.session import table
 from grainmill.sources.results import answers as parse_answers
@@ -228,3 +229,19 @@ def _results_file(spark, d):
 
 add("s11_x39_results_json", _results_file, f"WITH {ANSWERS} SELECT 'template' || template || '_' || benchmark || '_data=' || data || '_instr=' || instr AS cell, template, benchmark, data, instr, count(*) AS n, count(*) FILTER (orig_pred = gold) AS n_right FROM er WHERE condition = 'baseline' AND item % 7 = 0 GROUP BY ALL")
 add("x26_first_lines", lambda s, d: ans.surface_forms(table(s, d, "conversations").select(F.col("text").alias("raw_output"), "role", F.lit("x").alias("gold"), F.lit(None).cast("string").alias("pred"), "conv_id"), ["role"], ["conv_id"]).select("role", "form", "n", "n_cells"), "SELECT role, trim(split_part(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10), 1)) AS form, count(*) AS n, count(DISTINCT conv_id) AS n_cells FROM conversations GROUP BY ALL")
+
+# -- prompts and the evaluation matrix --------------------------------------------------------------------------------------
+
+_DIM = ", ".join("('" + t + "', '" + i + "', '" + p.replace("'", "''").replace("\n", "' || chr(10) || '") + "')" for b, t, i, p in pr.templates() if b == "topic")
+add("x28_p03_prompts", lambda s, d: pr.prompts(s, table(s, d, "benchmark"), "topic").select("item_id", "template", "instr", F.md5("prompt").alias("prompt")), f"SELECT item_id, template, instr, md5(replace(pattern, '{{text}}', text)) AS prompt FROM benchmark CROSS JOIN (VALUES {_DIM}) t(template, instr, pattern)")
+
+
+def _padded(spark, d):
+    rows = table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", "text", (F.col("conv_id") % 7).alias("batch"))
+    return pr.padded(pr.tokenised(rows, lambda c: F.transform(F.split(c, " "), lambda w: F.length(w)), "text", 16), "batch", -1)
+
+
+add("x36_x37_v09_padding", lambda s, d: _padded(s, d).select("conv_id", "turn", F.array_join("input_ids", ",").alias("ids"), F.array_join("attention_mask", ",").alias("mask")), "WITH t AS (SELECT conv_id, turn, conv_id % 7 AS batch, list_transform(string_split(text, ' ')[1:16], lambda w: length(w)) AS ids FROM conversations WHERE text IS NOT NULL), m AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) - len(ids) AS gap FROM t) SELECT conv_id, turn, array_to_string(list_concat(list_transform(range(gap), lambda x: -1), ids), ',') AS ids, array_to_string(list_concat(list_transform(range(gap), lambda x: 0), list_transform(ids, lambda x: 1)), ',') AS mask FROM m")
+_MATRIX = [("baseline", ["none"], ["en", "es", "zh", "ur"], ["en", "es", "zh", "ur"]), ("building-5k", ["42", "123", "456"], ["en"], ["en", "es"])]
+add("g03_matrix", lambda s, d: pr.matrix(s, _MATRIX, ["topic", "inference"]).groupBy("condition", "seed", "benchmark").agg(F.count("*").alias("n")), "SELECT condition, seed, benchmark, CASE WHEN condition = 'baseline' THEN 32 ELSE 4 END::bigint AS n FROM (SELECT * FROM (VALUES ('baseline', 'none'), ('building-5k', '42'), ('building-5k', '123'), ('building-5k', '456')) c(condition, seed) CROSS JOIN (VALUES ('topic'), ('inference')) b(benchmark))")
+add("a37_prompt_effect", lambda s, d: pr.prompt_effect(facts(s, d), "building-5k"), f"WITH {CELLS}, m AS (SELECT condition, benchmark, avg(rep_acc) FILTER (template = '1') AS t1, avg(rep_acc) FILTER (template = '2') AS t2 FROM cells GROUP BY 1, 2) SELECT m.condition, m.benchmark, {r('coalesce(m.t1, 0)', 'bar_t1')}, {r('coalesce(m.t2, 0)', 'bar_t2')}, {r('m.t2 - m.t1', 'effect')}, {r('m.t1 - a.t1', 'heat')} FROM m LEFT JOIN m a ON a.condition = 'building-5k' AND a.benchmark = m.benchmark")

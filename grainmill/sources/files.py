@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -130,3 +131,9 @@ def listing(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     return files.withColumn("name", F.element_at(F.split("path", "/"), -1)).where(F.regexp_like("name", F.lit(pattern)))
 
 
+
+
+def local_files(root: str, suffix: str = ".py") -> list[str]:
+    """Paths of files below a local root, sorted; links that lead out of it are passed over."""
+    base = Path(root).resolve()
+    return sorted(str(p) for p in base.rglob(f"*{suffix}") if p.is_file() and p.resolve().is_relative_to(base))
