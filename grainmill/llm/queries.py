@@ -10,6 +10,7 @@ from grainmill.llm.merkle import op10_fingerprints
 from grainmill.llm.mixing import op7_mixing
 from grainmill.llm.pieces import op8_pieces
 from grainmill.llm.simhash import op1_simhash
+from grainmill.llm.sql import ORACLE
 from grainmill.llm.token_files import op2_token_files
 from grainmill.llm.toxicity import op4_toxicity
 
@@ -25,4 +26,4 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_fingerprints": op10_fingerprints,
 }
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
