@@ -29,7 +29,7 @@ SAMPLE = 3000
 HEADS = (4, 5, 6)
 EDGES = b".,;:!?\"'()[]{}*#$%&|-_<>"
 STOPS = (b".", b"!", b"?")
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 def features(word: bytes) -> list[int]:
@@ -100,26 +100,34 @@ def fit(texts: list[str | None], labels: np.ndarray, rounds: int = 200, rate: fl
         return Model(np.zeros(FEATURES, np.float32), -60.0)
     bags = Bags()
     words, sizes, counts = bags(texts)
-    flat, lens = bags.slots.gather(words)
-    doc = np.repeat(np.arange(len(counts)), counts)
-    sentence = np.repeat(np.repeat(np.arange(len(sizes)), sizes), lens)
+    words = words.astype(np.int32)
+    doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    sentence = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    n_words = len(bags.known)
+    slots, lens = bags.slots.gather(np.arange(n_words))
+    word_of_slot = np.repeat(np.arange(n_words, dtype=np.int32), lens)
     # A slot of a single document can only teach that document's label by heart.
-    pairs = np.unique(flat * len(counts) + doc[sentence])
-    slots, spread = np.unique(pairs // len(counts), return_counts=True)
-    common = np.isin(flat, slots[spread > 1])
-    sentence, flat = sentence[common], flat[common]
-    used, flat = np.unique(flat, return_inverse=True)
+    first, last = np.full(n_words, len(counts)), np.full(n_words, -1)
+    np.minimum.at(first, words, doc[sentence])
+    np.maximum.at(last, words, doc[sentence])
+    low, high = np.full(FEATURES, len(counts)), np.full(FEATURES, -1)
+    np.minimum.at(low, slots, first[word_of_slot])
+    np.maximum.at(high, slots, last[word_of_slot])
+    common = (low < high)[slots]
+    slots, word_of_slot = slots[common], word_of_slot[common]
+    used, slots = np.unique(slots, return_inverse=True)
     w, bias = np.zeros(len(used)), -8.0
     share = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
     weigh = np.where(labels > 0, 0.3 / share[0], 0.7 / share[1])
     step, step_bias = np.full(len(used), 1e-8), 1e-8
     for _ in range(rounds):
-        z = bias + np.bincount(sentence, weights=w[flat], minlength=len(sizes))
-        p = 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
-        clean = np.exp(sums_by(-np.logaddexp(0, np.clip(z, -30, 30)), counts))
+        per_word = np.bincount(word_of_slot, weights=w[slots], minlength=n_words)
+        z = np.clip(bias + np.bincount(sentence, weights=per_word[words], minlength=len(sizes)), -30, 30)
+        p = 1.0 / (1.0 + np.exp(-z))
+        clean = np.exp(sums_by(-np.logaddexp(0, z), counts))
         pull = np.where(labels > 0, -clean / np.maximum(1 - clean, 1e-6), 1.0) * weigh
         grad_z = p * pull[doc]
-        grad = np.bincount(flat, weights=grad_z[sentence], minlength=len(used))
+        grad = np.bincount(slots, weights=np.bincount(words, weights=grad_z[sentence], minlength=n_words)[word_of_slot], minlength=len(used))
         step += grad**2
         step_bias += grad_z.sum() ** 2
         scale = rate / np.sqrt(step)
