@@ -30,7 +30,7 @@ from grainmill.llm.words import Numbering, Ragged, slices
 SPACE = "▁"
 VARIANTS = 4
 #: Distinct words remembered by a Python worker, a bound on its memory only.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Cuts that no piece reaches over: line feeds, before spaces, and between a letter and one of these marks.
 MARKS = ".,!?;:|"
 LETTER = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
@@ -70,13 +70,15 @@ class PieceModel:
     def segment(self, word: str, key: int = 0, limit: int = 0) -> list[int]:
         """Ids of a word whose spaces are real spaces; a space mark in it stands for itself. A candidate merge is skipped
         if its keyed hash is below `limit`."""
-        text = list(word)
-        if word[0] == " ":
-            text[: len(word) - len(word.lstrip(" "))] = [SPACE] * (len(word) - len(word.lstrip(" ")))
         if SPACE in word:
-            text = ["\0own" if w == SPACE else t for t, w in zip(text, word, strict=True)]
+            text = ["\0own" if c == SPACE else SPACE if c == " " else c for c in word]
+        else:
+            text = list(word.replace(" ", SPACE))
         (self._merge_short if len(text) <= SHORT else self._merge_long)(text, key, limit)
-        out: list[int] = []
+        out = list(map(self.ids.get, text))
+        if None not in out:
+            return out
+        out = []
         for symbol in text:
             found = self.ids.get(symbol)
             if found is not None:
