@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +33,14 @@ def local_session(cpus: int | str = 8, app: str = "grainmill", **more: str) -> S
     return spark
 
 
+def reach(spark: SparkSession) -> None:
+    """Python workers find this package where the driver found it, unless it has been shipped to them."""
+    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, *paths]))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; where it is unset (tests), one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -54,6 +64,7 @@ class Written:
     recomputation of what came before. `drop` removes one that nothing reads any more."""
 
     def __init__(self, spark: SparkSession):
+        reach(spark)
         self.spark = spark
         self.paths: dict[int, str] = {}
 
@@ -71,4 +82,5 @@ class Written:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reach(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
