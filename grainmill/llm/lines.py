@@ -1,11 +1,19 @@
 """Fuzzy line dedup.
 
 Lines are normalised (lower case, digits to 0, ASCII punctuation to spaces, single spaces); equal normalised lines are one
-node. A node's SimHash is over its distinct words; nodes at <= 3 differing bits share at least three of six blocks of
-the fingerprint (pigeonhole), so they meet in a posting list of three blocks, 31 to 33 bits. Candidates are verified by
-edit similarity, 1 - distance / longer length, on the normalised lines; of each connected group the first occurrence
-by (doc_id, document, line) stays and the others go. Lines too short for an edit to leave them similar match by equality
-only, which loses nothing.
+node. Nodes are candidates by any of three indexes:
+
+- The SimHash of their distinct words: nodes at <= 3 differing bits share at least three of six blocks (pigeonhole), so
+  they meet in a posting list of three blocks, 31 to 33 bits.
+- MinHashes of their word pairs, in BANDS bands of three: a pair of lines whose word pairs have a Jaccard similarity of
+  0.66 (two changed words in twenty) meets with probability 0.999. Lines of few words for their length, such as text
+  without spaces, take runs of 8 bytes instead. Edits that are spread over most words of a line can be missed here.
+- Lines of which one has under SHORT code points: one of the even parts of the shorter is in the longer, close to its
+  place, as there is one part more than edits (pigeonhole). This loses nothing.
+
+Candidates are verified by edit similarity alone, 1 - distance / longer length, on the normalised lines; of each
+connected group the first occurrence by (doc_id, document, line) stays and the others go. Lines too short for an edit
+to leave them similar match by equality only, which loses nothing.
 
 A group of copies is one node, links are stars first and then only across components, and the occurrence to keep is a
 minimum with map-side combine, so neither a line that is everywhere nor a large group of near copies is gathered.
@@ -22,15 +30,18 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.llm.simhash import links
+from grainmill.llm.simhash import by_marks, links, marks_of
 from grainmill.llm.words import slices
 from grainmill.session import Written
 
-MAX_BITS = 3
 SIMILARITY = 0.9
+#: Bands of three MinHashes. Lines shorter than SHORT are indexed by their parts; longer words than WIDE code points in
+#: the mean are cut into runs of RUN bytes.
+BANDS, SHORT, WIDE, RUN = 20, 64, 16, 8
 #: Bit ranges of the six blocks of a fingerprint.
 BLOCKS = [(0, 11), (11, 22), (22, 33), (33, 43), (43, 54), (54, 64)]
 TABLE = bytes(ord("0") if chr(b).isdigit() else 32 if chr(b) in string.punctuation else b for b in range(256))
@@ -77,16 +88,17 @@ def _run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return _mix(shifted + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def line_facts(texts: list[str | None]) -> tuple[np.ndarray, ...]:
+def line_facts(texts: list[str | None], similarity: float | None = None) -> tuple[np.ndarray, ...]:
     """(text, pos, key, n, print) of the lines that aren't blank after normalisation, in order: key is a 64-bit hash of
-    the normalised line, n its code points, print the SimHash of its distinct words. All steps are on whole arrays."""
+    the normalised line, n its code points, print the SimHash of its distinct words. All steps are on whole arrays. With
+    `similarity`, also their marks."""
     raw = [normalise(t) if t else b"" for t in texts]
     buffer = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
     space = (buffer == 32) | ((buffer >= 9) & (buffer <= 13))
     edges = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
     starts, ends = np.nonzero(edges == -1)[0], np.nonzero(edges == 1)[0]
     if not len(starts):
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return (*(np.zeros(0, np.int64) for _ in range(5)), *([[]] if similarity else []))
     breaks = np.nonzero(buffer == 10)[0]
     line_of_word = np.searchsorted(breaks, starts)
     text_ends = np.cumsum([len(r) + 1 for r in raw]) - 1  # each text's own closing break
@@ -109,7 +121,64 @@ def line_facts(texts: list[str | None]) -> tuple[np.ndarray, ...]:
     kept = order[~same]
     owner, held = rank[kept], words[kept]
     begin = np.nonzero(np.diff(owner.astype(np.int64), prepend=-1))[0]
-    return text, pos, keys, n, _majorities(held, begin)
+    facts = text, pos, keys, n, _majorities(held, begin)
+    if not similarity:
+        return facts
+    marks = list(map(bytes, _bands(words, rank.astype(np.int64), first)))
+    for i in np.nonzero((n > WIDE * (last - first)) | (n <= (SHORT - 1) / similarity + 1e-9))[0].tolist():
+        line = b" ".join(buffer[starts[first[i]] : ends[last[i] - 1]].tobytes().split())
+        if n[i] > WIDE * (last[i] - first[i]):
+            runs = np.lib.stride_tricks.sliding_window_view(np.frombuffer(line.ljust(RUN), np.uint8), RUN)
+            runs = _mix(np.ascontiguousarray(runs).view(np.uint64)[:, 0])
+            marks[i] += bytes(_min_marks(runs, np.zeros(1, np.int64))[0])
+        marks[i] += _parts(line.decode("utf-8", "replace"), similarity)
+    return *facts, marks
+
+
+_SPREADS = _mix(np.arange(1, 6 * BANDS + 1, dtype=np.uint64) * np.uint64(BASE)).reshape(BANDS, 3, 2)
+
+
+def _bands(words: np.ndarray, rank: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Marks of lines by their pairs of adjacent words, the line's ends counting as words."""
+    left, right = np.zeros(len(words) + len(first), np.uint64), np.zeros(len(words) + len(first), np.uint64)
+    at = np.arange(len(words)) + rank
+    right[at] = left[at + 1] = words
+    return _min_marks(_mix(left * np.uint64(BASE) + right), first + np.arange(len(first)))
+
+
+def _min_marks(features: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """A row of BANDS marks for each run of features: hashes of three MinHashes each."""
+    keys = np.empty((len(begin), BANDS), np.uint64)
+    for band, spreads in enumerate(_SPREADS):
+        key = np.full(len(begin), band + 1, np.uint64)
+        for times, plus in spreads:
+            key = _mix(key * np.uint64(BASE) + np.minimum.reduceat(features * (times | np.uint64(1)) + plus, begin))
+        keys[:, band] = key
+    return np.frombuffer(marks_of(keys.reshape(-1)), np.uint8).reshape(len(begin), -1)
+
+
+def _parts(line: str, similarity: float) -> bytes:
+    """Marks by which lines meet if the shorter has under SHORT code points: for each length that the shorter may have,
+    its even parts, one more than edits can be in the pair's longer line; the shorter posts its own, the longer what it
+    holds at those places, moved by as much as edits can."""
+    size, keys = len(line), set()
+    digest = xxhash.xxh3_64_intdigest
+
+    def most(longer: int) -> int:
+        return int((1 - similarity) * longer + 1e-9)
+
+    for shorter in range(1, min(size, SHORT - 1) + 1):
+        if size - shorter > most(size):
+            continue
+        # Parts depend on the shorter line only: as many as the longest line that it can be similar to allows.
+        edits = most(int(shorter / similarity + 1e-9))
+        cuts = [shorter * k // (edits + 1) for k in range(edits + 2)]
+        for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            more = size - shorter  # edits before a part and after it bound how far the first equal part has moved
+            for by in range(max(-k, more - edits + k), min(k, more + edits - k) + 1):
+                if 0 <= lo + by and hi + by <= size:
+                    keys.add(digest(f"{shorter} {k} {line[lo + by : hi + by]}"))
+    return marks_of(np.array(sorted(keys), np.uint64))
 
 
 def _majorities(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -129,16 +198,16 @@ def _majorities(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return np.packbits(ones.astype(np.int64) * 2 > sizes[:, None], axis=1, bitorder="little").reshape(-1, 8).view(np.int64)[:, 0]
 
 
-def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, doc_id, pos, key, n, print) of each line that isn't blank: doc is a hash of (doc_id, text)."""
+def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(doc, doc_id, pos, key, n, print, marks) of each line that isn't blank: doc is a hash of (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=SLICE):
-            text, *facts = line_facts(batch.column(2).to_pylist())
+            text, *facts, marks = line_facts(batch.column(2).to_pylist(), similarity)
             at = pa.array(text)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(f) for f in facts)], names=["doc", "doc_id", "pos", "key", "n", "print"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(f) for f in facts), pa.array(marks, pa.binary())], names=["doc", "doc_id", "pos", "key", "n", "print", "marks"])
 
-    return _named(docs, id_col, text_col).mapInArrow(run, "doc bigint, doc_id bigint, pos bigint, key bigint, n bigint, print bigint")
+    return _named(docs, id_col, text_col).mapInArrow(run, "doc bigint, doc_id bigint, pos bigint, key bigint, n bigint, print bigint, marks binary")
 
 
 def _doc(id_col: str, text_col: str) -> Column:
@@ -150,11 +219,12 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _keys(nodes: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
-    """A posting key for each three of the six blocks."""
+    """A posting key for each three of the six blocks, and the marks."""
     prints = nodes["print"].view(np.uint64)
     parts = [((prints >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)).astype(np.int64) for lo, hi in BLOCKS]
     for c, (i, j, k) in enumerate(combinations(range(len(BLOCKS)), 3)):
         yield (c << 33) + (parts[i] << 22) + (parts[j] << 11) + parts[k]
+    yield by_marks(nodes["marks"])
 
 
 def distance_within(a: str, b: str, most: int) -> bool:
@@ -228,17 +298,17 @@ def _verify(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, simil
 def duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, keep: Written | None = None) -> DataFrame:
     """(doc, gone) of documents that lose lines: gone is their places, from 0."""
     keep = keep or Written(spark)
-    lines = keep(lines_of(docs, id_col, text_col), "lines")
+    lines = keep(lines_of(docs, id_col, text_col, similarity), "lines")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("i"), "doc", "pos"))
-    nodes = keep(lines.groupBy("key").agg(F.min("print").alias("print"), F.min("n").alias("n"), F.count("*").alias("copies"), first.alias("first")), "line-nodes")
+    nodes = keep(lines.groupBy("key").agg(F.min("print").alias("print"), F.min("n").alias("n"), F.min("marks").alias("marks"), F.count("*").alias("copies"), first.alias("first")), "line-nodes")
     # A line of n code points is similar to another only if an edit fits into (1 - similarity) of the longer one.
-    fuzzy = nodes.where(F.col("n") * (1 - similarity) / similarity >= 1 - 1e-9).select(F.col("key").alias("id"), "print", "n", "first.doc")
+    fuzzy = nodes.where(F.col("n") * (1 - similarity) / similarity >= 1 - 1e-9).select(F.col("key").alias("id"), "print", "n", "marks", "first.doc")
 
     def near(x: str, y: str) -> Column:
         lo, hi = F.least(F.col(f"{x}n"), F.col(f"{y}n")), F.greatest(F.col(f"{x}n"), F.col(f"{y}n"))
-        return (F.bit_count(F.col(f"{x}print").bitwiseXOR(F.col(f"{y}print"))) <= MAX_BITS) & (lo >= hi * similarity)
+        return lo >= hi * similarity
 
-    found = links(spark, fuzzy.select("id", "print", "n"), ["print"], _keys, near, _verify(docs, fuzzy, id_col, text_col, similarity, keep), keep)
+    found = links(spark, fuzzy.select("id", "print", "n", "marks"), ["print", "marks"], _keys, near, _verify(docs, fuzzy, id_col, text_col, similarity, keep), keep)
     grouped = nodes.join(found, nodes.key == found.node, "left").select("key", "copies", "first", F.coalesce("component", "key").alias("group"))
     kept = grouped.groupBy("group").agg(F.min("first").alias("kept"), F.sum("copies").alias("n")).where("n > 1")
     repeated = grouped.join(kept, "group").select("key", "kept")

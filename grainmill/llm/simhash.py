@@ -82,11 +82,27 @@ def _combos(min_shared: int, width: int = 3) -> list[tuple[int, ...]]:
     return list(combinations(range(BYTES - (min_shared - width)), width))
 
 
-Keys = Callable[[dict[str, np.ndarray]], Iterator[np.ndarray]]
+#: Arrays of keys, one key a node, or pairs of keys and the places of their nodes. Binary columns come as lists.
+Keys = Callable[[dict[str, np.ndarray]], Iterator[np.ndarray | tuple[np.ndarray, np.ndarray]]]
+#: Bytes of a key in a column of marks, and what sets such keys apart from others.
+MARK, MARKED = 5, 1 << 41
 #: Nodes whose postings a task deals out at once, and postings that it matches at once.
 DEALT, MATCHED = 1 << 16, 1 << 20
 
 
+def marks_of(keys: np.ndarray) -> bytes:
+    """The high bits of 64-bit hashes, MARK bytes each."""
+    return (keys >> np.uint64(64 - 8 * MARK)).view(np.uint8).reshape(-1, 8)[:, :MARK].tobytes()
+
+
+def by_marks(marks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Posting keys of a column of marks, and the place of each key's node."""
+    held = np.frombuffer(b"".join(marks), np.uint8).reshape(-1, MARK)
+    keys = np.zeros((len(held), 8), np.uint8)
+    keys[:, :MARK] = held
+    return keys.view(np.int64)[:, 0] + MARKED, np.repeat(np.arange(len(marks)), [len(m) // MARK for m in marks])
+
+
 def by_bytes(fps: list[str], min_shared: int) -> tuple[Keys, Callable[[str, str], Column]]:
     """Posting keys and pair test of the byte-position index over the fingerprint columns `fps`."""
     combos = _combos(min_shared)
@@ -118,9 +134,10 @@ def _deal(prints: list[str], keys: Keys, parts: int) -> Callable[[Iterator[pa.Re
         def out() -> pa.RecordBatch:
             table = pa.Table.from_batches(held)
             held.clear()
-            nodes = {name: np.ascontiguousarray(table.column(name).to_numpy(), np.int64) for name in prints}
-            posted = list(keys(nodes))
-            key, node = np.concatenate(posted), np.tile(table.column("id").to_numpy(), len(posted))
+            nodes = {name: c.to_pylist() if pa.types.is_binary(c.type) else np.ascontiguousarray(c.to_numpy(), np.int64) for name in prints for c in [table.column(name)]}
+            ids = table.column("id").to_numpy()
+            posted = [p if isinstance(p, tuple) else (p, slice(None)) for p in keys(nodes)]
+            key, node = np.concatenate([k for k, _ in posted]), np.concatenate([ids[at] for _, at in posted])
             part = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
             part = (part % np.uint64(parts)).astype(np.int64)
             order = np.lexsort((key, part))
@@ -184,11 +201,11 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(spark: SparkSession, nodes: DataFrame, prints: list[str], keys: Keys, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame] | None = None, keep: Written | None = None) -> DataFrame:
     """(node, component) of nodes joined by verified links.
 
-    nodes: id bigint, unique, the bigint columns `prints`, and what near reads, written to a table. keys gives posting keys
+    nodes: id bigint, unique, the bigint or binary columns `prints`, and what near reads, written to a table. keys gives posting keys
     from arrays of the prints, an array per posting; pairs that share a key are candidates if near(prefix a, prefix b)
     holds on their columns; verify, if given, filters pairs (a, b) further."""
     keep = keep or Written(spark)
-    cols = nodes.columns
+    cols = [c for c, kind in nodes.dtypes if kind != "binary"]  # marks are for posting only
 
     def paired(left: DataFrame, right: DataFrame, on: Column, name: str) -> DataFrame:
         found = left.join(right, on & near("x_", "y_"))
@@ -204,7 +221,7 @@ def links(spark: SparkSession, nodes: DataFrame, prints: list[str], keys: Keys,
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = nodes.select("id", *prints).repartition(spread, "id").mapInArrow(_deal(prints, keys, 2 * spread), "part int, data binary")
     shared = dealt.repartition(spread, "part").mapInArrow(_match, "key bigint, id bigint")
-    members = keep(shared.join(nodes, "id").select("key", *cols), "members")
+    members = keep(shared.join(nodes.select(*cols), "id").select("key", *cols), "members")
     heads = members.groupBy("key").agg(F.min(F.struct("id", *(c for c in cols if c != "id"))).alias("h"), F.count("*").alias("size"))
     first = paired(named(members, "x_"), named(heads.select("key", "h.*"), "y_"), (F.col("x_key") == F.col("y_key")) & (F.col("x_id") != F.col("y_id")), "stars")
     found = components(spark, first, keep)

@@ -178,3 +178,27 @@ def test_posting_lists_stream_in_runs_of_any_size(monkeypatch):
         monkeypatch.setattr(simhash, "MATCHED", run)
         got = [x for b in simhash._match(iter(batches)) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
         assert sorted(got) == want
+
+
+def test_line_dedup_finds_all_pairs_by_edit_similarity(spark):
+    """Brute force by edit similarity alone, on lines of all lengths with a changed word, spread letters or a lost end."""
+    import random
+
+    from tests.llm.conftest import invented
+
+    r, rows = random.Random(5), []
+    for k in range(150):
+        line = lines.normalise(invented(1000 + k, r.choice([1, 2, 3, 5, 8, 12, 20, 40, 80]))).decode().replace(" ", "" if k % 10 == 9 else " ")
+        words = line.split()
+        some = list(line)
+        for at in r.sample(range(len(line)), max(1, len(line) // 60 if len(line) > 60 else len(line) // 12)):
+            some[at] = "x"
+        changed = [*words[: len(words) // 2], "zu" + words[len(words) // 2][2:] + "q", *words[len(words) // 2 + 1 :]]
+        rows += [(3 * k, line), (3 * k + 1, "".join(some)), (3 * k + 2, " ".join(changed) if k % 2 else line[: len(line) - len(line) // 12])]
+    names = sorted({" ".join(t.split()) for _, t in rows})
+    pairs = [(a, b) for a, b in combinations(names, 2) if lines.distance_within(a, b, int(0.1 * max(len(a), len(b)) + 1e-9))]
+    group, first = union(names, pairs), {}
+    for i, t in rows:
+        first.setdefault(group[" ".join(t.split())], i)
+    got = {x.doc_id for x in lines.dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).where("text != ''").collect()}
+    assert len(pairs) > 250 and got == set(first.values())
