@@ -259,22 +259,62 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 # -- near-duplicate texts by shingle similarity, for pipelines ------------------------------------------------------
 
 
-def _sketches(docs: DataFrame, id_col: str, text_col: str, width: int, views: int) -> DataFrame:
-    """(id, key, n, fp0..): key identifies the sequence of words, n counts distinct shingles, fp_i are SimHashes of
-    the distinct words under different seeds (a changed word moves one feature, not `width` of them)."""
+#: Cells that count how common shingles are, and shares that they are summed in.
+CELLS, SHARES = 1 << 22, 64
+
+
+def _shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """Distinct hashes of a text's shingles, sorted; equal shingles have equal ones."""
+    words = hashes(words_of(text), 0)
+    if not len(words):
+        return words
+    h = np.zeros(max(1, len(words) - width + 1), np.uint64)
+    for k in range(min(width, len(words))):
+        h = (h ^ words[k : k + len(h)]) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(31)
+    return np.unique(h * np.uint64(0x94D049BB133111EB))
+
+
+def _cell(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(42)).astype(np.int64)
+
+
+def _commonness(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
+    """For each cell, the power of two up to which its shingles are counted, in texts. The table has a fixed size."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(CELLS, np.int64)
+        for batch in slices(batches):
+            cells += np.bincount(np.concatenate([_cell(_shingle_hashes(t, width)) for t in batch.column(0).to_pylist()]), minlength=CELLS)
+        yield pa.RecordBatch.from_arrays([pa.array(range(SHARES), pa.int32()), pa.array([pack(c) for c in np.split(cells, SHARES)], pa.binary())], names=["share", "cells"])
+
+    def total(group: pa.Table) -> pa.Table:
+        cells = sum(unpack(b.as_py())[0] for b in group.column("cells"))
+        return pa.table({"share": group.column("share")[:1], "cells": pa.array([pack(np.ceil(np.log2(cells + 1)).astype(np.uint8))], pa.binary())})
+
+    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "share int, cells binary").groupBy("share").applyInArrow(total, "share int, cells binary")
+    levels = np.zeros((SHARES, CELLS // SHARES), np.uint8)
+    for r in parts.collect():
+        levels[r.share] = unpack(bytes(r.cells))[0]
+    return levels.reshape(-1)
+
+
+def _sketches(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: float, levels) -> DataFrame:
+    """(id, key, n, marks): key identifies the sequence of words, n counts distinct shingles, marks are those of the
+    prefix: the n - ceil(threshold * n) + 1 shingles that come first, rare ones before common ones. Two sets whose
+    Jaccard similarity reaches the threshold share one, whatever the order is, as long as it is the same for all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = []
             for t in batch.column(1).to_pylist():
-                w = words_of(t)
-                distinct = list(set(w))
-                rows.append([xxhash.xxh3_64_intdigest(b" ".join(w)) - (1 << 63), len(set(shingles(w, width))), *(fingerprint(hashes(distinct, seed)) for seed in range(views))])
-            cols = list(zip(*rows, strict=True)) or [[]] * (2 + views)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols)], names=["id", "key", "n", *(f"fp{i}" for i in range(views))])
+                h = _shingle_hashes(t, width)
+                first = h[np.argsort(levels.value[_cell(h)], kind="stable")[: len(h) - int(np.ceil(threshold * len(h) - 1e-9)) + 1]]
+                rows.append([xxhash.xxh3_64_intdigest(b" ".join(words_of(t))) - (1 << 63), len(h), marks_of(first)])
+            cols = list(zip(*rows, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True))], names=["id", "key", "n", "marks"])
 
-    schema = "id bigint, key bigint, n bigint, " + ", ".join(f"fp{i} bigint" for i in range(views))
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id bigint, key bigint, n bigint, marks binary")
 
 
 def _jaccard_filter(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: float) -> Callable[[DataFrame], DataFrame]:
@@ -301,28 +341,24 @@ def _jaccard_filter(docs: DataFrame, id_col: str, text_col: str, width: int, thr
     return verify
 
 
-def near_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, min_shared: int = 3, max_bits: int = 12, views: int = 2) -> DataFrame:
+def near_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
     """(id, component) per row: groups of texts linked by a Jaccard similarity of word shingles >= threshold.
 
-    Candidates share >= min_shared positional bytes of one of `views` SimHashes of their distinct words and differ
-    there in <= max_bits bits; every candidate is verified on its shingle sets. Texts of equal words are one node.
-    At min_shared = 3 a link is certain to be a candidate up to 5 differing bits, and in practice well beyond;
-    a shingle similarity of 0.8 moves about 4 bits. Rows with a null id keep a null component unless their words
-    equal those of a row with one. Null and empty texts are one node, as they have equal (no) words."""
+    Candidates share a shingle of their prefixes, which no link lacks; every candidate is verified on its shingle sets.
+    Texts of equal words are one node. Rows with a null id keep a null component unless their words equal those of a row
+    with one. Null and empty texts are one node, as they have equal (no) words."""
     keep = Written(spark)
-    rows = keep(_sketches(docs, id_col, text_col, width, views), "sketches")
-    fps = [f"fp{i}" for i in range(views)]
-    nodes = keep(rows.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), *(F.first(f).alias(f) for f in fps)).where("id is not null"), "nodes")
+    levels = spark.sparkContext.broadcast(_commonness(docs, text_col, width))
+    rows = keep(_sketches(docs, id_col, text_col, width, threshold, levels), "sketches")
+    nodes = keep(rows.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("marks").alias("marks")).where("id is not null"), "nodes")
 
     def near(x: str, y: str) -> Column:
-        some = F.lit(False)
-        for f in fps:
-            some = some | (F.bit_count(F.col(x + f).bitwiseXOR(F.col(y + f))) <= max_bits)
-        lo, hi = F.least(F.col(x + "n"), F.col(y + "n")), F.greatest(F.col(x + "n"), F.col(y + "n"))
-        return some & enough(x, y) & (lo >= hi * threshold)
+        return F.least(F.col(x + "n"), F.col(y + "n")) >= F.greatest(F.col(x + "n"), F.col(y + "n")) * threshold
+
+    def keys(nodes: dict[str, list[bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        yield by_marks(nodes["marks"])
 
-    keys, enough = by_bytes(fps, min_shared)
-    found = links(spark, nodes.select("id", "n", *fps), fps, keys, near, _jaccard_filter(docs, id_col, text_col, width, threshold), keep)
+    found = links(spark, nodes.select("id", "n", "marks"), ["marks"], keys, near, _jaccard_filter(docs, id_col, text_col, width, threshold), keep)
     named = nodes.join(found, nodes.id == found.node, "left").select("key", F.coalesce("component", "id").alias("component"))
     return rows.select("id", "key").join(named, "key", "left").select("id", "component")
 

@@ -202,3 +202,20 @@ def test_line_dedup_finds_all_pairs_by_edit_similarity(spark):
         first.setdefault(group[" ".join(t.split())], i)
     got = {x.doc_id for x in lines.dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).where("text != ''").collect()}
     assert len(pairs) > 250 and got == set(first.values())
+
+
+def test_near_texts_finds_contiguous_edits(spark):
+    """Cut and replaced passages at a similarity of 0.8 or little more, all of them."""
+    from tests.llm.conftest import invented
+
+    rows, linked = [], []
+    for k in range(60):
+        words = invented(2000 + k, 60 + 7 * k).split()
+        n = len(words)
+        other = [words[: n - n // 6], words[: n - n // 12] + invented(5000 + k, n // 12).split(), words[n // 6 :]][k % 3]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        p, q = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in ([x.lower() for x in words], [x.lower() for x in other]))
+        linked += [2 * k] if len(p & q) >= 0.8 * len(p | q) else []
+    got = {r.id: r.component for r in simhash.near_texts(spark, spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    assert len(linked) >= 50
+    assert [i for i in linked if got[i] != got[i + 1]] == [] and len(set(got.values())) == 120 - len(linked)
