@@ -1,10 +1,14 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding.
 
 Merges run as in a BPE piece model: an agenda of adjacent pairs, best score first, leftmost first among equals. With
-dropout, a candidate merge taken from the agenda is skipped if a keyed hash of (seed, variant, merged piece, place in
-the word) falls below the rate. Each occurrence of a word draws its variant by a hash of (seed, document id, ordinal),
-so a word is cut in up to VARIANTS ways within a document, every run the same, and each distinct (word, variant) is
-worked out once. A rate of 0 gives the model's own segmentation.
+dropout, a candidate merge taken from the agenda is skipped if a keyed hash of (key, merged piece, place in the word)
+falls below the rate. The key is a hash of (seed, document id, ordinal of the word), so each occurrence draws freely,
+every run the same; given a number of `variants`, occurrences share so many keys. A rate of 0 gives the model's own
+segmentation.
+
+What is remembered of a word is a tree: its segmentation without skips and the candidate merges on the way, and under
+each of these, if an occurrence skipped it first, the segmentation from there on. Occurrences walk down together, as
+arrays; only a node not seen before is merged in Python.
 
 No piece reaches over a space mark that follows other text, nor over a line feed, so words are cut there and encoded
 alone. Characters without a piece fall back to their UTF-8 bytes, and so does the space mark itself where a text holds
@@ -28,9 +32,10 @@ from pyspark.sql import functions as F
 from grainmill.llm.words import Numbering, Ragged, slices
 
 SPACE = "▁"
-VARIANTS = 4
-#: Distinct words remembered by a Python worker, a bound on its memory only.
-REMEMBERED = 250_000
+#: Segmentations remembered by a Python worker, a bound on its memory only.
+REMEMBERED = 400_000
+#: Skips that the tree of a word follows; what skips more, or has more than SHORT candidates left, is merged alone.
+DEEP = 2
 #: Cuts that no piece reaches over: line feeds, before spaces, and between a letter and one of these marks.
 MARKS = ".,!?;:|"
 LETTER = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
@@ -67,14 +72,15 @@ class PieceModel:
         values = [bytes([b]) for b in range(256)]
         self.values = [values[int(names[i][3:5], 16)] if model.is_byte(i) else names[i].replace(SPACE, " ").encode() if plain[i] else b"" for i in range(n)]
 
-    def segment(self, word: str, key: int = 0, limit: int = 0) -> list[int]:
+    def segment(self, word: str, key: int = 0, limit: int = 0, path: list | None = None, skips: tuple[int, ...] = ()) -> list[int]:
         """Ids of a word whose spaces are real spaces; a space mark in it stands for itself. A candidate merge is skipped
-        if its keyed hash is below `limit`."""
+        if its keyed hash is below `limit`. With `path`, it's skipped if its number is in `skips` instead, and all
+        candidates are added to the path as rank and place."""
         if SPACE in word:
             text = ["\0own" if c == SPACE else SPACE if c == " " else c for c in word]
         else:
             text = list(word.replace(" ", SPACE))
-        (self._merge_short if len(text) <= SHORT else self._merge_long)(text, key, limit)
+        (self._merge_short if len(text) <= SHORT else self._merge_long)(text, key, limit, path, skips)
         out = list(map(self.ids.get, text))
         if None not in out:
             return out
@@ -87,7 +93,7 @@ class PieceModel:
                 out += [self.bytes[b] for b in (SPACE if symbol == "\0own" else symbol).encode("utf-8", "surrogatepass")]
         return out
 
-    def _merge_short(self, text: list[str], key: int, limit: int) -> None:
+    def _merge_short(self, text: list[str], key: int, limit: int, path: list | None = None, skips: tuple[int, ...] = ()) -> None:
         """The agenda as a list by place: its minimum's first index is the best and leftmost pair."""
         get = self.score.get
         agenda = [get(a + b, NONE) for a, b in zip(text, text[1:], strict=False)]
@@ -97,7 +103,12 @@ class PieceModel:
             if best == NONE:
                 return
             i = agenda.index(best)
-            if limit:  # the hash of merge_hash, written out as this is the innermost loop
+            if path is not None:
+                path.append((best, place[i]))
+                if len(path) - 1 in skips:
+                    agenda[i] = NONE
+                    continue
+            elif limit:  # the hash of merge_hash, written out as this is the innermost loop
                 h = ((best * 0x9E3779B1) ^ (place[i] * 0x85EBCA77) ^ key) & MASK
                 h = ((h ^ (h >> 15)) * 0x2C1B3C6D) & MASK
                 if (h ^ (h >> 13)) < limit:
@@ -110,7 +121,7 @@ class PieceModel:
             if i < len(agenda):
                 agenda[i] = get(both + text[i + 1], NONE)
 
-    def _merge_long(self, text: list[str], key: int, limit: int) -> None:
+    def _merge_long(self, text: list[str], key: int, limit: int, path: list | None = None, skips: tuple[int, ...] = ()) -> None:
         """The agenda as a heap; merged-away symbols are left empty."""
         n, get = len(text), self.score.get
         end = list(range(1, n + 1))  # where the symbol that starts at i ends
@@ -122,7 +133,11 @@ class PieceModel:
             if not text[i] or end[i] != mid or not text[mid] or end[mid] != last:
                 continue
             both = text[i] + text[mid]
-            if limit and merge_hash(rank, i, key) < limit:
+            if path is not None:
+                path.append((rank, i))
+                if len(path) - 1 in skips:
+                    continue
+            elif limit and merge_hash(rank, i, key) < limit:
                 continue
             text[i], text[mid], end[i] = both, "", last
             if last < n:
@@ -134,40 +149,98 @@ class PieceModel:
 
 
 class PieceEncoder:
-    def __init__(self, path: str, rate: float, seed: int, variants: int):
-        self.model, self.rate, self.seed, self.variants = PieceModel(path), rate, seed, variants if rate else 1
-        self.keys = [xxhash.xxh32_intdigest(f"{seed}/{v}") for v in range(self.variants)]
+    def __init__(self, path: str, rate: float, seed: int, variants: int | None = None):
+        self.model, self.rate, self.seed, self.variants = PieceModel(path), rate, seed, variants
+        self.keys = np.array([xxhash.xxh32_intdigest(f"{seed}/{v}") for v in range(variants or 0)], np.uint64)
         self._reset()
 
     def _reset(self) -> None:
         self.known = Numbering()
-        self.ids = Ragged(np.uint32)
-        self.slot = np.full(1 << 16, -1, np.int64)
+        self.names: list[str] = []
+        #: By node: ids, and rank and place of the candidates that follow its last skip. Roots are found by word.
+        self.ids, self.ranks, self.places = Ragged(np.uint32), Ragged(np.uint64), Ragged(np.uint64)
+        self.root = np.full(1 << 16, -1, np.int64)
+        self.nodes: list[tuple[int, tuple[int, ...]] | None] = []  # word and skips; none for an occurrence
+        self.below: dict[int, int] = {}  # node and first skip after it -> node
+
+    def _add(self, wanted: list[tuple[int, tuple[int, ...]]]) -> np.ndarray:
+        """New nodes for (word, skips)."""
+        ids, ranks, places = [], [], []
+        for word, skips in wanted:
+            path: list[tuple[int, int]] = []
+            ids.append(self.model.segment(self.names[word], 0, 0, path, skips))
+            rest = path[skips[-1] + 1 :] if skips else path
+            ranks.append([r for r, _ in rest])
+            places.append([p for _, p in rest])
+        return self._put(wanted, ids, ranks, places)
+
+    def _put(self, named: list, ids: list, ranks: list, places: list) -> np.ndarray:
+        at = np.arange(len(named)) + self.ids.n
+        self.nodes += named
+        self.ids.extend(ids)
+        self.ranks.extend(ranks)
+        self.places.extend(places)
+        return at
+
+    def _alone(self, words: list[int], keys: list[int]) -> np.ndarray:
+        """Nodes for one occurrence each."""
+        limit, none = int(self.rate * (MASK + 1)), [()] * len(words)
+        return self._put([None] * len(words), [self.model.segment(self.names[w], k, limit) for w, k in zip(words, keys, strict=True)], none, none)
+
+    def _skipped(self, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first candidate of each node that its key skips, or -1; and how many candidates there are."""
+        ranks, lens = self.ranks.gather(nodes)
+        places, _ = self.places.gather(nodes)
+        mask = np.uint64(MASK)
+        h = ((ranks * np.uint64(0x9E3779B1)) ^ (places * np.uint64(0x85EBCA77)) ^ np.repeat(keys, lens)) & mask
+        h = ((h ^ (h >> np.uint64(15))) * np.uint64(0x2C1B3C6D)) & mask
+        hit = np.nonzero((h ^ (h >> np.uint64(13))) < np.uint64(int(self.rate * (MASK + 1))))[0]
+        owner = np.repeat(np.arange(len(nodes)), lens)[hit]
+        first = np.nonzero(np.diff(owner, prepend=-1))[0]
+        out = np.full(len(nodes), -1, np.int64)
+        out[owner[first]] = hit[first] - (np.cumsum(lens) - lens)[owner[first]]
+        return out, lens
 
     def __call__(self, doc_ids: list[int | None], texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and their counts."""
-        if len(self.known) > REMEMBERED:
+        if self.ids.n > REMEMBERED:
             self._reset()
-        words, sizes, variants = [], [], []
+        words, sizes, keys = [], [], [np.zeros(0, np.uint64)]
         for doc_id, text in zip(doc_ids, texts, strict=True):
             mine = WORD.findall(" " + text) if text else []
             words += mine
             sizes.append(len(mine))
             draw = np.arange(len(mine), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(xxhash.xxh64_intdigest(f"{self.seed}:{doc_id}"))
             draw = (draw ^ (draw >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            variants.append(((draw >> np.uint64(33)) % np.uint64(self.variants)).astype(np.int64))
-        numbers = self.known.numbers(words)
-        self.known.take_fresh()
-        codes = numbers * self.variants + (np.concatenate(variants) if variants else numbers)
-        if len(self.known) * self.variants > len(self.slot):
-            self.slot = np.concatenate([self.slot, np.full(max(len(self.slot), len(self.known) * self.variants), -1, np.int64)])
-        fresh, first = np.unique(codes, return_index=True)
-        new = self.slot[fresh] < 0
-        fresh, first = fresh[new], first[new]
-        self.slot[fresh] = self.ids.n + np.arange(len(fresh))
-        segment, keys, limit, v = self.model.segment, self.keys, int(self.rate * (MASK + 1)), self.variants
-        self.ids.extend([segment(words[i], keys[c % v], limit) for c, i in zip(fresh.tolist(), first.tolist(), strict=True)])
-        ids, lens = self.ids.gather(self.slot[codes])
+            draw = (draw ^ (draw >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            keys.append(self.keys[(draw >> np.uint64(33)) % np.uint64(self.variants)] if self.variants else draw >> np.uint64(32))
+        numbers, keys = self.known.numbers(words), np.concatenate(keys)
+        fresh = self.known.take_fresh()
+        self.names += fresh
+        if len(self.known) > len(self.root):
+            self.root = np.concatenate([self.root, np.full(max(len(self.root), len(self.known)), -1, np.int64)])
+        known = np.arange(len(self.known) - len(fresh), len(self.known))
+        self.root[known] = self._add([(w, ()) for w in known.tolist()])
+        at = self.root[numbers]
+        live = np.arange(len(at)) if self.rate else np.zeros(0, np.int64)
+        depth = 0
+        while len(live):
+            skip, lens = self._skipped(at[live], keys[live])
+            alone = live[(skip >= 0) & ((lens > SHORT) | (depth >= DEEP))]
+            at[alone] = self._alone(numbers[alone].tolist(), keys[alone].tolist())
+            more = (skip >= 0) & (lens <= SHORT) & (depth < DEEP)
+            live, skip, depth = live[more], skip[more], depth + 1
+            codes, back = np.unique((at[live] << 24) | skip, return_inverse=True)
+            below = [self.below.get(c, -1) for c in codes.tolist()]
+            new = [i for i, n in enumerate(below) if n < 0]
+            wanted = []
+            for c in codes[new].tolist():
+                word, skips = self.nodes[c >> 24]
+                wanted.append((word, (*skips, (skips[-1] + 1 if skips else 0) + (c & 0xFFFFFF))))
+            for i, n in zip(new, self._add(wanted).tolist(), strict=True):
+                below[i] = self.below[int(codes[i])] = n
+            at[live] = np.array(below, np.int64)[back]
+        ids, lens = self.ids.gather(at)
         ends = np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)]
         return ids, np.diff(ends)
 
@@ -182,7 +255,7 @@ def _encoder(*key) -> PieceEncoder:
     return _encoders[key]
 
 
-def encode(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 42, variants: int = VARIANTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 42, variants: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids) per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -112,3 +112,21 @@ def test_dropout_varies_and_everything_merges_without(spark, docs, empty):
     got = pieces.digests(pieces.encode(docs, PIECES), PIECES)
     assert got.where("text_sha256 is null").count() == docs.where("text is null").count()
     assert pieces.encode(empty, PIECES).count() == 0
+
+
+def test_each_occurrence_draws_its_own_segmentation():
+    import xxhash
+
+    text = "the international thereafter the " * 400 + "international" * 30
+    encoder = pieces.PieceEncoder(PIECES, 0.1, 42)
+    ids, _ = encoder([5], [text])
+    words, at, seen = pieces.WORD.findall(" " + text), 0, set()
+    for k, word in enumerate(words):  # as merged alone, under the key of the occurrence
+        draw = (k * 0x9E3779B97F4A7C15 + xxhash.xxh64_intdigest("42:5")) % 2**64
+        draw = (draw ^ draw >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        draw = (draw ^ draw >> 27) * 0x94D049BB133111EB % 2**64
+        want = encoder.model.segment(word, draw >> 32, int(0.1 * 2**32))
+        assert ids[at : at + len(want)].tolist() == want
+        at += len(want)
+        seen.add((word, tuple(want)))
+    assert at == len(ids) and len({s for w, s in seen if w == " the"}) > 2 and len({s for w, s in seen if w == " international"}) > 4
