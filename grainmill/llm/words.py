@@ -54,6 +54,10 @@ class Ragged:
         lens = np.fromiter(map(len, runs), np.int64, len(runs))
         self._append(np.fromiter((x for r in runs for x in r), self.data.dtype, int(lens.sum())), lens)
 
+    def add(self, flat: np.ndarray, lens: np.ndarray) -> None:
+        """Runs end to end, and their lengths."""
+        self._append(flat, np.asarray(lens, np.int64))
+
     def extend_arrays(self, runs: list[np.ndarray]) -> None:
         if runs:
             self._append(np.concatenate(runs), np.fromiter(map(len, runs), np.int64, len(runs)))

@@ -78,32 +78,61 @@ ALPHABET = [*"aAbZéß .,'!?\n\t 12日<>-_▁", "<s>", "the ", " and", "ation",
 def test_pieces_decode_losslessly(text, rate):
     import sentencepiece
 
-    encoder = pieces._encoder(PIECES, rate, 7, 4)
+    encoder = pieces._encoder(PIECES, rate, 7)
     ids, _ = encoder([3], [text])
     assert b"".join(encoder.model.values[i] for i in ids.tolist())[1:].decode() == text
     if not rate and "▁" not in text:
         assert ids.tolist() == sentencepiece.SentencePieceProcessor(model_file=PIECES).encode(text)
-    again, _ = pieces.PieceEncoder(PIECES, rate, 7, 4)([3], [text])
+    again, _ = pieces.PieceEncoder(PIECES, rate, 7)([3], [text])
     assert again.tolist() == ids.tolist()
 
 
-def test_short_and_long_agendas_agree():
+def by_hand(encoder, word: str, key: int, limit: int) -> list[int]:
+    """Merge-dropout of one word in plain strings, pair by pair."""
+    model = encoder.model
+    parts = [("own" if c == "▁" else c.replace(" ", "▁"), i) for i, c in enumerate(word)]
+    skipped = set()
+    while True:
+        best = None
+        for (a, i), (b, _) in zip(parts, parts[1:], strict=False):
+            rank = None if "own" in (a, b) else model.rank.get(a + b)
+            if rank is not None and (i, a + b) not in skipped and (best is None or rank < best[0]):
+                best = rank, i, a + b
+        if not best:
+            break
+        rank, i, both = best
+        h = ((rank * 0x9E3779B1) ^ (i * 0x85EBCA77) ^ key) % 2**32
+        h = (h ^ h >> 15) * 0x2C1B3C6D % 2**32
+        if h ^ h >> 13 < limit:
+            skipped.add((i, both))
+            continue
+        k = next(k for k, (_, at) in enumerate(parts) if at == i)
+        parts[k : k + 2] = [(both, i)]
+    out = []
+    for p, i in parts:
+        out += [model.ids[p]] if p in model.ids and p != "own" else [model.bytes[b] for b in word[i].encode()]
+    return out
+
+
+def test_merged_arrays_equal_merges_by_hand():
     import random
 
-    model, r = pieces.PieceModel(PIECES), random.Random(0)
-    for _ in range(500):
-        text = [pieces.SPACE if c == " " else c for c in "".join(r.choices(ALPHABET, k=20)).replace("\n", "")]
-        other = list(text)
-        model._merge_short(text, 5, 1 << 30)
-        model._merge_long(other, 5, 1 << 30)
-        assert text == [x for x in other if x]
+    encoder, r = pieces.PieceEncoder(PIECES, 0.3, 1), random.Random(0)
+    words = ["".join(r.choices(ALPHABET, k=r.choice([1, 3, 7, 20, 47, 48, 49, 90]))).replace("\n", "") or "x" for _ in range(300)]
+    words += [" international", " thereafter", "a", "▁▁", " ", "中文字", "😀😀", "aaaaaaaaaaaa"] * 20
+    symbols, lens = encoder.model.symbols(words)
+    keys = np.array([r.getrandbits(32) for _ in words], np.uint32)
+    for limit in (0, 1 << 30, 1 << 32):
+        ids, counts, *_ = encoder.model.merged(symbols, lens, keys, limit)
+        got = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+        assert got == [by_hand(encoder, w, k, limit) for w, k in zip(words, keys.tolist(), strict=True)]
 
 
 def test_dropout_varies_and_everything_merges_without(spark, docs, empty):
     plain = pieces.encode(docs, PIECES, rate=0.0).collect()
     cut = pieces.encode(docs, PIECES, rate=0.2).collect()
     assert sum(len(r.ids or ()) for r in cut) > sum(len(r.ids or ()) for r in plain)
-    encoder = pieces.PieceEncoder(PIECES, 0.3, 1, 4)
+    encoder = pieces.PieceEncoder(PIECES, 0.3, 1)
     ids, counts = encoder([1], ["international " * 200])
     assert len({tuple(x) for x in np.split(ids, np.nonzero(ids == ids[0])[0])}) > 2
     back = pieces.decode(pieces.encode(docs, PIECES), PIECES)
