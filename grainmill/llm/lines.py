@@ -1,13 +1,16 @@
 """Fuzzy line dedup.
 
-Lines are normalised (lower case, digits to 0, ASCII punctuation to spaces, single spaces); equal normalised lines are one
-node. Nodes are candidates by any of three indexes:
-
-- The SimHash of their distinct words: nodes at <= 3 differing bits share at least three of six blocks (pigeonhole), so
-  they meet in a posting list of three blocks, 31 to 33 bits.
-- MinHashes of their word pairs, in BANDS bands of three: a pair of lines whose word pairs have a Jaccard similarity of
-  0.66 (two changed words in twenty) meets with probability 0.999. Lines of few words for their length, such as text
-  without spaces, take runs of 8 bytes instead. Edits that are spread over most words of a line can be missed here.
+Lines are normalised (lower case, digits to 0, ASCII punctuation to spaces, single spaces); lines equal in that form, by a
+hash of 128 bits, are one node. Nodes are candidates by any of three indexes:
+
+- A SimHash of 128 bits in four blocks. A word votes in one block only, the one that its hash names, so a word that is
+  changed, added or lost moves one or two blocks and no others, and (pigeonhole) two blocks at least stay. Nodes meet
+  under each two blocks that hold three words and LEAST bytes or more. A plain SimHash doesn't do: one changed word of
+  ten moves 8 of its 64 bits, and at 3 bits only a quarter of the pairs below were met.
+- MinHashes of word pairs, in BANDS bands of three, for edits that touch more words: a pair of lines whose word pairs have
+  a Jaccard similarity of 0.69 (one changed word in ten) meets with probability 0.96, of 0.83 with 0.999. Lines of few
+  words for their length, such as text without spaces, take runs of 8 bytes as well. Edits spread over most words of a
+  line can be missed here.
 - Lines of which one has under SHORT code points: one of the even parts of the shorter is in the longer, close to its
   place, as there is one part more than edits (pigeonhole). This loses nothing.
 
@@ -34,17 +37,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.llm.simhash import by_marks, links, marks_of
+from grainmill.llm.simhash import MARK, by_marks, links, marks_of
 from grainmill.llm.words import slices
 from grainmill.session import Written
 
 SIMILARITY = 0.9
 #: Bands of three MinHashes. Lines shorter than SHORT are indexed by their parts; longer words than WIDE code points in
-#: the mean are cut into runs of RUN bytes.
-BANDS, SHORT, WIDE, RUN = 20, 64, 16, 8
-#: Bit ranges of the six blocks of a fingerprint.
-BLOCKS = [(0, 11), (11, 22), (22, 33), (33, 43), (43, 54), (54, 64)]
-TABLE = bytes(ord("0") if chr(b).isdigit() else 32 if chr(b) in string.punctuation else b for b in range(256))
+#: the mean are cut into runs of RUN bytes. Blocks that nodes meet under hold LEAST bytes of words.
+BANDS, SHORT, WIDE, RUN, LEAST = 8, 48, 16, 8, 16
+#: Blocks of a fingerprint, and the pairs of blocks that stay if a word is changed.
+BLOCKS = 4
+VIEWS = list(combinations(range(BLOCKS), 2))
+TABLE = bytes(ord("0") if 48 <= b <= 57 else 32 if b < 128 and chr(b) in string.punctuation else b for b in range(256))
 #: Texts worked on at once: the arrays then stay in the processor's caches.
 SLICE = 256 << 10
 #: The bits of a byte, each in a byte of its own.
@@ -88,73 +92,91 @@ def _run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return _mix(shifted + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def line_facts(texts: list[str | None], similarity: float | None = None) -> tuple[np.ndarray, ...]:
-    """(text, pos, key, n, print) of the lines that aren't blank after normalisation, in order: key is a 64-bit hash of
-    the normalised line, n its code points, print the SimHash of its distinct words. All steps are on whole arrays. With
-    `similarity`, also their marks."""
-    raw = [normalise(t) if t else b"" for t in texts]
-    buffer = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-    space = (buffer == 32) | ((buffer >= 9) & (buffer <= 13))
-    edges = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
-    starts, ends = np.nonzero(edges == -1)[0], np.nonzero(edges == 1)[0]
-    if not len(starts):
-        return (*(np.zeros(0, np.int64) for _ in range(5)), *([[]] if similarity else []))
-    breaks = np.nonzero(buffer == 10)[0]
-    line_of_word = np.searchsorted(breaks, starts)
-    text_ends = np.cumsum([len(r) + 1 for r in raw]) - 1  # each text's own closing break
-    closing = np.searchsorted(breaks, text_ends)  # its number among breaks
-    words = _run_hashes(buffer.astype(np.uint64) + np.uint64(1), starts, ends)
-    first = np.nonzero(np.diff(line_of_word, prepend=-1))[0]
-    last = np.append(first[1:], len(words))
-    lines = line_of_word[first]
-    keys = _run_hashes(words, first, last).view(np.int64)
+def said_lines(text: str) -> Iterator[tuple[int, bytes]]:
+    """Places of the lines that aren't blank after normalisation, and what they say."""
+    for pos, line in enumerate(normalise(text).split(b"\n")):
+        if words := line.split():
+            yield pos, b" ".join(words)
+
+
+def line_keys(lines: list[bytes]) -> np.ndarray:
+    """Two columns of 64 bits each: a line's identity."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, lines)), np.int64).reshape(-1, 2)
+
+
+def line_facts(texts: list[str | None], similarity: float) -> tuple[list[int], list[int], np.ndarray, np.ndarray, list[bytes]]:
+    """(text, pos, keys, n, marks) of the lines that aren't blank after normalisation, in order; n is their code points.
+    Words of all lines are worked on as one array."""
+    text, pos, lines = [], [], []
+    for t, x in enumerate(texts):
+        for p, line in said_lines(x) if x else ():
+            text.append(t)
+            pos.append(p)
+            lines.append(line)
+    if not lines:
+        return [], [], np.zeros((0, 2), np.int64), np.zeros(0, np.int64), []
+    buffer = np.frombuffer(b"\n".join(lines) + b"\n", np.uint8)
+    ends = np.nonzero((buffer == 32) | (buffer == 10))[0]
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    last = np.nonzero(buffer[ends] == 10)[0] + 1
+    first = np.concatenate([[0], last[:-1]])
     points = np.concatenate([[0], np.cumsum((buffer & 0xC0) != 0x80)])
-    n = np.add.reduceat(points[ends] - points[starts], first) + (last - first) - 1
-    text = np.searchsorted(closing, lines)
-    pos = lines - np.where(text > 0, closing[text - 1] + 1, 0)
-    # Distinct words per line: sorted by line, then by hash.
-    rank = np.searchsorted(lines, line_of_word).astype(np.uint64)
-    width = max(1, int(len(lines) - 1).bit_length())
-    order = np.argsort((rank << np.uint64(64 - width)) | (words >> np.uint64(width)), kind="stable")
-    same = np.zeros(len(order), bool)
-    same[1:] = (words[order[1:]] == words[order[:-1]]) & (rank[order[1:]] == rank[order[:-1]])
-    kept = order[~same]
-    owner, held = rank[kept], words[kept]
-    begin = np.nonzero(np.diff(owner.astype(np.int64), prepend=-1))[0]
-    facts = text, pos, keys, n, _majorities(held, begin)
-    if not similarity:
-        return facts
-    marks = list(map(bytes, _bands(words, rank.astype(np.int64), first)))
+    n = points[ends[last - 1]] - points[starts[first]]
+    words = _run_hashes(buffer.astype(np.uint64) + np.uint64(1), starts, ends)
+    rank = np.repeat(np.arange(len(lines)), last - first)
+    views, there = _views(words, rank, ends - starts, len(lines))
+    keys = np.concatenate([views, _bands(words, rank, first)], axis=1)
+    there = np.concatenate([there, np.ones((len(lines), BANDS), bool)], axis=1) & (n >= SHORT)[:, None]
+    held, cuts = marks_of(keys[there]), np.concatenate([[0], np.cumsum(there.sum(1))]) * MARK
+    marks = [held[i:j] for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
     for i in np.nonzero((n > WIDE * (last - first)) | (n <= (SHORT - 1) / similarity + 1e-9))[0].tolist():
-        line = b" ".join(buffer[starts[first[i]] : ends[last[i] - 1]].tobytes().split())
         if n[i] > WIDE * (last[i] - first[i]):
-            runs = np.lib.stride_tricks.sliding_window_view(np.frombuffer(line.ljust(RUN), np.uint8), RUN)
+            runs = np.lib.stride_tricks.sliding_window_view(np.frombuffer(lines[i].ljust(RUN), np.uint8), RUN)
             runs = _mix(np.ascontiguousarray(runs).view(np.uint64)[:, 0])
-            marks[i] += bytes(_min_marks(runs, np.zeros(1, np.int64))[0])
-        marks[i] += _parts(line.decode("utf-8", "replace"), similarity)
-    return *facts, marks
+            marks[i] += marks_of(_min_hashes(runs, np.zeros(1, np.int64))[0])
+        marks[i] += _parts(lines[i].decode("utf-8", "replace"), similarity)
+    return text, pos, line_keys(lines), n, marks
+
+
+def _views(words: np.ndarray, rank: np.ndarray, sizes: np.ndarray, n_lines: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each line a key per two blocks of its SimHash, and whether these hold enough words. Distinct words vote."""
+    width = max(1, int(n_lines - 1).bit_length())
+    order = np.argsort((rank.astype(np.uint64) << np.uint64(64 - width)) | (words >> np.uint64(width)))
+    held, owner = words[order], rank[order]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (held[1:] != held[:-1]) | (owner[1:] != owner[:-1])
+    held, owner, size = held[fresh], owner[fresh], sizes[order][fresh]
+    run = owner * BLOCKS + (held >> np.uint64(62)).astype(np.int64)  # words of a block are next to each other in this order
+    begin = np.nonzero(np.diff(run, prepend=-1))[0]
+    blocks, counts, lens = np.zeros(n_lines * BLOCKS, np.uint64), np.zeros(n_lines * BLOCKS, np.int64), np.zeros(n_lines * BLOCKS, np.int64)
+    blocks[run[begin]] = _majorities((held & np.uint64(0xFFFFFFFF)).astype(np.uint32), begin) + np.uint64(1)
+    counts[run[begin]], lens[run[begin]] = np.diff(np.append(begin, len(held))), np.add.reduceat(size, begin)
+    blocks, counts, lens = (x.reshape(-1, BLOCKS) for x in (blocks, counts, lens))
+    keys = [_mix(_mix(blocks[:, a] * np.uint64(BASE) + np.uint64(v + 1)) + blocks[:, b]) for v, (a, b) in enumerate(VIEWS)]
+    enough = [(counts[:, a] + counts[:, b] >= 3) & (lens[:, a] + lens[:, b] >= LEAST) for a, b in VIEWS]
+    return np.stack(keys, 1), np.stack(enough, 1)
 
 
 _SPREADS = _mix(np.arange(1, 6 * BANDS + 1, dtype=np.uint64) * np.uint64(BASE)).reshape(BANDS, 3, 2)
 
 
 def _bands(words: np.ndarray, rank: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Marks of lines by their pairs of adjacent words, the line's ends counting as words."""
+    """Hashes of lines by their pairs of adjacent words, the line's ends counting as words."""
     left, right = np.zeros(len(words) + len(first), np.uint64), np.zeros(len(words) + len(first), np.uint64)
     at = np.arange(len(words)) + rank
     right[at] = left[at + 1] = words
-    return _min_marks(_mix(left * np.uint64(BASE) + right), first + np.arange(len(first)))
+    return _min_hashes(_mix(left * np.uint64(BASE) + right), first + np.arange(len(first)))
 
 
-def _min_marks(features: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """A row of BANDS marks for each run of features: hashes of three MinHashes each."""
+def _min_hashes(features: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """A row of BANDS keys for each run of features: hashes of three MinHashes each."""
     keys = np.empty((len(begin), BANDS), np.uint64)
     for band, spreads in enumerate(_SPREADS):
         key = np.full(len(begin), band + 1, np.uint64)
         for times, plus in spreads:
             key = _mix(key * np.uint64(BASE) + np.minimum.reduceat(features * (times | np.uint64(1)) + plus, begin))
         keys[:, band] = key
-    return np.frombuffer(marks_of(keys.reshape(-1)), np.uint8).reshape(len(begin), -1)
+    return keys
 
 
 def _parts(line: str, similarity: float) -> bytes:
@@ -182,32 +204,32 @@ def _parts(line: str, similarity: float) -> bytes:
 
 
 def _majorities(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """SimHash of each run of hashes. Bits are counted eight at a time, each in a byte of a 64-bit number, over pieces of
-    at most 255 hashes; the pieces of a run are then added up."""
+    """SimHash, 32 bits, of each run of hashes. Bits are counted eight at a time, each in a byte of a 64-bit number, over
+    pieces of at most 255 hashes; the pieces of a run are then added up."""
     sizes = np.diff(np.append(begin, len(hashes)))
     pieces = -(-sizes // 255)
     run = np.repeat(np.arange(len(begin)), pieces)
     nth = np.arange(len(run)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     starts = begin[run] + 255 * nth
-    parts = hashes.view(np.uint8).reshape(-1, 8)
-    ones = np.empty((len(starts), 64), np.uint8)
-    for k in range(8):
+    parts = hashes.view(np.uint8).reshape(-1, 4)
+    ones = np.empty((len(starts), 32), np.uint8)
+    for k in range(4):
         ones[:, 8 * k : 8 * k + 8] = np.add.reduceat(SPREAD[parts[:, k]], starts).view(np.uint8).reshape(-1, 8)
     if len(starts) > len(begin):
         ones = np.add.reduceat(ones, np.nonzero(nth == 0)[0], axis=0, dtype=np.int64)
-    return np.packbits(ones.astype(np.int64) * 2 > sizes[:, None], axis=1, bitorder="little").reshape(-1, 8).view(np.int64)[:, 0]
+    return np.packbits(ones.astype(np.int64) * 2 > sizes[:, None], axis=1, bitorder="little").view(np.uint32)[:, 0].astype(np.uint64)
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(doc, doc_id, pos, key, n, print, marks) of each line that isn't blank: doc is a hash of (doc_id, text)."""
+    """(doc, doc_id, pos, key, check, n, marks) of each line that isn't blank: doc is a hash of (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=SLICE):
-            text, *facts, marks = line_facts(batch.column(2).to_pylist(), similarity)
-            at = pa.array(text)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(f) for f in facts), pa.array(marks, pa.binary())], names=["doc", "doc_id", "pos", "key", "n", "print", "marks"])
+            text, pos, keys, n, marks = line_facts(batch.column(2).to_pylist(), similarity)
+            at = pa.array(text, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(pos, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(n), pa.array(marks, pa.binary())], names=["doc", "doc_id", "pos", "key", "check", "n", "marks"])
 
-    return _named(docs, id_col, text_col).mapInArrow(run, "doc bigint, doc_id bigint, pos bigint, key bigint, n bigint, print bigint, marks binary")
+    return _named(docs, id_col, text_col).mapInArrow(run, "doc bigint, doc_id bigint, pos bigint, key bigint, check bigint, n bigint, marks binary")
 
 
 def _doc(id_col: str, text_col: str) -> Column:
@@ -218,12 +240,7 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(_doc(id_col, text_col).alias("doc"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
 
 
-def _keys(nodes: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
-    """A posting key for each three of the six blocks, and the marks."""
-    prints = nodes["print"].view(np.uint64)
-    parts = [((prints >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)).astype(np.int64) for lo, hi in BLOCKS]
-    for c, (i, j, k) in enumerate(combinations(range(len(BLOCKS)), 3)):
-        yield (c << 33) + (parts[i] << 22) + (parts[j] << 11) + parts[k]
+def _keys(nodes: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     yield by_marks(nodes["marks"])
 
 
@@ -266,13 +283,18 @@ def distance_within(a: str, b: str, most: int) -> bool:
 
 
 def _verify(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, similarity: float, keep: Written):
+    """Filters pairs of nodes (id, doc, pos) by the edit similarity of their lines."""
+
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=SLICE):
-            texts = batch.column(2).to_pylist()
-            text, pos, keys, *_ = line_facts(texts)
-            parts = [normalise(t).split(b"\n") if t else [] for t in texts]
-            seen = {k: b" ".join(parts[t][p].split()).decode("utf-8", "replace") for t, p, k in zip(text.tolist(), pos.tolist(), keys.tolist(), strict=True)}
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.string())], names=["key", "line"])
+            ids, said = [], []
+            for text, wanted in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                at = {w["pos"]: w["id"] for w in wanted}
+                for pos, line in said_lines(text) if text else ():
+                    if pos in at:
+                        ids.append(at[pos])
+                        said.append(line.decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(said, pa.string())], names=["id", "line"])
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,12 +306,12 @@ def _verify(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, simil
 
     def verify(pairs: DataFrame) -> DataFrame:
         wanted = keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
-        holders = nodes.join(wanted, "id", "left_semi").select("doc").distinct()
+        holders = nodes.join(wanted, "id", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("id", "pos")).alias("wanted"))
         if wanted.count() <= SMALL:
             holders = F.broadcast(holders)
-        held = _named(docs, id_col, text_col).join(holders, "doc", "left_semi").mapInArrow(texts, "key bigint, line string")
-        held = keep(held.join(wanted, held.key == wanted.id, "left_semi").dropDuplicates(["key"]), "texts")
-        full = pairs.join(held.select(F.col("key").alias("a"), F.col("line").alias("p")), "a").join(held.select(F.col("key").alias("b"), F.col("line").alias("q")), "b")
+        rows = _named(docs, id_col, text_col).select("doc", "text").join(holders, "doc").select("doc", "text", "wanted")
+        held = keep(rows.mapInArrow(texts, "id bigint, line string").dropDuplicates(["id"]), "texts")
+        full = pairs.join(held.select(F.col("id").alias("a"), F.col("line").alias("p")), "a").join(held.select(F.col("id").alias("b"), F.col("line").alias("q")), "b")
         return full.select("a", "b", "p", "q").mapInArrow(test, "a bigint, b bigint")
 
     return verify
@@ -300,19 +322,22 @@ def duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     keep = keep or Written(spark)
     lines = keep(lines_of(docs, id_col, text_col, similarity), "lines")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("i"), "doc", "pos"))
-    nodes = keep(lines.groupBy("key").agg(F.min("print").alias("print"), F.min("n").alias("n"), F.min("marks").alias("marks"), F.count("*").alias("copies"), first.alias("first")), "line-nodes")
+    nodes = keep(lines.groupBy("key", "check").agg(F.min("n").alias("n"), F.min("marks").alias("marks"), F.count("*").alias("copies"), first.alias("first")), "line-nodes")
     # A line of n code points is similar to another only if an edit fits into (1 - similarity) of the longer one.
-    fuzzy = nodes.where(F.col("n") * (1 - similarity) / similarity >= 1 - 1e-9).select(F.col("key").alias("id"), "print", "n", "marks", "first.doc")
+    fuzzy = nodes.where(F.col("n") * (1 - similarity) / similarity >= 1 - 1e-9).select(F.col("key").alias("id"), "n", "marks", "first.doc", "first.pos")
 
     def near(x: str, y: str) -> Column:
         lo, hi = F.least(F.col(f"{x}n"), F.col(f"{y}n")), F.greatest(F.col(f"{x}n"), F.col(f"{y}n"))
         return lo >= hi * similarity
 
-    found = links(spark, fuzzy.select("id", "print", "n", "marks"), ["print", "marks"], _keys, near, _verify(docs, fuzzy, id_col, text_col, similarity, keep), keep)
-    grouped = nodes.join(found, nodes.key == found.node, "left").select("key", "copies", "first", F.coalesce("component", "key").alias("group"))
+    found = links(spark, fuzzy.select("id", "n", "marks"), ["marks"], _keys, near, _verify(docs, fuzzy, id_col, text_col, similarity, keep), keep)
+    # A node without links is a group of its own, by all 128 bits.
+    alone = F.when(F.col("component").isNull(), F.col("check"))
+    linked = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
+    grouped = nodes.join(linked, nodes.key == linked.node, "left").select("key", "check", "copies", "first", F.struct(F.coalesce("component", "key").alias("a"), alone.alias("b")).alias("group"))
     kept = grouped.groupBy("group").agg(F.min("first").alias("kept"), F.sum("copies").alias("n")).where("n > 1")
-    repeated = grouped.join(kept, "group").select("key", "kept")
-    gone = lines.join(repeated, "key").where((F.col("doc") != F.col("kept.doc")) | (F.col("pos") != F.col("kept.pos")))
+    repeated = grouped.join(kept, "group").select("key", "check", "kept")
+    gone = lines.select("doc", "pos", "key", "check").join(repeated, ["key", "check"]).where((F.col("doc") != F.col("kept.doc")) | (F.col("pos") != F.col("kept.pos")))
     return gone.groupBy("doc").agg(F.collect_set("pos").alias("gone"))
 
 
