@@ -44,7 +44,7 @@ from grainmill.session import Written
 SIMILARITY = 0.9
 #: Bands of three MinHashes. Lines shorter than SHORT are indexed by their parts; longer words than WIDE code points in
 #: the mean are cut into runs of RUN bytes. Blocks that nodes meet under hold LEAST bytes of words.
-BANDS, SHORT, WIDE, RUN, LEAST = 8, 48, 16, 8, 16
+BANDS, SHORT, WIDE, RUN, LEAST = 20, 72, 16, 8, 16
 #: Blocks of a fingerprint, and the pairs of blocks that stay if a word is changed.
 BLOCKS = 4
 VIEWS = list(combinations(range(BLOCKS), 2))

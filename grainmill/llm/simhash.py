@@ -6,7 +6,8 @@ the positions is enough), tallies the positional bytes that a pair shares, keeps
 them. Links are found in two passes that together lose none and emit no group's pairs:
 
 1. every posting list links its members to its smallest member (a star, linear in the list);
-2. lists whose members are still in different components are joined with themselves across components only.
+2. lists whose members are still in different components are joined with themselves across components only, after
+   some more stars around members drawn by a hash, which leave few such lists where members are like each other.
 
 Empty, null and one-word texts have fingerprints like any other; equal fingerprints are one node, so copies cost
 nothing. Ties and repeated rows collapse into that node; rows with a null id take the component of their fingerprint
@@ -88,6 +89,8 @@ Keys = Callable[[dict[str, np.ndarray]], Iterator[np.ndarray | tuple[np.ndarray,
 MARK, MARKED = 5, 1 << 41
 #: Nodes whose postings a task deals out at once, and postings that it matches at once.
 DEALT, MATCHED = 1 << 16, 1 << 20
+#: Times that another member of open lists is drawn at most; what is left is compared across components.
+DRAWN = 6
 
 
 def marks_of(keys: np.ndarray) -> bytes:
@@ -226,11 +229,25 @@ def links(spark: SparkSession, nodes: DataFrame, prints: list[str], keys: Keys,
     first = paired(named(members, "x_"), named(heads.select("key", "h.*"), "y_"), (F.col("x_key") == F.col("y_key")) & (F.col("x_id") != F.col("y_id")), "stars")
     found = components(spark, first, keep)
 
-    # A list of two was settled by its star; any longer one that still holds two components is compared across them.
-    longer = members.join(heads.where("size > 2").select("key"), "key", "left_semi")
-    marked = keep(longer.join(found, longer.id == found.node, "left").select("key", *cols, F.coalesce("component", "id").alias("component")), "marked")
-    mixed = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    open_lists = keep(marked.join(mixed, "key", "left_semi"), "open")
+    # A list of two was settled by its star. Of longer ones those stay open that still hold two components; while these
+    # hold many pairs, another member of each, drawn by a hash, is compared with all that aren't in its component.
+    longer = keep(members.join(heads.where("size > 2").select("key"), "key", "left_semi"), "longer")
+    at = 0
+    while True:
+        marked = keep(longer.join(found, longer.id == found.node, "left").select("key", *cols, F.coalesce("component", "id").alias("component")), "marked")
+        parts = marked.groupBy("key", "component").agg(F.count("*").alias("n"))
+        sizes = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("parts")).where("parts > 1")
+        open_lists = keep(marked.join(sizes.select("key"), "key", "left_semi"), "open")
+        n, pairs = sizes.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
+        if not n or at == DRAWN or pairs <= 2 * n:
+            break
+        at += 1
+        drawn = open_lists.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(at), "id").alias("draw"), "id", "component", *(c for c in cols if c != "id"))).alias("h"))
+        more = paired(named(open_lists, "x_"), named(drawn.select("key", "h.*"), "y_"), (F.col("x_key") == F.col("y_key")) & (F.col("x_component") != F.col("y_component")), f"drawn-{at}")
+        first = keep(first.unionByName(more), "links")
+        found = components(spark, first, keep)
+    if not n:
+        return found
     x, y = named(open_lists, "x_"), named(open_lists, "y_")
     second = paired(x, y, (F.col("x_key") == F.col("y_key")) & (F.col("x_component") < F.col("y_component")), "across")
     return components(spark, first.unionByName(second), keep) if second.limit(1).count() else found
