@@ -33,12 +33,15 @@ REMEMBERED = 1_000_000
 TOGETHER = 512
 #: A full stop or comma after a letter is a chunk of its own to the tokenizer as well.
 STOP = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D]|$)")
+#: A capital that a mark may follow: the tokenizer composes the two before it lowers case.
+MARKED = re.compile(rb"[A-Z][\x80-\xff]")
 
 
 class ChunkEncoder:
     """Encodes texts by their white-space-free chunks, each distinct chunk once. The tokenizer drops white space before
-    it merges and lowers case, so a text's ids are those of its chunks with A-Z lowered. Texts that may hold a special
-    token (they match by case) are cut at white space only."""
+    it merges and lowers case, so a text's ids are those of its chunks, and chunks of ASCII may have A-Z lowered, as may
+    others where nothing can join a capital. Texts that may hold a special token (they match by case) are cut at white
+    space only."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,7 +60,8 @@ class ChunkEncoder:
 
     def _learn(self, chunks: list[bytes]) -> None:
         texts = [c.decode() for c in chunks]
-        runs: list = [None] * len(texts)
+        lens = np.zeros(len(texts), np.int64)
+        found: list[tuple[list[int], np.ndarray]] = []  # places of chunks, and their ids end to end
         words = [i for i, t in enumerate(texts) if t.isalpha()]
         rest = [i for i, t in enumerate(texts) if not t.isalpha()]
         for at in range(0, len(words), TOGETHER):
@@ -65,13 +69,18 @@ class ChunkEncoder:
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(texts[i] for i in some)], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.nonzero(self.ends[ids])[0] + 1
             if len(ends) == len(some) and ends[-1] == len(ids):
-                for i, run in zip(some, np.split(ids, ends[:-1]), strict=True):
-                    runs[i] = run
+                lens[some] = np.diff(ends, prepend=0)
+                found.append((some, ids))
             else:  # a word that the tokenizer cuts
                 rest += some
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
-            runs[i] = np.array(e.ids, np.uint32)
-        self.ids.extend_arrays(runs)
+        runs = [e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)]
+        lens[rest] = [len(r) for r in runs]
+        found.append((rest, np.array([i for r in runs for i in r], np.uint32)))
+        starts, flat = np.cumsum(lens) - lens, np.zeros(int(lens.sum()), np.uint32)
+        for at, ids in found:
+            n = lens[at]
+            flat[np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+        self.ids.add(flat, lens)
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, each text's followed by END, and their counts."""
@@ -81,7 +90,10 @@ class ChunkEncoder:
         sizes = []
         for text in texts:
             if raw := text.encode() if text else b"":
-                chunks += (raw if b"<|" in raw else STOP.sub(rb" \1", raw.lower())).split()
+                if b"<|" not in raw:
+                    raw = b" ".join([c.lower() if c.isascii() else c for c in raw.split()]) if MARKED.search(raw) else raw.lower()
+                    raw = STOP.sub(rb" \1", raw)
+                chunks += raw.split()
             chunks.append(b"")
             sizes.append(len(chunks))
         numbers = self.known.numbers(chunks)

@@ -70,6 +70,13 @@ def test_chunk_encoder(text):
     assert ids.tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 1, 1] and counts.tolist() == [len(ids) - 1, 1]
 
 
+def test_a_capital_and_a_combining_mark_encode_as_the_library_does():
+    encoder = token_files.encoder_of(WORD_BPE)
+    for text in ["Y\u030a", "J\u030c x", "aH\u0331B.", "T\u0308, W\u030a.", "E\u0301A plain. Où", "\u0130 I\u0307.", "A\u0327\u030a"]:
+        ids, _ = encoder([text])
+        assert ids.tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 1], text
+
+
 ALPHABET = [*"aAbZéß .,'!?\n\t 12日<>-_▁", "<s>", "the ", " and", "ation", "  ", "\U0001f600", "[UNK]"]
 
 
