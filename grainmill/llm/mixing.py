@@ -3,11 +3,13 @@
 Targets: sources in code-point order (null last) weigh 5, 2, 1, repeating, and share a multiple of all words; a target
 stops at `most` times its source's words and the excess is reshared by weight (water filling, in closed form).
 Schedule: slot t draws the point frac((t + 1/2) * golden ratio) and maps it through the cumulative targets to a source;
-the slots of a source are ranked. Blocks: the documents of a source, shuffled by a keyed hash, form a stream of words
+the slots of a source are ranked. Each source takes its target to the word: it has as many slots as its blocks need, of
+which the last block may be a part; slots that the points give beyond that go, and slots that they leave out (a few of
+a source, as the points are even, or the only one of a small source) follow at the end. Blocks: the documents of a source, shuffled by a keyed hash, form a stream of words
 that repeats up to `most` times and is cut into blocks of equal token counts; slot and block meet by (source, rank).
 
-The number of slots is a fixed parameter, so block sizes follow the data and the schedule (at most that many rows, plus
-one row per source) is the only thing sorted in one task. Positions in a stream are two-level prefix sums over
+The number of points is a parameter that sets how fine the schedule is and nothing else: block sizes follow the data, and
+the schedule (that many rows, plus a few per source) is the only thing sorted in one task. Positions in a stream are two-level prefix sums over
 (source, hash bucket), so a source with a third of all rows is spread over all buckets.
 
 Null texts and texts of white space have size 0, take nothing and lose nothing. Repeated rows are separate documents.
@@ -83,18 +85,22 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (5, 2
     points = spark.range(n).select((point - F.floor(point)).alias("u"), F.col("id").alias("slot"), F.lit(None).cast("string").alias("src"))
     owner = F.last("src", ignorenulls=True).over(W.orderBy("u", "slot").rowsBetween(W.unboundedPreceding, 0))
     drawn = lows.unionByName(points).withColumn("src", owner).where("slot >= 0").select("slot", "src")
-    schedule = keep(drawn.withColumn("rank", F.row_number().over(W.partitionBy("src").orderBy("slot")).cast("bigint") - 1), "schedule")
-    sources = goal.join(schedule.groupBy("src").agg(F.count("*").alias("slots")), "src", "left").select("src", "source_size", "target", F.coalesce("slots", F.lit(0)).cast("bigint").alias("slots"))
+    ranked = keep(drawn.withColumn("rank", F.row_number().over(W.partitionBy("src").orderBy("slot")).cast("bigint") - 1), "ranked")
+    ends = F.least(F.round("target"), F.floor(F.col("source_size") * F.lit(float(most)))).cast("bigint")
+    needs = goal.select("src", "source_size", "target", ends.alias("end")).withColumn("slots", F.ceil(F.col("end") / block).cast("bigint"))
+    counted = needs.join(ranked.groupBy("src").agg(F.count("*").alias("drawn")), "src", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)).cast("bigint"))
+    late = counted.where("slots > drawn").select("src", F.explode(F.sequence("drawn", F.col("slots") - 1)).alias("rank"))
+    late = late.select((F.row_number().over(W.orderBy("rank", F.col("src") == "n", "src")) - 1 + n).cast("bigint").alias("slot"), "src", "rank")
+    schedule = keep(ranked.join(needs.select("src", "slots"), "src").where("rank < slots").select("slot", "src", "rank").unionByName(late), "schedule")
+    sources = needs
 
     before = W.partitionBy("src").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = buckets.select("src", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset")).join(sources, "src")
-    inside = W.partitionBy("src", "bucket").orderBy("key", "doc_id", "rid").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("src", "bucket").orderBy("key", "doc_id", "size", "rid").rowsBetween(W.unboundedPreceding, -1)
     placed = rows.select("rid", "doc_id", "src", "bucket", "key", "size").withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0))).where("size > 0").join(offsets, ["src", "bucket"])
-    end = F.least(F.col("slots") * block, F.floor(F.col("source_size") * F.lit(float(most))))
     passes = F.sequence(F.lit(0).cast("bigint"), F.floor((F.greatest("end", F.lit(1)) - 1) / F.col("source_size")))
     spans = (
-        placed.withColumn("end", end)
-        .where("end > 0")
+        placed.where("end > 0")
         .select("rid", "src", "end", "size", (F.col("start") + F.col("offset")).alias("start"), "source_size", F.explode(passes).alias("pass"))
         .withColumn("lo", F.col("start") + F.col("pass") * F.col("source_size"))
         .withColumn("hi", F.least(F.col("lo") + F.col("size"), F.col("end")))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from grainmill.llm.mixing import GOLDEN, SLOTS
-
 _EMBEDDINGS = """
 WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 g AS (SELECT * FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
@@ -14,7 +12,7 @@ n AS (SELECT i, count(*) AS n_links FROM p GROUP BY i)
 SELECT v.vec_id, coalesce(n_links, 0) AS n_links, component_id, v.vec_id = component_id AS kept
 FROM v JOIN c ON v.vec_id = c.i LEFT JOIN n ON v.vec_id = n.i"""
 
-_MIXING = f"""
+_MIXING = """
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, md5('42:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM d GROUP BY source),
 l AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS total,
@@ -22,14 +20,8 @@ l AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size)
   sum(weight) OVER (ORDER BY 2.0::DOUBLE * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM s),
 m AS (SELECT arg_min((total - capped) / rest, cap / weight) AS level FROM l WHERE (total - capped) / rest * weight <= cap),
 t AS (SELECT source, source_size, CASE WHEN level IS NULL THEN cap ELSE least(cap, level * weight) END AS target FROM l, m),
-b AS (SELECT greatest(1, ceil(sum(target) / {SLOTS}))::BIGINT AS block, sum(target) AS total FROM t),
-n AS (SELECT ceil(total / block)::BIGINT AS slots FROM b),
-lows AS (SELECT source, coalesce(sum(target) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) / total, 0) AS u FROM t, b WHERE target > 0),
-points AS (SELECT slot, (slot + 0.5::DOUBLE) * {GOLDEN!r}::DOUBLE - floor((slot + 0.5::DOUBLE) * {GOLDEN!r}::DOUBLE) AS u FROM range((SELECT slots FROM n)) r(slot)),
-drawn AS (SELECT slot, source FROM points ASOF JOIN lows ON points.u >= lows.u),
-k AS (SELECT source, count(*) AS slots FROM drawn GROUP BY source),
-e AS (SELECT t.source, source_size, target, least(coalesce(slots, 0) * block, floor(2.0 * source_size))::BIGINT AS ends FROM t LEFT JOIN k ON t.source IS NOT DISTINCT FROM k.source CROSS JOIN b),
-x AS (SELECT d.*, e.source_size, e.target, e.ends, (sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, rid) - size)::BIGINT AS start FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+e AS (SELECT source, source_size, target, least(round(target), floor(2.0 * source_size))::BIGINT AS ends FROM t),
+x AS (SELECT d.*, e.source_size, e.target, e.ends, (sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size, rid) - size)::BIGINT AS start FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
 SELECT doc_id, size, source_size, target,
   (greatest(0, least(start + size, ends) - start) + greatest(0, least(start + source_size + size, ends) - start - source_size) * (source_size > 0)::INT)::BIGINT AS taken
 FROM x"""
