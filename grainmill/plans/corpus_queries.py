@@ -70,7 +70,7 @@ def _leaks(s, d):
 _INTS = ["12.9", "", "true", "abc", " 7 ", "-3.7", "1e3"]
 add("x02_tolerant_int", lambda s, d: s.createDataFrame([(x,) for x in _INTS], "raw string").select("raw", text.tolerant_int("raw").alias("n")), "SELECT raw, coalesce(trunc(try_cast(trim(raw) AS DOUBLE))::bigint, 0) AS n FROM (VALUES " + ", ".join(f"('{x}')" for x in _INTS) + ") t(raw)")
 add("x01_first_present", lambda s, d: docs(s, d).select("doc_id", text.first_present(F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.when(F.col("doc_id") % 3 == 1, F.col("lang"))), "source", default="none").alias("name")), "SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN lang END, ''), nullif(source, ''), 'none') AS name FROM documents")
-add("x03_slugs", lambda s, d: docs(s, d).select("doc_id", text.slug(F.left("text", F.lit(40))).alias("slug")), "SELECT doc_id, CASE WHEN x = '' THEN 'item' ELSE x END AS slug FROM (SELECT doc_id, regexp_replace(regexp_replace(trim(left(text, 40)), '[^a-zA-Z0-9._-]+', '-', 'g'), '^[-._]+|[-._]+$', '', 'g') AS x FROM documents)")
+add("x03_slugs", lambda s, d: docs(s, d).select("doc_id", text.slug("text").alias("slug")), "SELECT doc_id, CASE WHEN x = '' THEN 'item' ELSE x END AS slug FROM (SELECT doc_id, regexp_replace(regexp_replace(trim(text), '[^a-zA-Z0-9._-]+', '-', 'g'), '^[-._]+|[-._]+$', '', 'g') AS x FROM documents)")
 add("x04_x06_hashes", lambda s, d: docs(s, d).select("doc_id", F.sha2("text", 256).alias("sha256"), text.byte_size("text").alias("size")), "SELECT doc_id, sha256(text) AS sha256, strlen(text)::bigint AS size FROM documents")
 add("x10_categories", lambda s, d: s.createDataFrame([(x,) for x in _NAMES], "name string").select("name", code.category(F.col("name")).alias("category")), "SELECT name, CASE WHEN starts_with(name, '__') AND ends_with(name, '__') AND length(name) > 4 THEN 'dunder' WHEN name IN ('self','cls','args','kwargs') THEN 'convention' WHEN name IN ('T','K','V','U','P','T_co','T_contra','K_co','V_co') THEN 'typing_special' WHEN regexp_full_match(name, '\\p{L}') THEN 'single_letter' WHEN starts_with(name, '_') AND NOT starts_with(name, '__') THEN 'private_convention' WHEN regexp_matches(name, '\\p{Lu}') AND NOT regexp_matches(name, '\\p{Ll}') THEN 'constant_style' ELSE 'other' END AS category FROM (VALUES " + ", ".join(f"('{x}')" for x in ["__init__", "____", "self", "T", "x", "é", "_p", "__q", "MAX_1", "MaxOne", "T_co", "_"]) + ") t(name)")
 _NAMES = ["__init__", "____", "self", "T", "x", "é", "_p", "__q", "MAX_1", "MaxOne", "T_co", "_"]
@@ -91,7 +91,7 @@ def _props(s, d):
 
 add("w10_shingles", lambda s, d: docs(s, d).select("doc_id", F.size(text.shingles(F.filter(F.split("text", "[ \n]+"), lambda w: w != ""), 5)).alias("n"), F.md5(text.shingles(F.filter(F.split("text", "[ \n]+"), lambda w: w != ""), 5)[0]).alias("first")), "SELECT doc_id, CASE WHEN len(w) = 0 THEN 0 ELSE greatest(len(w) - 4, 1) END::bigint AS n, md5(array_to_string(w[1:5], ' ')) AS first FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda x: x <> '') AS w FROM documents)")
 add("k13_previews", lambda s, d: docs(s, d).select("doc_id", F.md5(text.preview("text", 3)).alias("preview")), "SELECT doc_id, md5(array_to_string(string_split(text, chr(10))[1:3], chr(10))) AS preview FROM documents")
-add("k10_x32_formats", lambda s, d: table(s, d, "lineitem").where("l_orderkey < 200").select("l_orderkey", "l_linenumber", sinks.fixed("l_discount").alias("plain"), sinks.fixed(F.col("l_discount") - 0.05, sign=True).alias("signed")), "SELECT l_orderkey, l_linenumber::bigint AS l_linenumber, printf('%.4f', l_discount) AS plain, printf('%+.4f', l_discount - 0.05 + 0.0) AS signed FROM lineitem WHERE l_orderkey < 200")
+add("k10_x32_formats", lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", sinks.fixed("l_discount").alias("plain"), sinks.fixed(F.col("l_discount") - 0.05, sign=True).alias("signed")), "SELECT l_orderkey, l_linenumber::bigint AS l_linenumber, printf('%.4f', l_discount) AS plain, printf('%+.4f', l_discount - 0.05 + 0.0) AS signed FROM lineitem")
 
 # -- dedup, sets, samples, numbering ---------------------------------------------------------------------------------------
 

@@ -221,13 +221,12 @@ add("x24_x25_choice", lambda s, d: _cases(s, CHOICE_CASES, labels.choice, labels
 
 def _results_file(spark, d):
     """A results file built from the answers, and read back."""
-    small = answers(spark, d).where("condition = 'baseline' and item % 7 = 0")
-    named = ev.cell_key(small).groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("item", "raw_output", "gold", F.col("orig_pred").alias("pred")))).alias("rows"))
-    files = named.select(F.lit("mem").alias("path"), F.concat(F.lit('{"summary": {"x_acc": 0.5}, "'), "cell", F.lit('": '), F.to_json("rows"), F.lit("}")).alias("value"))
-    return parse_answers(files).groupBy("cell", "template", "benchmark", "data", "instr").agg(F.count("*").alias("n"), F.count_if(F.col("pred") == F.col("gold")).alias("n_right"))
+    named = ev.cell_key(answers(spark, d)).groupBy("condition", "seed", "cell").agg(F.sort_array(F.collect_list(F.struct("item", "raw_output", "gold", F.col("orig_pred").alias("pred")))).alias("rows"))
+    files = named.select(F.concat_ws("/", "condition", "seed").alias("path"), F.concat(F.lit('{"summary": {"x_acc": 0.5}, "'), "cell", F.lit('": '), F.to_json("rows"), F.lit("}")).alias("value"))
+    return parse_answers(files).groupBy("path", "cell", "template", "benchmark", "data", "instr").agg(F.count("*").alias("n"), F.count_if(F.col("pred") == F.col("gold")).alias("n_right"))
 
 
-add("s11_x39_results_json", _results_file, f"WITH {ANSWERS} SELECT 'template' || template || '_' || benchmark || '_data=' || data || '_instr=' || instr AS cell, template, benchmark, data, instr, count(*) AS n, count(*) FILTER (orig_pred = gold) AS n_right FROM er WHERE condition = 'baseline' AND item % 7 = 0 GROUP BY ALL")
+add("s11_x39_results_json", _results_file, f"WITH {ANSWERS} SELECT concat_ws('/', condition, seed) AS path, 'template' || template || '_' || benchmark || '_data=' || data || '_instr=' || instr AS cell, template, benchmark, data, instr, count(*) AS n, count(*) FILTER (orig_pred = gold) AS n_right FROM er GROUP BY ALL")
 add("x26_first_lines", lambda s, d: ans.surface_forms(table(s, d, "conversations").select(F.col("text").alias("raw_output"), "role", F.lit("x").alias("gold"), F.lit(None).cast("string").alias("pred"), "conv_id"), ["role"], ["conv_id"]).select("role", "form", "n", "n_cells"), "SELECT role, trim(split_part(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10), 1)) AS form, count(*) AS n, count(DISTINCT conv_id) AS n_cells FROM conversations GROUP BY ALL")
 
 # -- prompts and the evaluation matrix --------------------------------------------------------------------------------------

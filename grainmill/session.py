@@ -42,9 +42,11 @@ def reach(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests), one of our own."""
+    """The folder named by spark.checkpoint.dir; where a local session has none (tests), one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="grainmill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
