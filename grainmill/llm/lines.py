@@ -14,6 +14,9 @@ hash of 128 bits, are one node. Nodes are candidates by any of three indexes:
 - Lines of which one has under SHORT code points: one of the even parts of the shorter is in the longer, close to its
   place, as there is one part more than edits (pigeonhole). This loses nothing.
 
+Of lines under one key, pairs stay whose counts of characters in KINDS kinds differ by no more than that many edits can
+(an edit moves two counts by one), which loses nothing either.
+
 Candidates are verified by edit similarity alone, 1 - distance / longer length, on the normalised lines; of each
 connected group the first occurrence by (doc_id, document, line) stays and the others go. Lines too short for an edit
 to leave them similar match by equality only, which loses nothing.
@@ -45,6 +48,8 @@ SIMILARITY = 0.9
 #: Bands of three MinHashes. Lines shorter than SHORT are indexed by their parts; longer words than WIDE code points in
 #: the mean are cut into runs of RUN bytes. Blocks that nodes meet under hold LEAST bytes of words.
 BANDS, SHORT, WIDE, RUN, LEAST = 20, 72, 16, 8, 16
+#: Kinds of characters that are counted in a line, eight in a 64-bit number, up to MOST.
+KINDS, MOST = 16, 127
 #: Blocks of a fingerprint, and the pairs of blocks that stay if a word is changed.
 BLOCKS = 4
 VIEWS = list(combinations(range(BLOCKS), 2))
@@ -104,8 +109,8 @@ def line_keys(lines: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, lines)), np.int64).reshape(-1, 2)
 
 
-def line_facts(texts: list[str | None], similarity: float) -> tuple[list[int], list[int], np.ndarray, np.ndarray, list[bytes]]:
-    """(text, pos, keys, n, marks) of the lines that aren't blank after normalisation, in order; n is their code points.
+def line_facts(texts: list[str | None], similarity: float) -> tuple[list[int], list[int], np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """(text, pos, keys, n, marks, kinds) of the lines that aren't blank after normalisation, in order; n is their code points.
     Words of all lines are worked on as one array."""
     text, pos, lines = [], [], []
     for t, x in enumerate(texts):
@@ -114,7 +119,7 @@ def line_facts(texts: list[str | None], similarity: float) -> tuple[list[int], l
             pos.append(p)
             lines.append(line)
     if not lines:
-        return [], [], np.zeros((0, 2), np.int64), np.zeros(0, np.int64), []
+        return [], [], np.zeros((0, 2), np.int64), np.zeros(0, np.int64), [], np.zeros((0, KINDS // 8), np.int64)
     buffer = np.frombuffer(b"\n".join(lines) + b"\n", np.uint8)
     ends = np.nonzero((buffer == 32) | (buffer == 10))[0]
     starts = np.concatenate([[0], ends[:-1] + 1])
@@ -135,7 +140,15 @@ def line_facts(texts: list[str | None], similarity: float) -> tuple[list[int], l
             runs = _mix(np.ascontiguousarray(runs).view(np.uint64)[:, 0])
             marks[i] += marks_of(_min_hashes(runs, np.zeros(1, np.int64))[0])
         marks[i] += _parts(lines[i].decode("utf-8", "replace"), similarity)
-    return text, pos, line_keys(lines), n, marks
+    return text, pos, line_keys(lines), n, marks, _kinds(lines, n)
+
+
+def _kinds(lines: list[bytes], n: np.ndarray) -> np.ndarray:
+    """How many characters of each kind the lines hold."""
+    points = np.frombuffer(b"".join(lines).decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = ((points * np.uint32(0x9E3779B1)) >> np.uint32(28)).astype(np.int64)
+    counts = np.bincount(np.repeat(np.arange(len(lines)) * KINDS, n) + kind, minlength=len(lines) * KINDS)
+    return np.minimum(counts, MOST).astype(np.uint8).reshape(len(lines), KINDS).view(np.int64)
 
 
 def _views(words: np.ndarray, rank: np.ndarray, sizes: np.ndarray, n_lines: int) -> tuple[np.ndarray, np.ndarray]:
@@ -225,11 +238,11 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=SLICE):
-            text, pos, keys, n, marks = line_facts(batch.column(2).to_pylist(), similarity)
+            text, pos, keys, n, marks, kinds = line_facts(batch.column(2).to_pylist(), similarity)
             at = pa.array(text, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(pos, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(n), pa.array(marks, pa.binary())], names=["doc", "doc_id", "pos", "key", "check", "n", "marks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(pos, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(n), *(pa.array(k) for k in kinds.T), pa.array(marks, pa.binary())], names=["doc", "doc_id", "pos", "key", "check", "n", "k0", "k1", "marks"])
 
-    return _named(docs, id_col, text_col).mapInArrow(run, "doc bigint, doc_id bigint, pos bigint, key bigint, check bigint, n bigint, marks binary")
+    return _named(docs, id_col, text_col).mapInArrow(run, "doc bigint, doc_id bigint, pos bigint, key bigint, check bigint, n bigint, k0 bigint, k1 bigint, marks binary")
 
 
 def _doc(id_col: str, text_col: str) -> Column:
@@ -322,15 +335,20 @@ def duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     keep = keep or Written(spark)
     lines = keep(lines_of(docs, id_col, text_col, similarity), "lines")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("i"), "doc", "pos"))
-    nodes = keep(lines.groupBy("key", "check").agg(F.min("n").alias("n"), F.min("marks").alias("marks"), F.count("*").alias("copies"), first.alias("first")), "line-nodes")
+    nodes = keep(lines.groupBy("key", "check").agg(*(F.min(c).alias(c) for c in ("n", "k0", "k1", "marks")), F.count("*").alias("copies"), first.alias("first")), "line-nodes")
     # A line of n code points is similar to another only if an edit fits into (1 - similarity) of the longer one.
-    fuzzy = nodes.where(F.col("n") * (1 - similarity) / similarity >= 1 - 1e-9).select(F.col("key").alias("id"), "n", "marks", "first.doc", "first.pos")
+    fuzzy = nodes.where(F.col("n") * (1 - similarity) / similarity >= 1 - 1e-9).select(F.col("key").alias("id"), "n", "k0", "k1", "marks", "first.doc", "first.pos")
 
     def near(x: str, y: str) -> Column:
         lo, hi = F.least(F.col(f"{x}n"), F.col(f"{y}n")), F.greatest(F.col(f"{x}n"), F.col(f"{y}n"))
-        return lo >= hi * similarity
-
-    found = links(spark, fuzzy.select("id", "n", "marks"), ["marks"], _keys, near, _verify(docs, fuzzy, id_col, text_col, similarity, keep), keep)
+        moved = F.lit(0).cast("bigint")
+        for name in ("k0", "k1"):
+            for at in range(0, 64, 8):
+                a, b = (F.shiftrightunsigned(F.col(side + name), at).bitwiseAND(F.lit(255)) for side in (x, y))
+                moved = moved + F.abs(a - b)
+        return (lo >= hi * similarity) & (moved <= 2 * F.floor(hi * (1 - similarity) + 1e-9))
+
+    found = links(spark, fuzzy.select("id", "n", "k0", "k1", "marks"), ["marks"], _keys, near, _verify(docs, fuzzy, id_col, text_col, similarity, keep), keep)
     # A node without links is a group of its own, by all 128 bits.
     alone = F.when(F.col("component").isNull(), F.col("check"))
     linked = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())

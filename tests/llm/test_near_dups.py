@@ -143,7 +143,7 @@ def brute_lines(rows):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.text("ab1,. \n\x0b\x1cé日²", max_size=60)), max_size=6))
 def test_line_facts_match_a_plain_reading(texts):
-    text, pos, keys, n, marks = lines.line_facts(texts, 0.9)
+    text, pos, keys, n, marks, _ = lines.line_facts(texts, 0.9)
     want = [(t, p, b" ".join(line.split())) for t, x in enumerate(texts) for p, line in enumerate(lines.normalise(x).split(b"\n") if x else []) if line.split()]
     assert list(zip(text, pos, strict=True)) == [w[:2] for w in want]
     assert n.tolist() == [len(w[2].decode()) for w in want]
