@@ -335,9 +335,9 @@ def duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     keep = keep or Written(spark)
     lines = keep(lines_of(docs, id_col, text_col, similarity), "lines")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("i"), "doc", "pos"))
-    nodes = keep(lines.groupBy("key", "check").agg(*(F.min(c).alias(c) for c in ("n", "k0", "k1", "marks")), F.count("*").alias("copies"), first.alias("first")), "line-nodes")
+    nodes = keep(lines.groupBy("key", "check").agg(*(F.min(c).alias(c) for c in ("n", "k0", "k1", "marks")), F.count("*").alias("copies"), first.alias("first")).withColumn("id", F.monotonically_increasing_id()), "line-nodes")
     # A line of n code points is similar to another only if an edit fits into (1 - similarity) of the longer one.
-    fuzzy = nodes.where(F.col("n") * (1 - similarity) / similarity >= 1 - 1e-9).select(F.col("key").alias("id"), "n", "k0", "k1", "marks", "first.doc", "first.pos")
+    fuzzy = nodes.where(F.col("n") * (1 - similarity) / similarity >= 1 - 1e-9).select("id", "n", "k0", "k1", "marks", "first.doc", "first.pos")
 
     def near(x: str, y: str) -> Column:
         lo, hi = F.least(F.col(f"{x}n"), F.col(f"{y}n")), F.greatest(F.col(f"{x}n"), F.col(f"{y}n"))
@@ -349,10 +349,7 @@ def duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
         return (lo >= hi * similarity) & (moved <= 2 * F.floor(hi * (1 - similarity) + 1e-9))
 
     found = links(spark, fuzzy.select("id", "n", "k0", "k1", "marks"), ["marks"], _keys, near, _verify(docs, fuzzy, id_col, text_col, similarity, keep), keep)
-    # A node without links is a group of its own, by all 128 bits.
-    alone = F.when(F.col("component").isNull(), F.col("check"))
-    linked = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
-    grouped = nodes.join(linked, nodes.key == linked.node, "left").select("key", "check", "copies", "first", F.struct(F.coalesce("component", "key").alias("a"), alone.alias("b")).alias("group"))
+    grouped = nodes.join(found, nodes.id == found.node, "left").select("key", "check", "copies", "first", F.coalesce("component", "id").alias("group"))
     kept = grouped.groupBy("group").agg(F.min("first").alias("kept"), F.sum("copies").alias("n")).where("n > 1")
     repeated = grouped.join(kept, "group").select("key", "check", "kept")
     gone = lines.select("doc", "pos", "key", "check").join(repeated, ["key", "check"]).where((F.col("doc") != F.col("kept.doc")) | (F.col("pos") != F.col("kept.pos")))
