@@ -12,7 +12,7 @@ whose slots vary and that aren't mostly links, as template text in a varying reg
 tag and by words of class and id hold for every page, also where a host has one page only.
 
 Null and empty html give an empty text, as do pages without text. Broken, unclosed and cut-off markup is read as far as
-it goes. A null url is a host of its own. Repeated rows are returned each. An empty table gives an empty result. Only
+it goes, and nesting of any depth, too. A null url is a host of its own. Repeated rows are returned each. An empty table gives an empty result. Only
 the named columns are read."""
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from grainmill.session import Written
 
 #: Bytes of all wrappers that are broadcast at most; more are joined to the pages by host.
 BROADCAST_BYTES = 16 << 20
+#: Elements nested deeper are read as if their content stood in the ancestor at this depth.
+DEEP = 200
 #: Hosts whose partial wrappers a task holds at once.
 HOSTS = 4096
 
@@ -103,6 +105,8 @@ def parse(text: str) -> Node:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag or (stack[k].tag == "main" and stack[k].sig.split(".")[0] == tag):
                     del stack[k:]
+                    if len(stack) > DEEP and tag in BLOCK:
+                        stack[-1].kids.append(" ")
                     break
             continue
         closing = CLOSES.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
@@ -114,7 +118,12 @@ def parse(text: str) -> Node:
                 if stack[k].tag in SCOPE:
                     break
         node = _start(tag, m[3])
-        stack[-1].kids.append(node)
+        if len(stack) <= DEEP:
+            stack[-1].kids.append(node)
+        else:
+            if tag in BLOCK:
+                stack[-1].kids.append(" ")
+            node.kids = [] if node.bad else stack[-1].kids
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>?", re.I).search(text, at)
             at = end.end() if end else size

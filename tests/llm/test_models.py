@@ -262,6 +262,22 @@ def test_joined_wrappers_give_the_same(spark, monkeypatch):
     assert sorted(map(tuple, html.extract(spark, frame).collect())) == first
 
 
+def test_pages_nested_without_end():
+    for tag in ("div", "b"):
+        page = f"<article><p>First.</p>{f'<{tag}>' * 100_000}Deep <p>inside</p><nav>Menu</nav> here{f'</{tag}>' * 100_000}<p>Last.</p></article><div>Out</div>"
+        own = html.expression(html.parse(page))
+        assert html.main_text(page, html._open(html._pack(html._merge(own, html.expression(html.parse(page)))))) == "First. Deep inside here Last."
+    assert html.main_text("<article>" + "<div>" * 300 + "a<div>b</div>c") == "a b c"
+
+
+def test_repeated_rows_long_pages_and_extra_columns(spark):
+    long = "<article><p>" + "word " * 300_000 + "</p></article>"
+    rows = [(1, "http://a.x/1", "<article>A</article>"), (1, "http://a.x/1", "<article>A</article>"), (2, None, long), (None, "http://a.x/2", None), (3, "", "")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "'x' AS host", "'y' AS text", "'z' AS wrapper")
+    got = sorted(map(tuple, html.extract(spark, pages).collect()), key=str)
+    assert got == sorted([(1, "http://a.x/1", "A"), (1, "http://a.x/1", "A"), (2, None, ("word " * 300_000).strip()), (None, "http://a.x/2", ""), (3, "", "")], key=str)
+
+
 def test_regions_without_article():
     rows = [f"<body><div class=top><a href=1>Home</a><a href=2>News</a></div><div class=body><p>Story {i} {invented(i, 30)}</p></div><div class=end>All rights</div></body>" for i in range(5)]
     wrapper = html.expression(html.parse(rows[0]))
