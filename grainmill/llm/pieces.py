@@ -22,7 +22,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -291,9 +291,15 @@ class PieceModel:
         return self.flat_ids(np.array(symbols, np.int64), np.array([len(symbols)]))[0].tolist()
 
 
+@lru_cache(1)
+def piece_model(path: str) -> PieceModel:
+    """One per Python worker: its tables take a moment to build."""
+    return PieceModel(path)
+
+
 class PieceEncoder:
     def __init__(self, path: str, rate: float, seed: int):
-        self.model, self.rate, self.seed = PieceModel(path), rate, seed
+        self.model, self.rate, self.seed = piece_model(path), rate, seed
         self._reset()
 
     def _reset(self) -> None:
@@ -368,7 +374,7 @@ def encode(docs: DataFrame, model: str, rate: float = 0.1, seed: int = 42, id_co
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray | None], list[str | None]]]:
-    values = PieceModel(model).values
+    values = piece_model(model).values
     for batch in batches:
         runs = [v.values.to_numpy() if v.is_valid else None for v in batch.column(1)]
         raw = [None if r is None else b"".join([values[i] for i in r.tolist()]) for r in runs]
