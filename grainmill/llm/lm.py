@@ -1,16 +1,23 @@
 """LM scoring by a weighted backoff automaton.
 
-Model over word tokens and one end token per text. A state is a context: the empty context, the start of a text (the
-end token), or a known word. A state's arcs are its seen bigrams with log10 P; its failure arc goes to the empty
-context with the backoff weight. Smoothing: P1(w) = (c - D) / N for known words, the discounted mass D V / N for an
-unknown word (D = n1 / (n1 + 2 n2)); P(w | h) = (c(hw) + M P1(w)) / (c(h) + M) for seen bigrams, and the failure arc
-weighs M / (c(h) + M) before P1(w). Each context sums to one over the known words, the end and one unknown word.
+Model of order 3 over word tokens and one end token per text. A state is a context: the empty context, the start of a
+text (the end token), a known word, or a seen pair of tokens that doesn't end a text. A state's arcs are its seen
+n-grams with log10 P; its failure arc goes to the state of the context without its first token, with the backoff weight.
+Smoothing: P1(w) = (c - D) / N for known words, the discounted mass D V / N for an unknown word (D = n1 / (n1 + 2 n2));
+P(w | h) = (c(hw) + M P(w | h')) / (c(h) + M) for seen n-grams, h' being h without its first token, and the failure arc
+weighs M / (c(h) + M). Each context sums to one over the known words, the end and one unknown word.
+
+A traversal carries the state from token to token: while the state has no arc for the token it takes the failure arc, then
+the arc, whose target is the next state. A chunk's tokens are traversed in many lanes at once; as a state is at most two
+tokens, a lane that starts two tokens early, in the empty context, is in the right state when its own tokens begin.
 
 Counts come from all training rows and no model is broadcast. Texts are packed once into chunks, written to the shared
-folder. Each chunk asks for the n-grams it holds: sorted 64-bit hashes with its own training counts, in one row per hash
+folder. Each chunk asks for the n-grams it holds: sorted hashes with its own training counts, in one row per hash
 range. A range adds up all chunks' counts and answers each chunk in the order of its question. So a chunk gets the part
 of the automaton that its texts can reach, and builds and traverses it from left to right. Frequent words are one entry
-per chunk, so no key is hot; the number of ranges follows the number of chunks, so a range's size is bounded.
+per chunk, so no key is hot; the number of ranges follows the number of chunks, so a range's size is bounded. Words and
+pairs have hashes of 64 bits. Those of triples have SPARE bits more than all chunks' triples need to be numbered, which
+grows with the input: a triple then takes another's counts with a probability of at most 2 ** -SPARE, whatever the size.
 
 Null and empty texts are one end token. Repeated rows count and are scored each. A row with a null id is not held
 out, hence trained on. An empty table gives an empty result; without
@@ -38,13 +45,17 @@ CHUNK_BYTES = 12 << 20
 #: Weight of the lower order against a context's own counts.
 PRIOR = 30.0
 END = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of a triple's hash beyond those that number the triples of all chunks; a chunk holds at most 2 ** TRIPLES.
+SPARE, TRIPLES = 16, 23
+#: Tokens of a lane, and those before that bring it to its state.
+STEPS, EARLY = 512, 2
 
 
 def held_out(doc_id: int | None, folds: int = 5, fold: int = 1) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % folds == fold
 
 
-def bigram_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     x = first * np.uint64(0xBF58476D1CE4E5B9) + (second ^ (second >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     x *= np.uint64(0xD6E8FEB86659FD93)
@@ -64,44 +75,79 @@ class Tokens:
         self.lens = np.array([len(r) + 1 for r in runs[::2]], np.int64)
         digest = xxhash.xxh64_intdigest
         self.hashes = np.array([int(END), *(digest(w, 42) for w in known.fresh)], np.uint64)
-        self.before = np.concatenate([[0], self.tokens[:-1]]).astype(np.int64) if len(self.tokens) else self.tokens
-        codes = self.before * len(self.hashes) + self.tokens
-        self.pair_codes, self.pair_at = np.unique(codes, return_inverse=True)
-
-    def counted(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of words and of bigrams in the texts marked by `rows`."""
+        size, n = len(self.hashes), len(self.tokens)
+        before = np.concatenate([self.tokens[-1:], self.tokens[:-1]])  # the last token is an end
+        self.pair_codes, pairs = np.unique(before * size + self.tokens, return_inverse=True)
+        inner = np.nonzero(before != 0)[0]  # a text's first token follows the start alone
+        self.triple_codes, at = np.unique(pairs[inner - 1] * size + self.tokens[inner], return_inverse=True)
+        triples = np.full(n, -1, np.int64)
+        triples[inner] = at
+        self.suffixes = np.zeros(len(self.triple_codes), np.int64)  # the pair that ends a triple
+        self.suffixes[at] = pairs[inner]
+        #: The n-gram that ends at each token, by order.
+        self.grams = [self.tokens, pairs, triples]
+        self.sizes = [size, len(self.pair_codes), len(self.triple_codes)]
+
+    def counted(self, rows: np.ndarray) -> list[np.ndarray]:
+        """Counts of words, pairs and triples in the texts marked by `rows`."""
         inside = np.repeat(rows, self.lens)
-        return np.bincount(self.tokens[inside], minlength=len(self.hashes)), np.bincount(self.pair_at[inside], minlength=len(self.pair_codes))
+        return [np.bincount(g[inside & (g >= 0)], minlength=size) for g, size in zip(self.grams, self.sizes, strict=True)]
 
-    def pair_hashes(self) -> np.ndarray:
-        n = len(self.hashes)
-        return bigram_hashes(self.hashes[self.pair_codes // n], self.hashes[self.pair_codes % n])
+    def gram_hashes(self, bits: int) -> list[np.ndarray]:
+        """Hashes of the distinct words, pairs and triples; a triple's has its high `bits` only."""
+        size = self.sizes[0]
+        pairs = pair_hashes(self.hashes[self.pair_codes // size], self.hashes[self.pair_codes % size])
+        triples = pair_hashes(pairs[self.triple_codes // size], self.hashes[self.triple_codes % size])
+        low = np.uint64(64 - bits)
+        return [self.hashes, pairs, triples >> low << low]
 
 
 class Automaton:
-    """States are words (0: the end, so also the start), plus the empty context; arcs as sorted (state, word) codes."""
+    """The states and arcs that a chunk can reach. A state is an n-gram's number and order, 0 being the empty context; the
+    arc of a state of order k with a token is the n-gram of order k + 1 that they make."""
 
-    def __init__(self, tokens: Tokens, counts: np.ndarray, pair_counts: np.ndarray, stats: dict[str, float], prior: float):
-        n, v = stats["n"], stats["v"]
-        n1, n2 = stats["n1"], stats["n2"]
+    def __init__(self, tokens: Tokens, counts: list[np.ndarray], stats: dict[str, float], prior: float):
+        n, v, n1, n2 = (stats[k] for k in ("n", "v", "n1", "n2"))
         discount = min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 + n2 else 0.5
-        p1 = np.where(counts > 0, (counts - discount) / max(n, 1), discount * v / n if n else 1.0)
-        self.empty = np.log10(p1)  # arcs of the empty context
-        self.fail = np.where(counts > 0, np.log10(prior / (counts + prior)), 0.0)  # failure arcs
-        size = len(counts)
-        seen = np.nonzero(pair_counts > 0)[0]
-        state, word = tokens.pair_codes[seen] // size, tokens.pair_codes[seen] % size
-        self.arcs = tokens.pair_codes[seen]
-        self.weights = np.log10((pair_counts[seen] + prior * p1[word]) / (counts[state] + prior))
-        self.size = size
-
-    def traverse(self, tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """log10 probability of each token. The state after a token is that token, whichever arc led there, so all
-        steps of the left-to-right pass are taken together; a step without an arc takes the failure arc first."""
-        code = before * self.size + tokens
-        at = np.minimum(np.searchsorted(self.arcs, code), max(len(self.arcs) - 1, 0))
-        found = self.arcs[at] == code if len(self.arcs) else np.zeros(len(code), bool)
-        return np.where(found, self.weights[at] if len(self.arcs) else 0.0, self.fail[before] + self.empty[tokens])
+        words, pairs, triples = counts
+        size = tokens.sizes[0]
+        last = [np.arange(size), tokens.pair_codes % size, tokens.triple_codes % size]
+        p1 = np.where(words > 0, (words - discount) / max(n, 1), discount * v / n if n else 1.0)
+        p2 = (pairs + prior * p1[last[1]]) / (words[tokens.pair_codes // size] + prior)
+        p3 = (triples + prior * p2[tokens.suffixes]) / (pairs[tokens.triple_codes // size] + prior)
+        self.seen = [c > 0 for c in counts]
+        self.weights = [np.log10(p) for p in (p1, p2, p3)]
+        self.fails = [np.log10(prior / (c + prior)) for c in (words, pairs)]
+        #: Orders of the states that arcs lead to: the longest seen context, and the start after an end.
+        self.targets = [np.where(seen, np.where(w == 0, 1, min(k, 2)), 0).astype(np.int8) for k, seen, w in zip((1, 2, 3), self.seen, last, strict=True)]
+
+    def traverse(self, tokens: Tokens) -> np.ndarray:
+        """log10 probability of each token."""
+        grams, n = tokens.grams, len(tokens.tokens)
+        out = np.zeros(n)
+        begin = np.arange(0, n, STEPS)
+        states = np.zeros(len(begin), np.int8)  # orders; the n-gram is the one that ends at the last token
+        states[begin < EARLY] = self.targets[0][0]
+        for step in range(-EARLY, STEPS):
+            at = begin + step
+            live = np.nonzero((at >= 0) & (at < n))[0]
+            at, state = at[live], states[live]
+            total = np.zeros(len(at))
+            for k in (2, 1):
+                here = np.nonzero(state == k)[0]
+                here = here[~self.seen[k][grams[k][at[here]]]]
+                total[here] += self.fails[k - 1][grams[k - 1][at[here] - 1]]
+                state[here] = k - 1
+            after = np.zeros(len(at), np.int8)
+            for k in range(3):
+                here = np.nonzero(state == k)[0]
+                arc = grams[k][at[here]]
+                total[here] += self.weights[k][arc]
+                after[here] = self.targets[k][arc]
+            states[live] = after
+            if step >= 0:
+                out[at] = total
+        return out
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
@@ -145,6 +191,7 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     chunks = keep(_chunks(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))), "chunks", "none")
     n_chunks = chunks.count()
     bits = max(5, int(np.ceil(np.log2(max(n_chunks, 1)))))
+    wide = min(64, bits + TRIPLES + SPARE)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,9 +199,8 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
                 ids, texts = _open(blob.as_py())
                 tokens = Tokens(texts)
                 train = np.array([not held_out(i, folds, fold) for i in ids], bool)
-                words, pairs = tokens.counted(train)
                 sides = []
-                for h, c in ((tokens.hashes, words), (tokens.pair_hashes(), pairs)):
+                for h, c in zip(tokens.gram_hashes(wide), tokens.counted(train), strict=True):
                     order = np.argsort(h, kind="stable")
                     h, c = h[order], c[order].astype(np.uint32)
                     sides.append((h, c, np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1))))
@@ -170,7 +216,7 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
         asked = [unpack(b.as_py()) for b in group.column("asked")]
         out: list[list[np.ndarray]] = [[] for _ in chunk_ids]
         stats = {}
-        for side in (0, 2):
+        for side in (0, 2, 4):
             h = np.concatenate([np.cumsum(a[side], dtype=np.uint64) for a in asked])
             c = np.concatenate([a[side + 1] for a in asked])
             distinct, where = np.unique(h, return_inverse=True)
@@ -199,12 +245,11 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
             order = np.argsort(np.array(found.column("p").to_pylist(), np.int64))
             parts = [unpack(found.column("counts")[i].as_py()) for i in order.tolist()]
             counts = []
-            for side, h in ((0, tokens.hashes), (1, tokens.pair_hashes())):
+            for side, h in enumerate(tokens.gram_hashes(wide)):
                 back = np.zeros(len(h), np.int64)
                 back[np.argsort(h, kind="stable")] = np.concatenate([p[side] for p in parts])
                 counts.append(back)
-            model = Automaton(tokens, counts[0], counts[1], stats, prior)
-            steps = model.traverse(tokens.tokens, tokens.before)
+            steps = Automaton(tokens, counts, stats, prior).traverse(tokens)
             c = counts[0][tokens.tokens]
             base = np.log10((c + 0.5) / (stats["n"] + 0.5 * (stats["v"] + 1)))
             at = np.cumsum(tokens.lens) - tokens.lens

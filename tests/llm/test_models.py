@@ -21,27 +21,32 @@ from tests.llm.conftest import invented
 def brute_lm(rows):
     texts = [[*(t or "").encode().lower().split(), None] for _, t in rows]
     held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows]
-    c, c2 = Counter(), Counter()
+    c, c2, c3 = Counter(), Counter(), Counter()
     for t, h in zip(texts, held, strict=True):
         if not h:
             c.update(t)
             c2.update(zip([None, *t], t, strict=False))
+            c3.update(zip([None, *t], t, t[1:], strict=False))
     n, v, n1, n2 = sum(c.values()), len(c), sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values())
     d = min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 + n2 else 0.5
 
     def p1(w):
         return (c[w] - d) / n if c[w] else d * v / n if n else 1.0
 
-    def p(w, h):
+    def p2(w, h):
         return (c2[h, w] + lm.PRIOR * p1(w)) / (c[h] + lm.PRIOR) if c[h] else p1(w)
 
+    def p(w, g, h):
+        """After h, and g before it; a text's first word follows its start alone."""
+        return (c3[g, h, w] + lm.PRIOR * p2(w, h)) / (c2[g, h] + lm.PRIOR) if h is not None and c2[g, h] else p2(w, h)
+
     out = []
     for (i, _), t, h in zip(rows, texts, held, strict=True):
         base = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)
-        out.append((i, h, len(t), sum(c[w] > 0 for w in t), n, base, sum(math.log10(p(w, g)) for w, g in zip(t, [None, *t], strict=False))))
-    context = next(iter(c))
+        out.append((i, h, len(t), sum(c[w] > 0 for w in t), n, base, sum(math.log10(p(w, g, h)) for w, g, h in zip(t, [None, None, *t], [None, *t], strict=False))))
     if n:
-        assert abs(sum(p(w, context) for w in c) + p("unseen", context) - 1) < 1e-9
+        for context in next(iter(c2)), next(g[:2] for g in c3):
+            assert abs(sum(p(w, *context) for w in c) + p("unseen", *context) - 1) < 1e-9
     return out
 
 
@@ -62,6 +67,20 @@ def test_lm_scores(spark, docs, empty, monkeypatch):
     assert [r.score for r in lm.score(spark, only_held).collect()] == [0.0]
 
 
+def test_lanes_are_in_their_states(monkeypatch):
+    texts = [invented(i % 7, 50) + " once" * (i % 3) for i in range(30)] + [None, "", "lone", "unseen words"]
+    tokens = lm.Tokens(texts)
+    counts = tokens.counted(np.arange(len(texts)) % 4 > 0)
+    stats = {"n": int(counts[0].sum()), "v": int((counts[0] > 0).sum()), "n1": 5, "n2": 3}
+    model = lm.Automaton(tokens, counts, stats, lm.PRIOR)
+    steps = []
+    for lane in (1, 2, 5, 512, 10**6):
+        monkeypatch.setattr(lm, "STEPS", lane)
+        steps.append(model.traverse(tokens))
+    assert all(np.array_equal(x, steps[-1]) for x in steps)
+    assert len(lm.Automaton(lm.Tokens([]), [np.zeros(1, np.int64), *[np.zeros(0, np.int64)] * 2], stats, lm.PRIOR).traverse(lm.Tokens([]))) == 0
+
+
 def test_lm_beats_its_base_on_held_out_text(spark):
     rows = [(i, invented(i % 40, 60) + " " + invented(i, 5)) for i in range(200)]
     got = lm.score(spark, spark.createDataFrame(rows, "doc_id bigint, text string")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
