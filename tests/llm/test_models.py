@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -220,6 +221,42 @@ def test_mixed_documents(spark, plain):
 # -- fingerprints ----------------------------------------------------------------------------------------------------
 
 
+def brute_tree(text):
+    """(root, distinct leaf digests), by a walk over the characters."""
+    sections = []
+    for k, c in enumerate(text):
+        if not k or (text[k - 1] == "\n" and c != "\n"):
+            sections.append([])
+        said = sections[-1]
+        ends = c in ".!?\n"
+        if not said or (not ends and (said[-1][-1] in ".!?\n" or len(said[-1]) == 40)):
+            said.append("")
+        said[-1] += c
+    leaves = [[f"{xxhash.xxh64_intdigest(p.encode(), 42):X}" for p in s] for s in sections]
+    digests = [hashlib.sha256(",".join(s).encode()).hexdigest() for s in leaves]
+    return hashlib.sha256(",".join(digests).encode()).hexdigest(), {d for s in leaves for d in s}
+
+
+def dice(a, b):
+    return 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
+
+
+def test_fingerprints_equal_brute_force(spark, plain):
+    made = ["", "\n\n", "...Is it? Yes!! No\n\nB." + "é" * 39 + "𝒳y" + "z" * 85, "One. Two.\r\nThree\n", "a" * 40 + ".b", "a" * 41 + ".b", "x", "x"]
+    rows = sorted((r.doc_id, r.text or "") for r in plain.collect())
+    last = rows[-1][0]
+    rows += [(last + 1 + k, t) for k, t in enumerate(made)]
+    got = {r.id: r for r in merkle.edits(spark, spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert len(got) == len(rows)
+    for k, (i, text) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
+        cut = len(text) // 4
+        (root, mine), (changed, edited), (_, others) = map(brute_tree, (text, text[: len(text) - cut] + after[:cut], after))
+        r = got[i]
+        assert (r.fingerprint, r.edited_fingerprint) == (root, changed)
+        assert r.near_edited == pytest.approx(dice(mine, edited)) and r.near_next == pytest.approx(dice(mine, others))
+
+
 def test_edits(spark, plain, docs, empty):
     rows = sorted(((r.doc_id, r.text or "") for r in plain.collect()))
     got = {r.id: r for r in merkle.edits(spark, plain).collect()}
