@@ -96,8 +96,11 @@ def identifier_table(files, code: str = "code"):
     facts = files.select(code_facts(F.col(code)).alias("f"))
     parsed = facts.where("f.parses")
     total = parsed.agg(F.count("*").alias("_files"))
-    names = parsed.select(F.explode(F.expr("map_entries(aggregate(f.names, cast(map() as map<string,bigint>), (m, x) -> map_concat(map_filter(m, (k, v) -> k != x), map(x, coalesce(try_element_at(m, x), 0L) + 1))))")).alias("e"))
-    out = names.groupBy(F.col("e.key").alias("name")).agg(F.sum("e.value").alias("total"), F.count("*").alias("n_files"))
+    # Each occurrence counts for the total, each different name once more for the file; one shuffle adds up both.
+    said = F.transform("f.names", lambda x: F.struct(x.alias("name"), F.lit(1).alias("n"), F.lit(0).alias("file")))
+    once = F.transform(F.array_distinct("f.names"), lambda x: F.struct(x.alias("name"), F.lit(0).alias("n"), F.lit(1).alias("file")))
+    names = parsed.select(F.inline(F.concat(said, once)))
+    out = names.groupBy("name").agg(F.sum("n").alias("total"), F.sum("file").alias("n_files"))
     share = F.round(100.0 * F.col("n_files") / F.greatest(F.col("_files"), F.lit(1)), 1)
     return out.crossJoin(F.broadcast(total)).select("name", "total", "n_files", share.alias("pct_files"), category(F.col("name")).alias("category"))
 

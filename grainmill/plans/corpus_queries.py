@@ -249,7 +249,7 @@ def sources(s, d):
 
 add("f03_f07_code_facts", lambda s, d: sources(s, d).withColumn("f", code.code_facts("code")).select("doc_id", "f.parses", "f.defines", F.size("f.tokens").alias("n_tokens")), "SELECT doc_id, doc_id % 9 <> 0 AS parses, doc_id % 9 > 1 AS defines, CASE WHEN doc_id % 9 = 0 THEN 3 WHEN doc_id % 9 = 1 THEN 3 ELSE 12 END::bigint AS n_tokens FROM documents")
 add("a09_x09_identifiers", lambda s, d: code.identifier_table(sources(s, d)), "WITH t AS (SELECT doc_id FROM documents WHERE doc_id % 9 > 1), n AS (SELECT doc_id, 'f' || doc_id % 7 AS name, 1 AS k FROM t UNION ALL SELECT doc_id, 'self', 1 FROM t UNION ALL SELECT doc_id, 'x' || doc_id % 3, 2 FROM t UNION ALL SELECT doc_id, 'MAX_' || doc_id % 5, 1 FROM t UNION ALL SELECT doc_id, 'x', 1 FROM documents WHERE doc_id % 9 = 1) SELECT name, sum(k)::bigint AS total, count(DISTINCT doc_id) AS n_files, round(round(100.0 * count(DISTINCT doc_id) / (SELECT count(*) FROM documents WHERE doc_id % 9 <> 0), 1), 6) + 0.0 AS pct_files, CASE WHEN name = 'self' THEN 'convention' WHEN name = 'x' THEN 'single_letter' WHEN starts_with(name, 'MAX') THEN 'constant_style' ELSE 'other' END AS category FROM n GROUP BY name")
-add("a10_categories", lambda s, d: code.identifier_table(sources(s, d)).groupBy("category").agg(F.count("*").alias("n_names"), F.sum("total").alias("total")), None)
+add("a10_categories", lambda s, d: code.identifier_table(sources(s, d)).groupBy("category").agg(F.count("*").alias("n_names"), F.sum("total").alias("total")), f"SELECT category, count(*) AS n_names, sum(total)::bigint AS total FROM ({QUERIES['a09_x09_identifiers'][1]}) GROUP BY category")
 add("x11_remarks", lambda s, d: sources(s, d).select("doc_id", code.code_facts("code")["remarks"].alias("remarks")), "SELECT doc_id, CASE WHEN doc_id % 9 > 1 THEN 'note ' || doc_id ELSE '' END AS remarks FROM documents")
 add("b05_parallel", lambda s, d: prompts.parallel(packaged(s, d).select("file_path"), s.createDataFrame([(x,) for x in ("am", "ur", "zh")], "target string")).groupBy("target").agg(F.count("*").alias("n")), "SELECT target, count(*) AS n FROM documents CROSS JOIN (VALUES ('am'), ('ur'), ('zh')) t(target) GROUP BY 1")
 _E_SHARE = "length(regexp_replace(text, '[^a-e]', '', 'g')) / length(text)"
