@@ -9,6 +9,7 @@ from grainmill.llm.lm import op3_lm_scores
 from grainmill.llm.merkle import op10_fingerprints
 from grainmill.llm.mixing import op7_mixing
 from grainmill.llm.pieces import op8_pieces
+from grainmill.llm.resampling import op12_resampling
 from grainmill.llm.simhash import op1_simhash
 from grainmill.llm.sql import ORACLE
 from grainmill.llm.token_files import op2_token_files
@@ -25,5 +26,6 @@ QUERIES = {
     "op8_pieces": op8_pieces,
     "op9_line_dedup": op9_line_dedup,
     "op10_fingerprints": op10_fingerprints,
+    "op12_resampling": op12_resampling,
 }
 __all__ = ["ORACLE", "QUERIES"]

@@ -1,4 +1,4 @@
-"""SQL for the llm queries that SQL can express. The others need XXH64, crc32, tokenizers or trained models."""
+"""SQL for the llm queries that SQL can express. The others need XXH64, tokenizers or trained models."""
 
 from __future__ import annotations
 
@@ -26,4 +26,21 @@ SELECT doc_id, size, source_size, target,
   (greatest(0, least(start + size, ends) - start) + greatest(0, least(start + source_size + size, ends) - start - source_size) * (source_size > 0)::INT)::BIGINT AS taken
 FROM x"""
 
-ORACLE = {"op5_embedding_dups": _EMBEDDINGS.strip(), "op7_mixing": _MIXING.strip()}
+_RESAMPLING = """
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS tab),
+lower_case AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+aims AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS word FROM benchmark),
+docs AS (SELECT rid, unnest(words) AS word FROM lower_case),
+bytes AS (SELECT word, list_transform(range(1, len(hex(word)), 2), lambda p: (instr('0123456789ABCDEF', substr(hex(word), p, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(hex(word), p + 1, 1)) - 1) AS b FROM (SELECT word FROM docs UNION SELECT word FROM aims)),
+buckets AS (SELECT word, xor(list_reduce(list_prepend(4294967295, b)::BIGINT[], lambda c, x: xor(tab[xor(c & 255, x) + 1], c // 256)), 4294967295) % 10000 AS bucket FROM bytes, crc),
+s AS (SELECT bucket, count(*) AS n FROM docs JOIN buckets USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM aims JOIN buckets USING (word) GROUP BY bucket),
+gain AS (SELECT s.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1.0::DOUBLE) * ((SELECT sum(n) FROM s)::DOUBLE + 10000) / ((s.n + 1.0::DOUBLE) * (coalesce((SELECT sum(n) FROM t), 0)::DOUBLE + 10000))))::BIGINT AS g FROM s LEFT JOIN t USING (bucket)),
+sums AS (SELECT rid, sum(g)::BIGINT AS g, count(*) AS n FROM docs JOIN buckets USING (word) JOIN gain USING (bucket) GROUP BY rid),
+w AS (SELECT rid, doc_id, len(words)::BIGINT AS n_features, coalesce((g - ((g % n) + n) % n) // n, 0)::BIGINT AS weight, list_reduce(list_prepend(0, list_transform(range(1, 9), lambda p: instr('0123456789abcdef', substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), p, 1)) - 1))::BIGINT[], lambda c, x: c * 16 + x) AS h
+  FROM lower_case LEFT JOIN sums USING (rid)),
+x AS (SELECT *, (weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score FROM w),
+r AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, count(*) OVER () AS n FROM x WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM x LEFT JOIN r USING (rid)"""
+
+ORACLE = {"op5_embedding_dups": _EMBEDDINGS.strip(), "op7_mixing": _MIXING.strip(), "op12_resampling": _RESAMPLING.strip()}
