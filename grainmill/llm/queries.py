@@ -11,6 +11,7 @@ from grainmill.llm.mixing import op7_mixing
 from grainmill.llm.pieces import op8_pieces
 from grainmill.llm.resampling import op12_resampling
 from grainmill.llm.simhash import op1_simhash
+from grainmill.llm.snapshots import op13_exact_dedup
 from grainmill.llm.sql import ORACLE
 from grainmill.llm.token_files import op2_token_files
 from grainmill.llm.toxicity import op4_toxicity
@@ -27,5 +28,6 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_fingerprints": op10_fingerprints,
     "op12_resampling": op12_resampling,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 __all__ = ["ORACLE", "QUERIES"]

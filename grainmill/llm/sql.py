@@ -43,4 +43,9 @@ x AS (SELECT *, (weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::D
 r AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, count(*) OVER () AS n FROM x WHERE n_features >= 20)
 SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM x LEFT JOIN r USING (rid)"""
 
-ORACLE = {"op5_embedding_dups": _EMBEDDINGS.strip(), "op7_mixing": _MIXING.strip(), "op12_resampling": _RESAMPLING.strip()}
+_EXACT = """
+WITH d AS (SELECT doc_id, coalesce(length(text), 0) AS n, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g') AS t FROM documents),
+g AS (SELECT t, count(*) AS group_size, first(doc_id ORDER BY n DESC, doc_id NULLS LAST) AS keep_id FROM d GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)"""
+
+ORACLE = {"op5_embedding_dups": _EMBEDDINGS.strip(), "op7_mixing": _MIXING.strip(), "op12_resampling": _RESAMPLING.strip(), "op13_exact_dedup": _EXACT.strip()}
