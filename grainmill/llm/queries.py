@@ -10,6 +10,7 @@ from grainmill.llm.merkle import op10_fingerprints
 from grainmill.llm.mixing import op7_mixing
 from grainmill.llm.pieces import op8_pieces
 from grainmill.llm.resampling import op12_resampling
+from grainmill.llm.retrieval import op11_search
 from grainmill.llm.simhash import op1_simhash
 from grainmill.llm.snapshots import op13_exact_dedup
 from grainmill.llm.sql import ORACLE
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_pieces": op8_pieces,
     "op9_line_dedup": op9_line_dedup,
     "op10_fingerprints": op10_fingerprints,
+    "op11_search": op11_search,
     "op12_resampling": op12_resampling,
     "op13_exact_dedup": op13_exact_dedup,
 }

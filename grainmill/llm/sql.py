@@ -48,4 +48,16 @@ WITH d AS (SELECT doc_id, coalesce(length(text), 0) AS n, regexp_replace(coalesc
 g AS (SELECT t, count(*) AS group_size, first(doc_id ORDER BY n DESC, doc_id NULLS LAST) AS keep_id FROM d GROUP BY t)
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)"""
 
-ORACLE = {"op5_embedding_dups": _EMBEDDINGS.strip(), "op7_mixing": _MIXING.strip(), "op12_resampling": _RESAMPLING.strip(), "op13_exact_dedup": _EXACT.strip()}
+_SEARCH = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM documents WHERE text IS NOT NULL),
+q AS (SELECT row_number() OVER () AS q, item_id, list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS terms FROM benchmark WHERE text IS NOT NULL),
+a AS (SELECT count(*)::BIGINT AS N, sum(len(terms))::BIGINT AS L FROM d WHERE len(terms) > 0),
+m AS (SELECT rid, doc_id, 100 - 50 + (50 * len(terms)::BIGINT * N) // L AS m FROM d, a WHERE len(terms) > 0),
+p AS (SELECT rid, term, count(*)::BIGINT AS tf FROM (SELECT rid, unnest(terms) AS term FROM d) GROUP BY rid, term),
+w AS (SELECT term, floor(1000 * ln((2 * N + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), a),
+s AS (SELECT q, item_id, rid, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM (SELECT q, item_id, unnest(terms) AS term FROM q) JOIN p USING (term) JOIN w USING (term) JOIN m USING (rid) GROUP BY q, item_id, rid, doc_id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 50"""
+
+ORACLE = {"op5_embedding_dups": _EMBEDDINGS.strip(), "op7_mixing": _MIXING.strip(), "op11_search": _SEARCH.strip(), "op12_resampling": _RESAMPLING.strip(), "op13_exact_dedup": _EXACT.strip()}

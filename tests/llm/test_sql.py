@@ -16,7 +16,7 @@ def test_query_matches_sql(spark, name):
     assert table(got) == table(want)
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"op11_search"}))
 def test_one_row_per_input_row(spark, name):
     source = {"op5_embedding_dups": "embeddings", "op6_main_text": "pages"}.get(name, "documents")
     assert queries.QUERIES[name](spark, str(DATA)).count() == spark.read.parquet(f"{DATA}/{source}.parquet").count()
