@@ -2,8 +2,7 @@
 
 Near duplicates are collisions in any band of a MinHash signature (128 values, 14 bands of 9 rows for a threshold of
 0.7). A record is accepted iff it collides with no earlier accepted record: greedy and order dependent, so neither
-components nor pairwise minima give it. Rounds settle it: a record without an undecided or accepted earlier neighbour
-is accepted, one with an accepted earlier neighbour is rejected, until all are settled."""
+components nor pairwise minima give it; near_index settles it. Shingles are hashed by CRC-32, which all engines know."""
 
 from __future__ import annotations
 
@@ -15,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainmill.functions.text import let, shingles
-from grainmill.session import Written
+from grainmill.session import new_path
 
 PERMUTATIONS, BANDS, ROWS, PRIME = 128, 14, 9, (1 << 31) - 1
 
@@ -52,7 +51,7 @@ def minhash(records: DataFrame, order: str, tokens: str, width: int = 5, n: int
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed, pa.list_(pa.int64()))], names=[order, "signature"])
 
     kind = records.schema[order].dataType.simpleString()
-    hashes = F.transform(shingles(F.col(tokens), width), lambda s: F.pmod(F.xxhash64(s), F.lit(PRIME)))
+    hashes = F.transform(shingles(F.col(tokens), width), lambda s: F.crc32(s.cast("binary")) % PRIME)
     return records.select(order, hashes.alias("hashes")).mapInArrow(run, f"{order} {kind}, signature array<bigint>")
 
 
@@ -77,41 +76,15 @@ def duplicate_counts(rows: DataFrame, key: str, top: int = 10) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), key).limit(top)
 
 
-def collisions(spark: SparkSession, signed: DataFrame, order: str, keep: Written) -> DataFrame:
-    """(later, earlier) of records that share a band. Records of equal signature have the same neighbours, so they are
-    one node; within a band, nodes meet by the band's key."""
-    nodes = keep(signed.where("signature is not null").groupBy("signature").agg(F.min(order).alias("node")), "nodes")
-    lists = nodes.select("node", F.explode(bands(F.col("signature"))).alias("band")).distinct()
-    a, b = lists.alias("a"), lists.alias("b")
-    return keep(a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.node") > F.col("b.node"))).select(F.col("a.node").alias("later"), F.col("b.node").alias("earlier")).distinct(), "collisions")
-
-
-def first_wins(spark: SparkSession, pairs: DataFrame, keep: Written) -> DataFrame:
-    """(node, accepted) for the nodes of (later, earlier) pairs."""
-    nodes = keep(pairs.select(F.explode(F.array("later", "earlier")).alias("node")).distinct().select("node", F.lit(None).cast("boolean").alias("accepted")), "state")
-    while nodes.where("accepted is null").limit(1).count():
-        before = pairs.join(nodes.select(F.col("node").alias("earlier"), "accepted"), "earlier")
-        view = before.groupBy(F.col("later").alias("node")).agg(F.max(F.coalesce("accepted", F.lit(False))).alias("hit"), F.max(F.col("accepted").isNull()).alias("open"))
-        step = nodes.join(view, "node", "left")
-        now = F.when(F.col("accepted").isNotNull(), F.col("accepted")).when(F.coalesce("hit", F.lit(False)), F.lit(False)).when(~F.coalesce("open", F.lit(False)), F.lit(True))
-        was, nodes = nodes, keep(step.select("node", now.alias("accepted")), "state")
-        keep.drop(was)
-    return nodes
-
-
 def near(spark: SparkSession, records: DataFrame, order: str, tokens: str) -> DataFrame:
-    """Adds `accepted` and `cluster`: the earliest accepted record that a rejected one collides with. Later records of
-    an accepted signature are rejected; records without tokens collide with nothing."""
-    keep = Written(spark)
-    signed = keep(minhash(records, order, tokens), "signed")
-    pairs = collisions(spark, signed, order, keep)
-    state = first_wins(spark, pairs, keep)
-    taken = state.where("accepted").select(F.col("node").alias("earlier"))
-    owner = pairs.join(taken, "earlier").groupBy(F.col("later").alias("node")).agg(F.min("earlier").alias("owner"))
-    least = signed.where("signature is not null").groupBy("signature").agg(F.min(order).alias("node"))
-    nodes = least.join(state, "node", "left").join(owner, "node", "left").select("signature", "node", F.coalesce("accepted", F.lit(True)).alias("ok"), F.coalesce("owner", "node").alias("cluster"))
-    out = signed.join(nodes, "signature", "left").select(order, F.when(F.col("signature").isNull(), F.lit(True)).otherwise(F.col("ok") & (F.col("node") == F.col(order))).alias("accepted"), F.coalesce("cluster", order).alias("cluster"))
-    return records.join(out, order)
+    """Adds `accepted` and `cluster`, the earliest accepted record that a rejected one collides with; records without
+    tokens collide with nothing. One batch into a new index."""
+    from grainmill.operators.near_index import NearIndex
+
+    index = NearIndex(spark, new_path(spark, "near"), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    decided = index.add(records, 0, order, tokens)
+    index.drop()
+    return records.join(decided.withColumnRenamed("order", order), order)
 
 
 def cluster_sizes(decided: DataFrame) -> DataFrame:

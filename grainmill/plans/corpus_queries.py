@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from grainmill.functions import code, text
-from grainmill.operators import batches, corpus, datasets, dedup, prompts, sets
+from grainmill.operators import batches, corpus, datasets, dedup, near_index, prompts, sets
 from grainmill.plans.bindings import RECORDS, records
-from grainmill.session import table
+from grainmill.session import Written, delete, new_path, table
 from grainmill.sources import files, sinks
 
 QUERIES: dict = {}
@@ -105,13 +107,59 @@ def hashed(s, d):
 add("j13_r02_exact_dedup", lambda s, d: dedup.exact(hashed(s, d), "doc_id").select("doc_id", "sha256"), f"WITH {_SHA} SELECT min(doc_id) AS doc_id, sha256 FROM h GROUP BY sha256")
 add("j13_unseen", lambda s, d: dedup.unseen(hashed(s, d).where("doc_id >= 500"), hashed(s, d).where("doc_id < 500")).select("doc_id"), f"WITH {_SHA} SELECT doc_id FROM h WHERE doc_id >= 500 AND sha256 NOT IN (SELECT sha256 FROM h WHERE doc_id < 500)")
 add("a03_duplicate_counts", lambda s, d: dedup.duplicate_counts(hashed(s, d), "sha256"), f"WITH {_SHA} SELECT sha256, count(*) AS n FROM h GROUP BY 1 HAVING count(*) > 1 ORDER BY 2 DESC, 1 LIMIT 10")
-add("r03_j14_near_dedup", lambda s, d: _near(s, d).select("doc_id", "accepted", "cluster"), None)
-add("a02_cluster_sizes", lambda s, d: dedup.cluster_sizes(_near(s, d)), None)
+def _tokens(s, d):
+    return docs(s, d).select("doc_id", F.filter(F.split(F.lower("text"), r"\W+"), lambda w: w != "").alias("tokens"))
 
 
 def _near(s, d):
-    rows = docs(s, d).withColumn("tokens", F.filter(F.split(F.lower("text"), r"\W+"), lambda w: w != ""))
-    return dedup.near(s, rows.select("doc_id", "tokens"), "doc_id", "tokens")
+    return dedup.near(s, _tokens(s, d), "doc_id", "tokens")
+
+
+def _near_batches(s, d, parts=4):
+    """Batches of the documents in order, each an equal range of ids; and the index that they went into."""
+    ends = docs(s, d).agg(F.min("doc_id"), F.max("doc_id")).first()
+    width = (ends[1] or 0) - (ends[0] or 0) + 1
+    rows = _tokens(s, d).withColumn("batch", F.floor((F.col("doc_id") - (ends[0] or 0)) * parts / width))
+    index = near_index.NearIndex(s, new_path(s, "near"))
+    decided = [index.add(rows.where(F.col("batch") == k), k, "doc_id", "tokens").withColumn("batch", F.lit(k).cast("bigint")) for k in range(parts)]
+    return rows, index, reduce(lambda x, y: x.unionByName(y), decided).withColumnRenamed("order", "doc_id")
+
+
+def _rebuilt(s, d):
+    """The index after one of its batches was lost and another one written twice, and both were built anew."""
+    rows, index, decided = _near_batches(s, d)
+    delete(s, f"{index.path}/bands/batch=1")
+    twice = index.index.read().where("batch = 2")
+    Written(s)(twice, "twice").select("band", "owner", "batch").write.mode("append").insertInto(index.index.name)
+    bad = index.damaged()
+    for k in bad:
+        accepted = decided.where(F.col("accepted") & (F.col("batch") == k)).select("doc_id")
+        index.rebuild(rows.join(accepted, "doc_id", "left_semi"), k, "doc_id", "tokens")
+    held = index.index.read().groupBy("batch").agg(F.count("*").alias("n_rows"), F.count_distinct("owner").alias("n_records"))
+    return held.withColumn("repaired", F.col("batch").isin(bad))
+
+
+_NEAR = """WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS tab),
+lcg AS (SELECT 0 AS i, 20240229::HUGEINT AS x UNION ALL SELECT i + 1, (x * 6364136223846793005 + 1442695040888963407) % 18446744073709551616 FROM lcg WHERE i < 256),
+coef AS (SELECT (i - 1) // 2 AS perm, max(CASE WHEN i % 2 = 1 THEN v END) AS a, max(CASE WHEN i % 2 = 0 THEN v END) AS b FROM (SELECT i, ((x // 8589934592) % 2147483646 + 1)::BIGINT AS v FROM lcg WHERE i > 0) GROUP BY 1),
+words AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\W+'), lambda x: x <> '') AS w FROM documents),
+runs AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM words WHERE len(w) > 0),
+bytes AS (SELECT s, list_transform(range(1, len(hex(s)), 2), lambda p: (instr('0123456789ABCDEF', substr(hex(s), p, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(hex(s), p + 1, 1)) - 1) AS b FROM (SELECT DISTINCT s FROM runs)),
+hashed AS MATERIALIZED (SELECT s, xor(list_reduce(list_prepend(4294967295, b)::BIGINT[], lambda c, x: xor(tab[xor(c & 255, x) + 1], c // 256)), 4294967295) % 2147483647 AS h FROM bytes, crc),
+sig AS (SELECT doc_id, perm, min((a * h + b) % 2147483647) AS v FROM runs JOIN hashed USING (s), coef GROUP BY doc_id, perm),
+band AS MATERIALIZED (SELECT doc_id, perm // 9 AS at, list(v ORDER BY perm) AS k FROM sig WHERE perm < 126 GROUP BY doc_id, perm // 9),
+met AS (SELECT x.doc_id, list(DISTINCT y.doc_id) AS before FROM band x JOIN band y ON x.at = y.at AND x.k = y.k AND x.doc_id > y.doc_id GROUP BY x.doc_id),
+queue AS MATERIALIZED (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n, coalesce(before, []::BIGINT[]) AS before FROM documents LEFT JOIN met USING (doc_id)),
+walk AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS taken UNION ALL SELECT walk.n + 1, CASE WHEN list_has_any(taken, before) THEN taken ELSE list_append(taken, doc_id) END FROM walk JOIN queue ON queue.n = walk.n + 1),
+ended AS (SELECT taken FROM walk ORDER BY n DESC LIMIT 1),
+won AS (SELECT unnest(taken) AS doc_id FROM ended),
+near AS (SELECT q.doc_id, won.doc_id IS NOT NULL AS accepted, CASE WHEN won.doc_id IS NOT NULL THEN q.doc_id ELSE list_min(list_intersect(before, taken)) END AS cluster FROM queue q LEFT JOIN won USING (doc_id), ended)
+"""
+_BATCHED = "CASE WHEN lo IS NULL THEN 0 ELSE (doc_id - lo) * 4 // (hi - lo + 1) END"
+add("r03_j14_near_dedup", lambda s, d: _near(s, d).select("doc_id", "accepted", "cluster"), _NEAR + "SELECT * FROM near")
+add("a02_cluster_sizes", lambda s, d: dedup.cluster_sizes(_near(s, d)), _NEAR + "SELECT cluster, count(*) AS size FROM near GROUP BY cluster")
+add("r01_r03_near_batches", lambda s, d: _near_batches(s, d)[2].select("doc_id", "accepted", "cluster"), _NEAR + "SELECT * FROM near")
+add("r04_rebuilt_index", _rebuilt, _NEAR + f"SELECT {_BATCHED}::BIGINT AS batch, 14 * count(*) AS n_rows, count(*) AS n_records, batch IN (1, 2) AS repaired FROM near JOIN words USING (doc_id), (SELECT min(doc_id) AS lo, max(doc_id) AS hi FROM documents) WHERE accepted AND len(w) > 0 GROUP BY 1")
 
 
 def variants(s, d):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grainmill.functions.text import shingles
-from grainmill.operators import batches, corpus, datasets, dedup, sets
+from grainmill.operators import batches, corpus, datasets, dedup, near_index, sets
 from grainmill.operators import answers as ans
 from grainmill.operators import evaluation as ev
 from grainmill.session import Written
@@ -33,9 +33,11 @@ def greedy(nodes, pairs):
 def test_first_wins_is_greedy(spark, seed):
     r = random.Random(seed)
     pairs = {(max(a, b), min(a, b)) for a, b in ((r.randrange(60), r.randrange(60)) for _ in range(70)) if a != b} | {(k + 1, k) for k in range(100, 120)}
-    got = dedup.first_wins(spark, Written(spark)(spark.createDataFrame(sorted(pairs), "later bigint, earlier bigint"), "pairs"), Written(spark)).collect()
+    rows = [(n, band) for band, pair in enumerate(sorted(pairs)) for n in pair]
     nodes = {n for p in pairs for n in p}
-    assert {x.node for x in got if x.accepted} == greedy(nodes, pairs) and {x.node for x in got} == nodes
+    for single in (0, 40, 10**6):  # rounds alone, rounds and one task, one task
+        got = near_index.settle(spark.createDataFrame(rows, "order bigint, band bigint"), Written(spark), single).collect()
+        assert sorted(x.order for x in got) == sorted(greedy(nodes, pairs))
 
 
 def test_near_dedup_keeps_the_earliest_of_copies(spark):
