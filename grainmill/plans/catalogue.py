@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.plans import corpus_queries, evaluation_queries, report_queries
+from grainmill.plans import corpus_queries, evaluation_queries, report_queries, table_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,7 +32,7 @@ def _tidied(query: Query) -> Query:
     return lambda spark, sf_dir: tidy(query(spark, sf_dir))
 
 
-_ALL = corpus_queries.QUERIES | evaluation_queries.QUERIES | report_queries.QUERIES
+_ALL = corpus_queries.QUERIES | evaluation_queries.QUERIES | report_queries.QUERIES | table_queries.QUERIES
 QUERIES: dict[str, Query] = {name: _tidied(query) for name, (query, _) in _ALL.items()}
 ORACLE: dict[str, str] = {name: sql for name, (_, sql) in _ALL.items() if sql}
 FLAGSHIP = "a01_f10_funnel"

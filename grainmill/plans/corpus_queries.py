@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from grainmill.functions import code, text
-from grainmill.operators import batches, corpus, datasets, dedup, near_index, prompts, sets
+from grainmill.operators import batches, corpus, datasets, dedup, near_index, prompts, sets, subsets
 from grainmill.plans.bindings import RECORDS, records
 from grainmill.session import Written, delete, new_path, table
 from grainmill.sources import files, sinks
@@ -183,6 +183,38 @@ def cell_rows(s, d):
 _HARM = f"{_VARIANTS}, h AS (SELECT CASE WHEN doc_id % 11 = 0 THEN 'validation' ELSE 'train' END AS split, doc_id AS idx, list_sort(list(DISTINCT config)) AS held FROM v GROUP BY ALL)"
 add("u03_harmonise", lambda s, d: sets.harmonise(cell_rows(s, d)), f"WITH {_HARM} SELECT split, idx, len(held) = 3 AS kept, array_to_string(list_filter(['a','b','c'], lambda x: NOT list_contains(held, x)), ',') AS missing FROM h")
 add("a42_cell_sizes", lambda s, d: sets.cell_sizes(cell_rows(s, d)), f"WITH {_HARM} SELECT split, 3::bigint AS n_cells, count(*) AS n_union, count(*) FILTER (len(held) = 3) AS n_intersection, count(*) FILTER (len(held) < 3) AS n_dropped FROM h GROUP BY split")
+def subset_variants(s, d):
+    """The documents as three variants: the first, a faithful one, and one with rows lost, repeated and changed."""
+    rows = docs(s, d).select(F.concat("source", F.lit("/"), "doc_id").alias("file_path"), F.when(F.col("doc_id") % 10 == 0, "validation").otherwise("train").alias("split"), F.col("text").alias("code"), F.when(F.col("doc_id") % 13 != 0, F.col("n_chars")).alias("token_count"), "doc_id")
+    i = F.col("doc_id")
+    first = rows.withColumns({"config": F.lit("a"), "code_en": F.lit(None).cast("string")})
+    same = rows.withColumns({"config": F.lit("b"), "code_en": F.col("code")})
+    worse = rows.withColumns({"config": F.lit("c"), "code_en": F.when(i % 41 == 3, F.concat("code", F.lit("!"))).otherwise(F.col("code"))}).where(i % 37 != 5)
+    twice = worse.where(i % 43 == 7)
+    odd = worse.where(i % 47 == 9).withColumn("file_path", F.concat(F.lit("new/"), "file_path"))
+    return first.unionByName(same).unionByName(worse).unionByName(twice).unionByName(odd).drop("doc_id")
+
+
+def _faults(s, d):
+    rows = subset_variants(s, d)
+    return subsets.faults(rows, "a", subsets.report(rows, "a", 0)).withColumnRenamed("path", "file_path")
+
+
+_SUBSETS = """r AS (SELECT source || '/' || doc_id AS file_path, CASE WHEN doc_id % 10 = 0 THEN 'validation' ELSE 'train' END AS split, text AS code, CASE WHEN doc_id % 13 <> 0 THEN n_chars END AS token_count, doc_id AS i FROM documents),
+w AS (SELECT file_path, split, CASE WHEN i % 41 = 3 THEN code || '!' ELSE code END AS content, token_count, i FROM r WHERE i % 37 <> 5),
+v AS (SELECT 'a' AS config, file_path, split, code AS content, token_count FROM r UNION ALL SELECT 'b', file_path, split, code, token_count FROM r UNION ALL SELECT 'c', file_path, split, content, token_count FROM w
+  UNION ALL SELECT 'c', file_path, split, content, token_count FROM w WHERE i % 43 = 7 UNION ALL SELECT 'c', 'new/' || file_path, split, content, token_count FROM w WHERE i % 47 = 9),
+k AS (SELECT config, split, file_path, count(*) AS n, min(content) AS content FROM v GROUP BY ALL),
+f AS (SELECT coalesce(x.config, 'c') AS config, coalesce(x.split, y.split) AS split, coalesce(x.file_path, y.file_path) AS file_path,
+  CASE WHEN x.n IS NULL THEN 'lost' WHEN y.n IS NULL THEN 'extra' WHEN x.content <> y.content THEN 'changed' WHEN x.n > y.n THEN 'repeated' END AS fault
+  FROM (SELECT * FROM k WHERE config = 'c') x FULL JOIN (SELECT * FROM k WHERE config = 'a') y USING (split, file_path))"""
+add("v01_subset_report", lambda s, d: subsets.report(subset_variants(s, d), "a", docs(s, d).count()), f"""WITH {_SUBSETS},
+  m AS (SELECT 'a' AS config, split, true AS p, true AS c FROM k WHERE config = 'a' GROUP BY split UNION ALL SELECT 'b', split, true, true FROM k WHERE config = 'a' GROUP BY split
+    UNION ALL SELECT 'c', s.split, count(fault) FILTER (fault <> 'changed') = 0, count(fault) = 0 FROM (SELECT DISTINCT split FROM k) s LEFT JOIN f ON f.split = s.split GROUP BY s.split),
+  z AS (SELECT config, count(*) = (SELECT count(*) FROM documents) AS size_ok FROM v GROUP BY config)
+  SELECT config, split, size_ok, p AS paths_match, c AS contents_match, count(*) AS n, count(*) FILTER (token_count IS NULL) AS null_tokens, sum(token_count)::BIGINT AS total_tokens, min(token_count) AS min_tokens, max(token_count) AS max_tokens, round(avg(token_count), 1) + 0.0 AS mean_tokens
+  FROM v JOIN m USING (config, split) JOIN z USING (config) GROUP BY ALL""")
+add("v01_subset_faults", _faults, f"WITH {_SUBSETS} SELECT config, split, file_path, fault FROM f WHERE fault IS NOT NULL")
 add("v01_subset_checks", lambda s, d: datasets.validate_subsets(variants(s, d), "config", "path", 700, "a"), f"WITH {_VARIANTS}, c AS ({_COMMON}), p AS (SELECT config, count(*) AS n, count(DISTINCT path) AS d, count(*) FILTER (path NOT IN (SELECT path FROM c)) AS o FROM v GROUP BY config) SELECT config, unnest(['row_count', 'duplicates', 'set_equality']) AS \"check\", unnest([abs(n - 700), n - d, o]) AS bad FROM p")
 add("u06_u07_differences", lambda s, d: variants(s, d).where("config = 'a'").select("path").exceptAll(variants(s, d).where("config = 'b'").select("path")), f"WITH {_VARIANTS} SELECT path FROM v WHERE config = 'a' EXCEPT SELECT path FROM v WHERE config = 'b'")
 add("t03_sample", lambda s, d: sets.sample(docs(s, d).select("doc_id", "source"), "doc_id", 100), "SELECT doc_id, source FROM documents ORDER BY md5('42|' || doc_id), doc_id LIMIT 100")
