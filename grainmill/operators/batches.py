@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -85,20 +87,34 @@ def stress_summary(results: DataFrame, by: list[str]) -> DataFrame:
 # -- running a translator ------------------------------------------------------------------------------------------------
 
 
-def translate(rows: DataFrame, make: Callable[[], Callable[[str], str]], text: str = "code", key: str = "file_path", retries: int = 3, delay: float = 0.0, gap: float = 0.0, retry_on: tuple[type[Exception], ...] = (OSError,)) -> DataFrame:
+def next_slot(now: float, last: float, task: int, tasks: int, gap: float) -> float:
+    """The first time from now on, and after the last one, that belongs to a task: times a whole number of gaps after the
+    epoch are dealt to the tasks in turn, so calls of different tasks never come closer than the gap, whether a task is
+    early, late or run again, and no task waits for another."""
+    period, phase = tasks * gap, task * gap
+    turn = math.ceil((now - phase) / period)
+    if turn * period + phase <= last:
+        turn += 1
+    return turn * period + phase
+
+
+def translate(rows: DataFrame, make: Callable[[], Callable[[str], str]], text: str = "code", key: str = "file_path", retries: int = 3, delay: float = 0.0, gap: float = 0.0, retry_on: tuple[type[Exception], ...] = (OSError,), tasks: int | None = None) -> DataFrame:
     """(key, output, error_type, retries, seconds): make() builds a translator once per task; only the given errors are
-    tried again; `gap` seconds pass at least between a task's calls."""
+    tried again; `gap` seconds pass at least between a task's calls. With `tasks`, rows are dealt to so many tasks and the gap
+    holds between the calls of all of them (as far as their clocks agree)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call, last = make(), 0.0
+        call, last, me = make(), 0.0, TaskContext.get().partitionId()
         for frame in frames:
             out = []
             for k, source in zip(frame[key], frame[text], strict=True):
                 began, tries, error, done = time.monotonic(), 0, None, None
                 while True:
-                    if gap and (wait := last + gap - time.monotonic()) > 0:
-                        time.sleep(wait)
-                    last = time.monotonic()
+                    if gap:
+                        now = time.time()
+                        due = next_slot(now, last, me, tasks, gap) if tasks else max(now, last + gap)
+                        time.sleep(due - now)
+                        last = due
                     try:
                         done, error = call(source), None
                         break
@@ -115,7 +131,8 @@ def translate(rows: DataFrame, make: Callable[[], Callable[[str], str]], text: s
             yield pd.DataFrame(out, columns=[key, "output", "error_type", "retries", "seconds"])
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, text).mapInPandas(run, f"{key} {kind}, output string, error_type string, retries int, seconds double")
+    dealt = rows.select(key, text).repartition(tasks) if tasks else rows.select(key, text)
+    return dealt.mapInPandas(run, f"{key} {kind}, output string, error_type string, retries int, seconds double")
 
 
 class Budget:

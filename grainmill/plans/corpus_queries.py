@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from grainmill.functions import code, text
-from grainmill.operators import batches, corpus, datasets, dedup, near_index, prompts, sets, subsets
+from grainmill.operators import batches, corpus, datasets, dedup, language, near_index, prompts, sets, subsets
 from grainmill.plans.bindings import RECORDS, records
 from grainmill.session import Written, delete, new_path, table
-from grainmill.sources import files, sinks
+from grainmill.sources import configs, files, sinks
 
 QUERIES: dict = {}
 
@@ -183,6 +183,57 @@ def cell_rows(s, d):
 _HARM = f"{_VARIANTS}, h AS (SELECT CASE WHEN doc_id % 11 = 0 THEN 'validation' ELSE 'train' END AS split, doc_id AS idx, list_sort(list(DISTINCT config)) AS held FROM v GROUP BY ALL)"
 add("u03_harmonise", lambda s, d: sets.harmonise(cell_rows(s, d)), f"WITH {_HARM} SELECT split, idx, len(held) = 3 AS kept, array_to_string(list_filter(['a','b','c'], lambda x: NOT list_contains(held, x)), ',') AS missing FROM h")
 add("a42_cell_sizes", lambda s, d: sets.cell_sizes(cell_rows(s, d)), f"WITH {_HARM} SELECT split, 3::bigint AS n_cells, count(*) AS n_union, count(*) FILTER (len(held) = 3) AS n_intersection, count(*) FILTER (len(held) < 3) AS n_dropped FROM h GROUP BY split")
+def _by_config(s, d, config):
+    """The documents' ids and lengths, written by configuration and split and loaded again."""
+    root, i = new_path(s, "configs"), F.col("doc_id")
+    rows = docs(s, d).select("doc_id", "lang", "n_chars", config.alias("config"), F.when(i % 10 == 0, "validation").when(i % 10 == 1, "test").otherwise("train").alias("split"))
+    configs.write(rows, root)
+    return lambda *some: configs.load(s, root, "doc_id BIGINT, lang STRING, n_chars BIGINT", *some)
+
+
+def _language_loads(s, d):
+    """Two languages from the one configuration that holds all, filtered, and two from configurations of their own."""
+    whole, own = _by_config(s, d, F.lit("all")), _by_config(s, d, F.col("lang"))
+    some = whole(["all"], ["train"]).where(F.col("lang").isin("en", "es")).unionByName(own(["de", "fr"], ["train"]))
+    return some.select("config", "lang", "doc_id", "n_chars")
+
+
+_SPLIT = "CASE WHEN doc_id % 10 = 0 THEN 'validation' WHEN doc_id % 10 = 1 THEN 'test' ELSE 'train' END"
+add("s17_all_splits", lambda s, d: _by_config(s, d, F.col("source"))().select("config", "split", "doc_id", "n_chars"), f"SELECT source AS config, {_SPLIT} AS split, doc_id, n_chars FROM documents")
+add("s18_language_loads", _language_loads, f"SELECT CASE WHEN lang IN ('en', 'es') THEN 'all' ELSE lang END AS config, lang, doc_id, n_chars FROM documents WHERE {_SPLIT} = 'train' AND lang IN ('de', 'en', 'es', 'fr')")
+
+
+def _told(s, d):
+    """Languages told by a model of the rows that are not held out."""
+    keep = Written(s)
+    rows = docs(s, d).select("doc_id", "lang", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out"), language.buckets("text").alias("buckets"))
+    rows = keep(rows, "buckets")
+    model = language.train(rows.where(~F.col("held_out")))
+    return rows.select("doc_id", "held_out", "lang", model.detect("buckets").alias("told"))
+
+
+_CRC = """crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS tab)"""
+
+
+def _crc_of(x: str) -> str:
+    """CRC-32 of a string, with `tab` of the table crc at hand."""
+    byte = f"(instr('0123456789ABCDEF', substr(hex({x}), p, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(hex({x}), p + 1, 1)) - 1"
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(hex({x})), 2), lambda p: {byte}))::BIGINT[], lambda c, x: xor(tab[xor(c & 255, x) + 1], c // 256)), 4294967295)"
+
+
+_TOLD = f"""WITH {_CRC},
+held AS (SELECT doc_id, lang, {_crc_of('doc_id::VARCHAR')} % 5 = 0 AS held_out, CASE WHEN length(regexp_replace(text, '^[\\s\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+|[\\s\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+$', '', 'g')) >= 50 THEN regexp_extract_all(lower(text), '\\p{{L}}+') ELSE [] END AS words FROM documents, crc),
+edges AS MATERIALIZED (SELECT doc_id, lang, held_out, unnest(flatten(list_transform(words, lambda w: ['^' || left(w, 3), right(w, 3) || '$']))) AS edge FROM held),
+placed AS MATERIALIZED (SELECT edge, {_crc_of('edge')} % 4096 AS bucket FROM (SELECT DISTINCT edge FROM edges), crc),
+seen AS (SELECT lang, bucket, count(*) AS n FROM edges JOIN placed USING (edge) WHERE NOT held_out AND lang IS NOT NULL GROUP BY 1, 2),
+total AS (SELECT lang, sum(n) AS n FROM seen GROUP BY 1),
+logs AS (SELECT t.lang, b.bucket, floor(1000 * ln((coalesce(s.n, 0) + 0.5::DOUBLE) / (t.n + 0.5::DOUBLE * 4096)))::BIGINT AS g FROM total t, (SELECT DISTINCT bucket FROM placed) b LEFT JOIN seen s ON s.lang = t.lang AND s.bucket = b.bucket),
+score AS (SELECT doc_id, l.lang AS told, sum(g) AS score FROM edges JOIN placed USING (edge) JOIN logs l USING (bucket) GROUP BY 1, 2),
+best AS (SELECT doc_id, first(told ORDER BY score DESC, told) AS told FROM score GROUP BY 1)
+SELECT doc_id, held_out, lang, told FROM held LEFT JOIN best USING (doc_id)"""
+add("x12_ngram_languages", _told, _TOLD)
+
+
 def subset_variants(s, d):
     """The documents as three variants: the first, a faithful one, and one with rows lost, repeated and changed."""
     rows = docs(s, d).select(F.concat("source", F.lit("/"), "doc_id").alias("file_path"), F.when(F.col("doc_id") % 10 == 0, "validation").otherwise("train").alias("split"), F.col("text").alias("code"), F.when(F.col("doc_id") % 13 != 0, F.col("n_chars")).alias("token_count"), "doc_id")

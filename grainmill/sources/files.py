@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from grainmill.functions.text import first_present
 from grainmill.operators.sets import first_by, numbered
-
+from grainmill.sources.prefetch import in_order
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -35,25 +35,43 @@ def after(rows: DataFrame, position: str, offset: int) -> DataFrame:
     return rows.where(F.col(position) > offset)
 
 
-def hydrate(rows: DataFrame, fetch: Callable[[], Callable[[str], bytes | None]], blob: str = "blob_id", encoding: str = "src_encoding", content: str = "content") -> DataFrame:
+#: Rows handed on at once while blobs are fetched.
+HYDRATED = 64
+
+
+def hydrate(rows: DataFrame, fetch: Callable[[], Callable[[str], bytes | None]], blob: str = "blob_id", encoding: str = "src_encoding", content: str = "content", workers: int = 8) -> DataFrame:
     """Adds the content that fetch()(blob id) yields: unzipped if it is gzip, decoded by its encoding with replacement.
-    fetch() builds a client once per task. Rows that can't be fetched go."""
+    fetch() builds a client per worker. Each task fetches up to 2 * workers blobs ahead, which finish in any order, and hands
+    rows on as they came. Rows that can't be fetched go; rows without a blob id stay, without content."""
     import gzip
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get = fetch()
-        for frame in frames:
-            texts = []
-            for key, kind in zip(frame[blob], frame[encoding], strict=True):
-                try:
-                    raw = get(key)
-                    if raw is not None and raw[:2] == b"\x1f\x8b":
-                        raw = gzip.decompress(raw)
-                    texts.append(None if raw is None else raw.decode(kind or "utf-8", errors="replace"))
-                except (OSError, EOFError, LookupError):
-                    texts.append(None)
-            yield frame.assign(**{content: texts})[lambda f: f[content].notna()]
+    def one(get: Callable[[str], bytes | None], row: tuple) -> tuple:
+        *held, key, kind = row
+        if not key:
+            return (*held, None), True
+        try:
+            raw = get(key)
+            if raw is not None and raw[:2] == b"\x1f\x8b":
+                raw = gzip.decompress(raw)
+            return (*held, None if raw is None else raw.decode(kind or "utf-8", errors="replace")), raw is not None
+        except (OSError, EOFError, LookupError):
+            return (*held, None), False
+
+    names = [*rows.columns, content]
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        taken = ((*row, row[at], row[kind]) for frame in frames for row in frame.itertuples(index=False, name=None))
+        held = []
+        for row, there in in_order(taken, fetch, one, workers):
+            if there:
+                held.append(row)
+            if len(held) >= HYDRATED:
+                yield pd.DataFrame(held, columns=names)
+                held = []
+        if held:
+            yield pd.DataFrame(held, columns=names)
+
+    at, kind = rows.columns.index(blob), rows.columns.index(encoding)
     return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField(content, StringType())]))
 
 
