@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from grainmill.functions import labels, stats
 from grainmill.operators import answers as ans
+from grainmill.operators import bootstrap
 from grainmill.operators import evaluation as ev
 from grainmill.operators import prompts as pr
 from grainmill.plans.bindings import ANSWERS, CELLS, DIMENSION, LABELS, VERSUS, answers, dimension
@@ -244,3 +245,33 @@ add("x36_x37_v09_padding", lambda s, d: _padded(s, d).select("conv_id", "turn",
 _MATRIX = [("baseline", ["none"], ["en", "es", "zh", "ur"], ["en", "es", "zh", "ur"]), ("building-5k", ["42", "123", "456"], ["en"], ["en", "es"])]
 add("g03_matrix", lambda s, d: pr.matrix(s, _MATRIX, ["topic", "inference"]).groupBy("condition", "seed", "benchmark").agg(F.count("*").alias("n")), "SELECT condition, seed, benchmark, CASE WHEN condition = 'baseline' THEN 32 ELSE 4 END::bigint AS n FROM (SELECT * FROM (VALUES ('baseline', 'none'), ('building-5k', '42'), ('building-5k', '123'), ('building-5k', '456')) c(condition, seed) CROSS JOIN (VALUES ('topic'), ('inference')) b(benchmark))")
 add("a37_prompt_effect", lambda s, d: pr.prompt_effect(facts(s, d), "building-5k"), f"WITH {CELLS}, m AS (SELECT condition, benchmark, avg(rep_acc) FILTER (template = '1') AS t1, avg(rep_acc) FILTER (template = '2') AS t2 FROM cells GROUP BY 1, 2) SELECT m.condition, m.benchmark, {r('coalesce(m.t1, 0)', 'bar_t1')}, {r('coalesce(m.t2, 0)', 'bar_t2')}, {r('m.t2 - m.t1', 'effect')}, {r('m.t1 - a.t1', 'heat')} FROM m LEFT JOIN m a ON a.condition = 'building-5k' AND a.benchmark = m.benchmark")
+
+
+# -- resampling ------------------------------------------------------------------------------------------------------------
+
+
+def _scored(s, d):
+    right = F.coalesce(F.col("pred") == F.col("gold"), F.lit(False))
+    was = F.col("orig_pred").eqNullSafe(F.col("gold"))
+    return answers(s, d).select("condition", "benchmark", "item", right.alias("right"), was.alias("was"), (right.cast("bigint") - was.cast("bigint")).alias("gain"))
+
+
+_DRAWN = f"""WITH {ANSWERS},
+bounds AS (SELECT list(floor(c * 4294967296)::BIGINT) AS b FROM (SELECT sum(exp(-1) / factorial(k::INT)) OVER (ORDER BY k) AS c FROM range(12) t(k))),
+scored AS (SELECT condition, benchmark, item, coalesce(pred = gold, false)::INT - (orig_pred IS NOT DISTINCT FROM gold)::INT AS gain FROM er),
+digests AS (SELECT condition, benchmark, gain, blk, md5('42|' || blk || '|' || item) AS h FROM scored, range(25) t(blk)),
+numbers AS (SELECT condition, benchmark, gain, blk * 4 + nth AS replicate, list_reduce(list_prepend(0, list_transform(range(8 * nth + 1, 8 * nth + 9), lambda p: instr('0123456789abcdef', substr(h, p, 1)) - 1))::BIGINT[], lambda x, y: x * 16 + y) AS u FROM digests, range(4) t(nth)),
+drawn AS (SELECT condition, benchmark, replicate, gain, len(list_filter(b, lambda t: u >= t)) AS w FROM numbers, bounds),
+means AS (SELECT condition, benchmark, sum(w * gain) / sum(w)::DOUBLE AS m FROM drawn GROUP BY condition, benchmark, replicate HAVING sum(w) > 0),
+held AS (SELECT condition, benchmark, list_sort(list(m)) AS l FROM means GROUP BY 1, 2)"""
+add(
+    "m10_bootstrap",
+    lambda s, d: bootstrap.interval(_scored(s, d), ["condition", "benchmark"], "item", "gain"),
+    f"{_DRAWN} SELECT condition, benchmark, n_rows, {r('mean', 'mean')}, {r('l[greatest(ceil(len(l) * 0.025), 1)::INT]', 'low')}, {r('l[greatest(ceil(len(l) * 0.975), 1)::INT]', 'high')} FROM held JOIN (SELECT condition, benchmark, count(*) AS n_rows, avg(gain) AS mean FROM scored GROUP BY 1, 2) USING (condition, benchmark)",
+)
+add(
+    "m10_mcnemar",
+    lambda s, d: bootstrap.mcnemar(_scored(s, d), ["condition", "benchmark"], "right", "was"),
+    f"""WITH {ANSWERS}, c AS (SELECT condition, benchmark, count(*) AS n, count(*) FILTER (ok AND NOT was) AS only_first, count(*) FILTER (was AND NOT ok) AS only_second FROM (SELECT condition, benchmark, coalesce(pred = gold, false) AS ok, orig_pred IS NOT DISTINCT FROM gold AS was FROM er) GROUP BY 1, 2)
+  SELECT *, round(CASE WHEN 2 * least(only_first, only_second) >= only_first + only_second THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(only_first, only_second) + 1), lambda i: exp(lgamma(only_first + only_second + 1) - lgamma(i + 1) - lgamma(only_first + only_second - i + 1) - (only_first + only_second) * ln(2))))) END, 6) + 0.0 AS p FROM c""",
+)
