@@ -56,7 +56,14 @@ add("f11_size_gate", lambda s, d: corpus.reasons(corpus.size_gate(records(s, d),
 add("f12_sanitise", lambda s, d: corpus.sanitise(records(s, d), "content", 400, 8000).select("doc_id", "error_type", F.md5("clean").alias("clean_md5")), f"WITH {RECORDS} SELECT doc_id, CASE WHEN content IS NULL THEN 'OSError' WHEN strlen(content) > 8000 THEN 'FileTooLarge' WHEN strlen(content) < 400 THEN 'FileTooSmall' END AS error_type, md5(regexp_replace(content, '\\r\\n?', chr(10), 'g')) AS clean_md5 FROM rec")
 add("f13_membership", lambda s, d: datasets.members(docs(s, d).select(F.when(F.col("doc_id") % 5 == 0, -1).otherwise(F.col("doc_id")).alias("idx"), "source"), table(s, d, "labels").select(F.col("doc_id").alias("idx"))), "SELECT doc_id AS idx, source FROM documents WHERE doc_id % 5 <> 0 AND doc_id IN (SELECT doc_id FROM labels)")
 _PATHS = ["a/b.py", "../x.py", "a/../../x", "a/./b/../c", "/etc/x", "a/..", "..", "a/../b/../../c"]
-add("f14_path_guard", lambda s, d: s.createDataFrame([(p,) for p in _PATHS], "path string").select("path", corpus.is_inside("path").alias("inside")), "SELECT * FROM (VALUES " + ", ".join(f"('{p}', {str(ok).lower()})" for p, ok in zip(_PATHS, (True, False, False, True, False, True, False, False), strict=True)) + ") t(path, inside)")
+_GUARDED = "CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(_PATHS)) + " END || '/' || source || '/../' || doc_id"
+
+
+def _paths(s, d):
+    return docs(s, d).select("doc_id", F.concat(F.element_at(F.array(*(F.lit(p) for p in _PATHS)), (F.col("doc_id") % 8 + 1).cast("int")), F.lit("/"), "source", F.lit("/../"), "doc_id").alias("path"))
+
+
+add("f14_path_guard", lambda s, d: _paths(s, d).select("doc_id", "path", corpus.is_inside("path").alias("inside")), f"SELECT doc_id, path, NOT starts_with(path, '/') AND list_reduce(list_prepend(0, list_transform(string_split(path, '/'), lambda x: CASE x WHEN '..' THEN -1 WHEN '.' THEN 0 WHEN '' THEN 0 ELSE 1 END)), lambda n, x: CASE WHEN n < 0 THEN n ELSE n + x END) >= 0 AS inside FROM (SELECT doc_id, {_GUARDED} AS path FROM documents)")
 add("f18_script_tiers", lambda s, d: docs(s, d).select("doc_id", F.round(corpus.script_share("text", "a", "e"), 6).alias("share"), corpus.script_tier("text").alias("tier")), "SELECT doc_id, round(length(regexp_replace(text, '[^a-e]', '', 'g')) / length(text), 6) + 0.0 AS share, 'D' AS tier FROM documents")
 add("f19_leaks", lambda s, d: _leaks(s, d), "SELECT doc_id, list_filter(['license', 'tion', 'zzz'], lambda k: contains(text, k)) AS hits, (len(string_split(text, 'license')) > 2) OR (len(string_split(text, 'tion')) > 2) OR (len(string_split(text, 'zzz')) > 2) AS nested FROM documents WHERE contains(text, 'license') OR contains(text, 'tion') OR contains(text, 'zzz')")
 
@@ -69,19 +76,57 @@ def _leaks(s, d):
 
 # -- functions -----------------------------------------------------------------------------------------------------------
 
-_INTS = ["12.9", "", "true", "abc", " 7 ", "-3.7", "1e3"]
-add("x02_tolerant_int", lambda s, d: s.createDataFrame([(x,) for x in _INTS], "raw string").select("raw", text.tolerant_int("raw").alias("n")), "SELECT raw, coalesce(trunc(try_cast(trim(raw) AS DOUBLE))::bigint, 0) AS n FROM (VALUES " + ", ".join(f"('{x}')" for x in _INTS) + ") t(raw)")
+_RAW = "CASE event_id % 6 WHEN 0 THEN printf('%.2f', value) WHEN 1 THEN event_type WHEN 2 THEN ' ' || user_id || ' ' WHEN 3 THEN '' WHEN 4 THEN '-' || user_id || '.75' ELSE user_id || 'e2' END"
+
+
+def _raw(s, d):
+    i, u = F.col("event_id") % 6, F.col("user_id").cast("string")
+    raw = F.when(i == 0, F.format_string("%.2f", "value")).when(i == 1, F.col("event_type")).when(i == 2, F.concat(F.lit(" "), u, F.lit(" "))).when(i == 3, "").when(i == 4, F.concat(F.lit("-"), u, F.lit(".75"))).otherwise(F.concat(u, F.lit("e2")))
+    return table(s, d, "events").select("event_id", raw.alias("raw"))
+
+
+add("x02_tolerant_int", lambda s, d: _raw(s, d).select("event_id", text.tolerant_int("raw").alias("n")), f"SELECT event_id, coalesce(trunc(try_cast(trim({_RAW}) AS DOUBLE))::bigint, 0) AS n FROM events")
 add("x01_first_present", lambda s, d: docs(s, d).select("doc_id", text.first_present(F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.when(F.col("doc_id") % 3 == 1, F.col("lang"))), "source", default="none").alias("name")), "SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN lang END, ''), nullif(source, ''), 'none') AS name FROM documents")
 add("x03_slugs", lambda s, d: docs(s, d).select("doc_id", text.slug("text").alias("slug")), "SELECT doc_id, CASE WHEN x = '' THEN 'item' ELSE x END AS slug FROM (SELECT doc_id, regexp_replace(regexp_replace(trim(text), '[^a-zA-Z0-9._-]+', '-', 'g'), '^[-._]+|[-._]+$', '', 'g') AS x FROM documents)")
 add("x04_x06_hashes", lambda s, d: docs(s, d).select("doc_id", F.sha2("text", 256).alias("sha256"), text.byte_size("text").alias("size")), "SELECT doc_id, sha256(text) AS sha256, strlen(text)::bigint AS size FROM documents")
-add("x10_categories", lambda s, d: s.createDataFrame([(x,) for x in _NAMES], "name string").select("name", code.category(F.col("name")).alias("category")), "SELECT name, CASE WHEN starts_with(name, '__') AND ends_with(name, '__') AND length(name) > 4 THEN 'dunder' WHEN name IN ('self','cls','args','kwargs') THEN 'convention' WHEN name IN ('T','K','V','U','P','T_co','T_contra','K_co','V_co') THEN 'typing_special' WHEN regexp_full_match(name, '\\p{L}') THEN 'single_letter' WHEN starts_with(name, '_') AND NOT starts_with(name, '__') THEN 'private_convention' WHEN regexp_matches(name, '\\p{Lu}') AND NOT regexp_matches(name, '\\p{Ll}') THEN 'constant_style' ELSE 'other' END AS category FROM (VALUES " + ", ".join(f"('{x}')" for x in ["__init__", "____", "self", "T", "x", "é", "_p", "__q", "MAX_1", "MaxOne", "T_co", "_"]) + ") t(name)")
-_NAMES = ["__init__", "____", "self", "T", "x", "é", "_p", "__q", "MAX_1", "MaxOne", "T_co", "_"]
+_NAME = "CASE WHEN w IN ('the', 'de') THEN 'self' WHEN w IN ('la', 'in') THEN 'T_co' WHEN length(w) % 6 = 0 THEN '__' || w || '__' WHEN length(w) % 6 = 1 THEN '_' || w WHEN length(w) % 6 = 2 AND regexp_full_match(w, '[a-zA-Z]+') THEN upper(w) || '_1' WHEN length(w) % 6 = 3 THEN left(w, 1) WHEN length(w) % 6 = 4 THEN '__' || w ELSE w END"
+
+
+def _names(s, d):
+    """Names as they stand in code, made of all words of the documents."""
+    w, n = F.col("w"), F.length("w") % 6
+    some = docs(s, d).select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("w"))
+    name = F.when(w.isin("the", "de"), "self").when(w.isin("la", "in"), "T_co").when(n == 0, F.concat(F.lit("__"), w, F.lit("__"))).when(n == 1, F.concat(F.lit("_"), w)).when((n == 2) & w.rlike("^[a-zA-Z]+$"), F.concat(F.upper(w), F.lit("_1"))).when(n == 3, F.left(w, F.lit(1))).when(n == 4, F.concat(F.lit("__"), w)).otherwise(w)
+    return some.groupBy(name.alias("name")).agg(F.count("*").alias("n"))
+
+
+add("x10_categories", lambda s, d: _names(s, d).select("name", "n", code.category(F.col("name")).alias("category")), "SELECT name, n, CASE WHEN starts_with(name, '__') AND ends_with(name, '__') AND length(name) > 4 THEN 'dunder' WHEN name IN ('self','cls','args','kwargs') THEN 'convention' WHEN name IN ('T','K','V','U','P','T_co','T_contra','K_co','V_co') THEN 'typing_special' WHEN regexp_full_match(name, '\\p{L}') THEN 'single_letter' WHEN starts_with(name, '_') AND NOT starts_with(name, '__') THEN 'private_convention' WHEN regexp_matches(name, '\\p{Lu}') AND NOT regexp_matches(name, '\\p{Ll}') THEN 'constant_style' ELSE 'other' END AS category FROM (SELECT " + _NAME + " AS name, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\\p{L}+')) AS w FROM documents) GROUP BY 1)")
 add("x14_first_diff", lambda s, d: docs(s, d).select("doc_id", text.first_differing_line("text", F.when(F.col("doc_id") % 4 == 0, F.col("text")).when(F.col("doc_id") % 4 == 1, F.concat("text", F.lit("\nz"))).otherwise(F.replace("text", F.lit("and"), F.lit("AND")))).alias("line")), "SELECT doc_id, CASE WHEN text = o THEN NULL ELSE (SELECT min(i) FROM range(1, greatest(len(a), len(b)) + 2) t(i) WHERE a[i] IS DISTINCT FROM b[i])::bigint END AS line FROM (SELECT doc_id, text, o, regexp_extract_all(text, '[^\\n]*\\n|[^\\n]+') AS a, regexp_extract_all(o, '[^\\n]*\\n|[^\\n]+') AS b FROM (SELECT doc_id, text, CASE WHEN doc_id % 4 = 0 THEN text WHEN doc_id % 4 = 1 THEN text || chr(10) || 'z' ELSE replace(text, 'and', 'AND') END AS o FROM documents))")
-_MAPS = ["original_name_total_translated_name_suma + 1", "x original_name_a_b_translated_name_c_d y original_name_q_translated_name_r", "plain"]
-add("x15_strip_mappings", lambda s, d: s.createDataFrame([(x,) for x in _MAPS], "code string").select("code", text.strip_mappings("code")[0].alias("clean"), text.strip_mappings("code")[1].alias("n")), "SELECT * FROM (VALUES ('original_name_total_translated_name_suma + 1', 'suma + 1', 1::bigint), ('x original_name_a_b_translated_name_c_d y original_name_q_translated_name_r', 'x c_d y r', 2::bigint), ('plain', 'plain', 0::bigint)) t(code, clean, n)")
+_FIRST_TWO = "regexp_extract(text, '[A-Za-z]+') AS a, regexp_extract(text, '[A-Za-z]+[^A-Za-z]+([A-Za-z]+)', 1) AS b"
+
+
+def _mapped(s, d):
+    """Documents with one or two of a translator's labelled mappings, of their own first words, before them."""
+    a, b = F.regexp_extract("text", "[A-Za-z]+", 0), F.regexp_extract("text", "[A-Za-z]+[^A-Za-z]+([A-Za-z]+)", 1)
+    one = F.concat(F.lit("original_name_"), a, F.lit("_x_translated_name_"), b, F.lit("_y = "))
+    return docs(s, d).select("doc_id", F.concat(one, F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("f(original_name_q_translated_name_"), a, F.lit(")"))).otherwise(""), "text").alias("code"))
+
+
+add("x15_strip_mappings", lambda s, d: _mapped(s, d).select("doc_id", F.md5(text.strip_mappings("code")[0]).alias("clean"), text.strip_mappings("code")[1].alias("n")), f"SELECT doc_id, md5(CASE WHEN a <> '' THEN b || '_y = ' ELSE 'original_name__x_translated_name__y = ' END || CASE WHEN doc_id % 2 = 0 THEN 'f(' || CASE WHEN a = '' THEN 'original_name_q_translated_name_' ELSE a END || ')' ELSE '' END || text) AS clean, ((a <> '')::INT + (a <> '' AND doc_id % 2 = 0)::INT)::BIGINT AS n FROM (SELECT doc_id, text, {_FIRST_TWO} FROM documents)")
 _WORDS = {"def": "definir", "class": "clase", "in": "en", "input": "entrada"}
-_CODES = ["definir f(x): entrada(en)", "clase clases: en_x en", "ñen en"]
-add("x16_english_words", lambda s, d: s.createDataFrame([(x,) for x in _CODES], "code string").select("code", text.english_words("code", _WORDS).alias("english")), "SELECT * FROM (VALUES ('definir f(x): entrada(en)', 'def f(x): input(in)'), ('clase clases: en_x en', 'class clases: en_x in'), ('ñen en', 'ñen in')) t(code, english)")
+_BORDER = "[^\\p{L}\\p{M}\\p{N}\\p{Pc}]"
+
+
+def _spoken(s, d):
+    """Documents in which some words were translated as a translator does keywords."""
+    return docs(s, d).select("doc_id", F.replace(F.replace(F.replace("text", F.lit(" the "), F.lit(" definir clase ")), F.lit(" und "), F.lit(" entrada(clase_x) ")), F.lit(" la "), F.lit(" en, definir ")).alias("code"))
+
+
+_ENGLISH = "replace(replace(replace(text, ' the ', ' definir clase '), ' und ', ' entrada(clase_x) '), ' la ', ' en, definir ')"
+for _english, _word in sorted(_WORDS.items(), key=lambda kv: (-len(kv[1]), kv[0])):
+    for _ in range(2):  # neighbours share a border, which a match takes with it
+        _ENGLISH = f"regexp_replace({_ENGLISH}, '(^|{_BORDER}){_word}($|{_BORDER})', '\\1{_english}\\2', 'g')"
+add("x16_english_words", lambda s, d: _spoken(s, d).select("doc_id", F.md5(text.english_words("code", _WORDS)).alias("english")), f"SELECT doc_id, md5({_ENGLISH}) AS english FROM documents")
 add("x33_names", lambda s, d: docs(s, d).select("doc_id", text.padded_name("doc_id").alias("name")), "SELECT doc_id, printf('%03d.py', doc_id) AS name FROM documents")
 add("x39_json_props", lambda s, d: _props(s, d), "SELECT event_type, json_keys(props)[1] AS first_key, count(*) AS n FROM events GROUP BY ALL")
 
@@ -324,7 +369,18 @@ def led(s, d):
 _LED = "g AS (SELECT o_orderkey AS idx, o_orderpriority AS lang, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS lines, CASE WHEN o_orderstatus = 'F' THEN 'valid' WHEN o_orderkey % 3 = 0 THEN 'failed' ELSE 'pending' END AS status, o_orderstatus = 'F' OR o_orderkey % 3 = 0 AS attempted, o_orderstatus = 'F' AS valid FROM orders)"
 add("j15_ledger", led, f"WITH {_LED} SELECT idx, nullif(lines, 0) AS lines, lang, status, attempted, valid FROM g")
 add("a08_coverage", lambda s, d: datasets.coverage(led(s, d), ["lang"]), f"WITH {_LED} SELECT lang, count(*) AS n, count(*) FILTER (valid) AS n_valid, count(*) FILTER (status = 'failed') AS n_failed, count(*) FILTER (attempted) AS n_attempted, {r('count(*) FILTER (valid) / count(*)', 'share')} FROM g GROUP BY lang")
-add("s15_keep_list", lambda s, d: files.keep_list(s.createDataFrame([(x,) for x in ("42", "042", "7.py", "# c", "", " 9 # x", "bad", "1.5")], "value string")), "SELECT unnest([42, 7, 9])::bigint AS idx")
+_KEPT = ("{}", "0{}", "{}.py", "# {}", "", " {} # x", "bad{}", "{}.5")
+
+
+def _keep_lines(s, d):
+    """A list with a line per document, in every spelling that such lists have."""
+    line = F.lit("")
+    for i, form in enumerate(_KEPT):
+        line = F.when(F.col("doc_id") % 8 == i, F.concat(F.lit(form.partition("{}")[0]), F.when(F.lit("{}" in form), F.col("doc_id").cast("string")).otherwise(""), F.lit(form.partition("{}")[2]))).otherwise(line)
+    return docs(s, d).select(line.alias("value"))
+
+
+add("s15_keep_list", lambda s, d: files.keep_list(_keep_lines(s, d)), "SELECT DISTINCT doc_id AS idx FROM documents WHERE doc_id % 8 IN (0, 1, 2, 5)")
 add("k12_publication_plan", lambda s, d: sinks.publication_plan(packaged(s, d).select(F.col("file_path").alias("path")), packaged(s, d).where("doc_id % 2 = 0").select(F.col("file_path").alias("path"))), f"WITH {_PACK} SELECT file_path AS path, CASE WHEN doc_id % 2 = 0 THEN 'skip' ELSE 'new' END AS action FROM p")
 
 # -- batches -------------------------------------------------------------------------------------------------------------

@@ -164,7 +164,7 @@ add("m04_significance", lambda s, d: stats.significance(facts(s, d)), None)
 add("m06_significance_summary", lambda s, d: stats.significance_summary(stats.significance(facts(s, d))), None)
 add("x34_scale_bound", lambda s, d: versus(s, d).groupBy("condition").agg(stats.scale_bound("delta_rep").alias("bound")), f"WITH {VERSUS} SELECT condition, round(CASE WHEN quantile_cont(abs(delta_rep), 0.95) = 0 THEN 1e-3 ELSE quantile_cont(abs(delta_rep), 0.95) END, 6) + 0.0 AS bound FROM versus GROUP BY 1")
 
-# -- extractors, on literal answers ---------------------------------------------------------------------------------------
+# -- extractors, on an answer per document ---------------------------------------------------------------------------------------
 
 TOPIC_CASES = ["travel", "Science and Technology", "politics / technology", "the answer is travel", "答案是travel", "科学和技术", "ciencia y tecnología.", "salud", "nothing", "", "sports, sport; sports", "a\ntravel", " \n health ", "[geography]", "sports and health"]
 INFERENCE_CASES = ["Entailment.", "neutral", "it is a contradiction", "答案是entailment", "没有entailment", "没有明显的关系", "矛盾", "neutra", "等同", "none", "", "contradictions", "x\nneutral", "否定"]
@@ -172,17 +172,25 @@ CHOICE_CASES = ["A", "the answer is b.", "Answer: C", "ANSWERD", "banana", "E",
 _STRIP = "regexp_replace(answer, '^\\s+|\\s+$', '', 'g')"
 
 
-def _literals(cases: list[str]) -> str:
-    rows = ", ".join("('" + c.replace("'", "''").replace("\n", "' || chr(10) || '") + "')" for c in cases)
-    return f"c AS (SELECT * FROM (VALUES {rows}) t(answer))"
+def _literal(case: str) -> str:
+    return "'" + case.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
 
-def _cases(spark, cases, label, via):
-    return spark.createDataFrame([(c,) for c in cases], "answer string").select("answer", label("answer").alias("label"), via("answer").alias("via"))
+def _spoken(cases: list[str]) -> str:
+    """An answer per document: a case above the text, within its first line, or the text alone."""
+    case = f"[{', '.join(map(_literal, cases))}][(doc_id // 3) % {len(cases)} + 1]"
+    return f"c AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN {case} || chr(10) || text WHEN 1 THEN text ELSE split_part(text, ' ', 1) || ' / ' || {case} || ' ' || text END AS answer FROM documents)"
+
+
+def _cases(spark, d, cases, label, via):
+    case = F.element_at(F.array(*(F.lit(c) for c in cases)), (F.floor(F.col("doc_id") / 3) % len(cases) + 1).cast("int"))
+    i = F.col("doc_id") % 3
+    answer = F.when(i == 0, F.concat(case, F.lit("\n"), "text")).when(i == 1, F.col("text")).otherwise(F.concat(F.split_part("text", F.lit(" "), F.lit(1)), F.lit(" / "), case, F.lit(" "), "text"))
+    return table(spark, d, "documents").select("doc_id", answer.alias("answer")).select("doc_id", label("answer").alias("label"), via("answer").alias("via"))
 
 
 _EDGE = " \t.,:;!?()\\[\\]{}\"''،۔。"
-_FIRST = f"l AS (SELECT answer, trim(split_part({_STRIP}, chr(10), 1)) AS line FROM c)"
+_FIRST = f"l AS (SELECT doc_id, answer, trim(split_part({_STRIP}, chr(10), 1)) AS line FROM c)"
 _MAP = "MAP {" + ", ".join(f"'{form}': '{label}'" for label, forms in labels.TOPIC_FORMS.items() for form in forms) + "}"
 _JOINED = "line"
 for _word in labels.CONJUNCTIONS:
@@ -195,9 +203,9 @@ def _trimmed(x: str) -> str:
 
 add(
     "x22_x23_topic",
-    lambda s, d: _cases(s, TOPIC_CASES, labels.topic, labels.topic_via),
-    f"WITH {_literals(TOPIC_CASES)}, {_FIRST}, t AS (SELECT answer, {_trimmed('line')} AS line FROM l), n AS (SELECT answer, line, list_distinct(list_filter(list_transform(regexp_split_to_array({_JOINED}, '{labels.SEPARATORS}'), lambda p: {_MAP}[lower(trim({_trimmed('trim(p)')}))]), lambda x: x IS NOT NULL)) AS named, list_filter([{', '.join(repr(t) for t in labels.TOPICS)}], lambda t: contains(lower(line), t)) AS inside FROM t) "
-    "SELECT answer, CASE WHEN len(named) = 1 THEN named[1] WHEN len(named) = 0 AND len(inside) = 1 THEN inside[1] END AS label, CASE WHEN len(named) >= 2 THEN 'multi_category' WHEN len(named) = 1 THEN 'single' WHEN len(inside) = 1 THEN 'fallback' ELSE 'none' END AS via FROM n",
+    lambda s, d: _cases(s, d, TOPIC_CASES, labels.topic, labels.topic_via),
+    f"WITH {_spoken(TOPIC_CASES)}, {_FIRST}, t AS (SELECT doc_id, {_trimmed('line')} AS line FROM l), n AS (SELECT doc_id, line, list_distinct(list_filter(list_transform(regexp_split_to_array({_JOINED}, '{labels.SEPARATORS}'), lambda p: {_MAP}[lower(trim({_trimmed('trim(p)')}))]), lambda x: x IS NOT NULL)) AS named, list_filter([{', '.join(repr(t) for t in labels.TOPICS)}], lambda t: contains(lower(line), t)) AS inside FROM t) "
+    "SELECT doc_id, CASE WHEN len(named) = 1 THEN named[1] WHEN len(named) = 0 AND len(inside) = 1 THEN inside[1] END AS label, CASE WHEN len(named) >= 2 THEN 'multi_category' WHEN len(named) = 1 THEN 'single' WHEN len(inside) = 1 THEN 'fallback' ELSE 'none' END AS via FROM n",
 )
 
 
@@ -214,10 +222,10 @@ def _inference_sql() -> tuple[str, str]:
 
 
 _INF = _inference_sql()
-add("x19_x20_inference", lambda s, d: _cases(s, INFERENCE_CASES, labels.inference, labels.inference_via), f"WITH {_literals(INFERENCE_CASES)}, {_FIRST}, n AS (SELECT answer, line, lower(line) AS low FROM l) SELECT answer, {_INF[0]} AS label, {_INF[1]} AS via FROM n")
+add("x19_x20_inference", lambda s, d: _cases(s, d, INFERENCE_CASES, labels.inference, labels.inference_via), f"WITH {_spoken(INFERENCE_CASES)}, {_FIRST}, n AS (SELECT doc_id, line, lower(line) AS low FROM l) SELECT doc_id, {_INF[0]} AS label, {_INF[1]} AS via FROM n")
 _LONE = "regexp_extract(line, '(^|[^\\p{L}\\p{N}_])([ABCDE])([^\\p{L}\\p{N}_]|$)', 2)"
 _AFTER = "regexp_extract(line, 'ANSWER\\s*[:\\-]?\\s*([ABCDE])', 1)"
-add("x24_x25_choice", lambda s, d: _cases(s, CHOICE_CASES, labels.choice, labels.choice_via), f"WITH {_literals(CHOICE_CASES)}, {_FIRST}, n AS (SELECT answer, upper(line) AS line FROM l), m AS (SELECT answer, line, {_LONE} AS lone, {_AFTER} AS after FROM n) SELECT answer, CASE WHEN lone <> '' THEN lone WHEN after <> '' THEN after END AS label, CASE WHEN lone <> '' AND line = lone THEN 'bare_letter' WHEN lone <> '' THEN 'letter_in_text' WHEN after <> '' THEN 'answer_prefix' ELSE 'none' END AS via FROM m")
+add("x24_x25_choice", lambda s, d: _cases(s, d, CHOICE_CASES, labels.choice, labels.choice_via), f"WITH {_spoken(CHOICE_CASES)}, {_FIRST}, n AS (SELECT doc_id, upper(line) AS line FROM l), m AS (SELECT doc_id, line, {_LONE} AS lone, {_AFTER} AS after FROM n) SELECT doc_id, CASE WHEN lone <> '' THEN lone WHEN after <> '' THEN after END AS label, CASE WHEN lone <> '' AND line = lone THEN 'bare_letter' WHEN lone <> '' THEN 'letter_in_text' WHEN after <> '' THEN 'answer_prefix' ELSE 'none' END AS via FROM m")
 
 
 def _results_file(spark, d):
@@ -242,8 +250,26 @@ def _padded(spark, d):
 
 
 add("x36_x37_v09_padding", lambda s, d: _padded(s, d).select("conv_id", "turn", F.array_join("input_ids", ",").alias("ids"), F.array_join("attention_mask", ",").alias("mask")), "WITH t AS (SELECT conv_id, turn, conv_id % 7 AS batch, list_transform(string_split(text, ' ')[1:16], lambda w: length(w)) AS ids FROM conversations WHERE text IS NOT NULL), m AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) - len(ids) AS gap FROM t) SELECT conv_id, turn, array_to_string(list_concat(list_transform(range(gap), lambda x: -1), ids), ',') AS ids, array_to_string(list_concat(list_transform(range(gap), lambda x: 0), list_transform(ids, lambda x: 1)), ',') AS mask FROM m")
-_MATRIX = [("baseline", ["none"], ["en", "es", "zh", "ur"], ["en", "es", "zh", "ur"]), ("building-5k", ["42", "123", "456"], ["en"], ["en", "es"])]
-add("g03_matrix", lambda s, d: pr.matrix(s, _MATRIX, ["topic", "inference"]).groupBy("condition", "seed", "benchmark").agg(F.count("*").alias("n")), "SELECT condition, seed, benchmark, CASE WHEN condition = 'baseline' THEN 32 ELSE 4 END::bigint AS n FROM (SELECT * FROM (VALUES ('baseline', 'none'), ('building-5k', '42'), ('building-5k', '123'), ('building-5k', '456')) c(condition, seed) CROSS JOIN (VALUES ('topic'), ('inference')) b(benchmark))")
+_FAMILIES = ("building", "furniture", "household", "machinery")
+_LANGS = ["en", "es", "zh", "ur"]
+_MATRIX = [("baseline", ["none"], _LANGS, _LANGS), *((f"{f}-{v}", ["42", "123", "456"], _LANGS, _LANGS) for f in _FAMILIES for v in ("5k", "20k"))]
+
+
+def _matrix(s, d):
+    """Evaluations planned, and how many of them have answers."""
+    planned = pr.matrix(s, _MATRIX, ["topic", "inference", "choice5"])
+    key = ["condition", "seed", "template", "benchmark", "data", "instr"]
+    done = facts(s, d).select(*key, "n")
+    return planned.join(done, key, "left").groupBy("condition", "seed", "benchmark").agg(F.count("*").alias("n_planned"), F.count("n").alias("n_done"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_answers"))
+
+
+add(
+    "g03_matrix",
+    _matrix,
+    f"""WITH {CELLS}, c AS (SELECT 'baseline' AS condition, 'none' AS seed UNION ALL SELECT f || '-' || v, s FROM (VALUES ('building'), ('furniture'), ('household'), ('machinery')) a(f), (VALUES ('5k'), ('20k')) b(v), (VALUES ('42'), ('123'), ('456')) t(s)),
+  p AS (SELECT condition, seed, template, benchmark, data, instr FROM c, (VALUES ('1'), ('2')) t(template), (VALUES ('topic'), ('inference'), ('choice5')) b(benchmark), (VALUES ('en'), ('es'), ('zh'), ('ur')) x(data), (VALUES ('en'), ('es'), ('zh'), ('ur')) y(instr))
+  SELECT condition, seed, benchmark, count(*) AS n_planned, count(n) AS n_done, coalesce(sum(n), 0)::BIGINT AS n_answers FROM p LEFT JOIN cells USING (condition, seed, template, benchmark, data, instr) GROUP BY ALL""",
+)
 add("a37_prompt_effect", lambda s, d: pr.prompt_effect(facts(s, d), "building-5k"), f"WITH {CELLS}, m AS (SELECT condition, benchmark, avg(rep_acc) FILTER (template = '1') AS t1, avg(rep_acc) FILTER (template = '2') AS t2 FROM cells GROUP BY 1, 2) SELECT m.condition, m.benchmark, {r('coalesce(m.t1, 0)', 'bar_t1')}, {r('coalesce(m.t2, 0)', 'bar_t2')}, {r('m.t2 - m.t1', 'effect')}, {r('m.t1 - a.t1', 'heat')} FROM m LEFT JOIN m a ON a.condition = 'building-5k' AND a.benchmark = m.benchmark")
 
 
