@@ -1,7 +1,7 @@
 """Language detection by hashed character n-grams, trained and applied by column expressions.
 
-A text's features are the first and the last three letters of each of its words, with their border, hashed to a fixed
-number of buckets. Training counts them per language, a sum with map-side combine of at most languages * buckets rows
+A text's features are the first and the last three letters of each of its words, hashed to a fixed number of buckets,
+one half of them for heads and one for tails. Training counts them per language, a sum with map-side combine of at most languages * buckets rows
 a task; the table of log shares (a fixed size) becomes literal arrays, and a text's score in a language is an
 aggregate over its own bucket array. Scores are integers, so any engine and any order give the same.
 
@@ -27,8 +27,8 @@ def buckets(text: Column | str) -> Column:
     """Array of the buckets of all words' edges; null where the text is too short to tell."""
     c = F.col(text) if isinstance(text, str) else text
     words = F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}+"), F.lit(0))
-    edge = lambda s: (F.crc32(s.cast("binary")) % BUCKETS).cast("int")
-    both = F.flatten(F.transform(words, lambda w: F.array(edge(F.concat(F.lit("^"), F.left(w, F.lit(3)))), edge(F.concat(F.right(w, F.lit(3)), F.lit("$"))))))
+    place = lambda s: F.crc32(s.cast("binary")) % (BUCKETS // 2)
+    both = F.flatten(F.transform(words, lambda w: F.array(place(F.left(w, F.lit(3))).cast("int"), (place(F.right(w, F.lit(3))) + BUCKETS // 2).cast("int"))))
     return F.when(F.length(strip(c)) >= LEAST, both)
 
 

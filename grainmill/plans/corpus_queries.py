@@ -268,8 +268,8 @@ def _crc_of(x: str) -> str:
 
 _TOLD = f"""WITH {_CRC},
 held AS (SELECT doc_id, lang, {_crc_of('doc_id::VARCHAR')} % 5 = 0 AS held_out, CASE WHEN length(regexp_replace(text, '^[\\s\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+|[\\s\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+$', '', 'g')) >= 50 THEN regexp_extract_all(lower(text), '\\p{{L}}+') ELSE [] END AS words FROM documents, crc),
-edges AS MATERIALIZED (SELECT doc_id, lang, held_out, unnest(flatten(list_transform(words, lambda w: ['^' || left(w, 3), right(w, 3) || '$']))) AS edge FROM held),
-placed AS MATERIALIZED (SELECT edge, {_crc_of('edge')} % 4096 AS bucket FROM (SELECT DISTINCT edge FROM edges), crc),
+edges AS MATERIALIZED (SELECT doc_id, lang, held_out, unnest(flatten(list_transform(words, lambda w: [{{'e': left(w, 3), 'half': 0}}, {{'e': right(w, 3), 'half': 2048}}]))) AS edge FROM held),
+placed AS MATERIALIZED (SELECT edge, {_crc_of('edge.e')} % 2048 + edge.half AS bucket FROM (SELECT DISTINCT edge FROM edges), crc),
 seen AS (SELECT lang, bucket, count(*) AS n FROM edges JOIN placed USING (edge) WHERE NOT held_out AND lang IS NOT NULL GROUP BY 1, 2),
 total AS (SELECT lang, sum(n) AS n FROM seen GROUP BY 1),
 logs AS (SELECT t.lang, b.bucket, floor(1000 * ln((coalesce(s.n, 0) + 0.5::DOUBLE) / (t.n + 0.5::DOUBLE * 4096)))::BIGINT AS g FROM total t, (SELECT DISTINCT bucket FROM placed) b LEFT JOIN seen s ON s.lang = t.lang AND s.bucket = b.bucket),
