@@ -7,9 +7,13 @@ pages of each host that it reads into one partial expression, and a host's parti
 many pages the host has) are folded into its wrapper. So a host with a third of all pages is pre-aggregated, and no
 page is sampled.
 
-The wrapper tells what a part of a page is: markup regions named as article or main are data; without them, the parts
-whose slots vary and that aren't mostly links, as template text in a varying region is notices and furniture. Rules by
-tag and by words of class and id hold for every page, also where a host has one page only.
+The wrapper tells what a part of a page is. Text that never varies over pages of a host is the host's, not the page's:
+notices, adverts, sharing lines. In regions that the markup names as article or main, the wrapper drops boxes (BOXES) whose
+text is the same wherever they stand, on SEEN pages at least and on half of those that have the region; headings,
+paragraphs, list items and the like may be alike on many pages and stay. Without such regions, it drops any block that
+never varies or is mostly links. Only pages of different text count, so copies of one page keep theirs: an item of a wrapper
+holds the SEEN smallest hashes of the texts of pages that have it.
+Rules by tag and by words of class and id hold for every page, also where a host has one page only.
 
 Null and empty html give an empty text, as do pages without text. Broken, unclosed and cut-off markup is read as far as
 it goes, and nesting of any depth, too. A null url is a host of its own. Repeated rows are returned each. An empty table gives an empty result. Only
@@ -32,8 +36,11 @@ from grainmill.session import Written
 
 #: Bytes of all wrappers that are broadcast at most; more are joined to the pages by host.
 BROADCAST_BYTES = 16 << 20
-#: Elements nested deeper are read as if their content stood in the ancestor at this depth.
+#: Levels that expressions hold; what is nested deeper is one slot that varies, so wrappers decide nothing on it. Pages are
+#: read to any depth.
 DEEP = 200
+#: Pages of different text on which a block must be the same to be a host's.
+SEEN = 3
 #: Hosts whose partial wrappers a task holds at once.
 HOSTS = 4096
 
@@ -50,6 +57,7 @@ FURNITURE = set(
     "subscription signup share sharing social related recommended recommendations comment comments reply replies respond responses disqus discussion breadcrumb breadcrumbs pagination pager menu menus nav navbar navigation "
     "sidebar sidebars aside widget widgets footer toolbar login search skip".split()
 )
+BOXES = {"div", "section", "fieldset", "details", "figure"}
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 
@@ -105,8 +113,6 @@ def parse(text: str) -> Node:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag or (stack[k].tag == "main" and stack[k].sig.split(".")[0] == tag):
                     del stack[k:]
-                    if len(stack) > DEEP and tag in BLOCK:
-                        stack[-1].kids.append(" ")
                     break
             continue
         closing = CLOSES.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
@@ -118,12 +124,7 @@ def parse(text: str) -> Node:
                 if stack[k].tag in SCOPE:
                     break
         node = _start(tag, m[3])
-        if len(stack) <= DEEP:
-            stack[-1].kids.append(node)
-        else:
-            if tag in BLOCK:
-                stack[-1].kids.append(" ")
-            node.kids = [] if node.bad else stack[-1].kids
+        stack[-1].kids.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>?", re.I).search(text, at)
             at = end.end() if end else size
@@ -132,22 +133,29 @@ def parse(text: str) -> Node:
     return top
 
 
-# -- expressions: [signature, flags, kids, pages, chars, link chars]; a text is ["", flags, value or None, ...] -----------
+# -- expressions: [signature, flags, kids, pages, chars, link chars, hashes of pages]; a text is ["", flags, value or None, ...]
 
 OPTIONAL, REPEATED = 1, 2
 
 
-def expression(node: Node, linked: bool = False) -> list:
+def expression(top: Node) -> list:
+    """The expression of one page."""
+    return _expression(top, False, 0, zlib.crc32(_said(top, None).encode("utf-8", "surrogatepass")))
+
+
+def _expression(node: Node, linked: bool, depth: int, page: int) -> list:
     linked = linked or node.tag == "a"
+    if depth == DEEP:
+        return [node.sig, 0, [["", 0, None, 1, 0, 0]], 1, 0, 0, [page]]
     kids = []
     for kid in node.kids:
         if isinstance(kid, str):
             if said := " ".join(kid.split()):
                 kids.append(["", 0, zlib.crc32(said.encode("utf-8", "surrogatepass")), 1, len(said), len(said) * linked])
         else:
-            kids.append(expression(kid, linked))
+            kids.append(_expression(kid, linked, depth + 1, page))
     kids = _repeats(kids)
-    return [node.sig, 0, kids, 1, sum(k[4] for k in kids), sum(k[5] for k in kids)]
+    return [node.sig, 0, kids, 1, sum(k[4] for k in kids), sum(k[5] for k in kids), [page]]
 
 
 def _repeats(items: list) -> list:
@@ -173,7 +181,8 @@ def _merge(a: list, b: list) -> list:
     """The expression of two with the same signature."""
     if not a[0]:
         return ["", a[1] | b[1], a[2] if a[2] == b[2] else None, a[3] + b[3], a[4] + b[4], a[5] + b[5]]
-    return [a[0], a[1] | b[1], align(a[2], b[2]), a[3] + b[3], a[4] + b[4], a[5] + b[5]]
+    seen = a[6] if a[6] == b[6] else sorted({*a[6], *b[6]})[:SEEN]
+    return [a[0], a[1] | b[1], align(a[2], b[2]), a[3] + b[3], a[4] + b[4], a[5] + b[5], seen]
 
 
 def align(a: list, b: list) -> list:
@@ -238,21 +247,29 @@ def _match(kids: list, items: list) -> list:
 # -- extraction ------------------------------------------------------------------------------------------------------
 
 
-def _regions(node: Node) -> list[Node]:
-    """Topmost article (else main) elements outside furniture."""
+def _regions(top: Node) -> list[list[Node]]:
+    """Topmost article (else main) elements outside furniture, each as the elements from the top down to it."""
     for wanted in ("article", "main"):
-        found, todo = [], [node]
+        found, todo = [], [(top, None)]
         while todo:
-            x = todo.pop()
-            if x.tag == wanted:
-                found.append(x)
+            here = todo.pop()
+            if here[0].tag == wanted:
+                found.append(here)
             else:
-                todo += [k for k in reversed(x.kids) if not isinstance(k, str) and not k.bad]
+                todo += [(k, here) for k in reversed(here[0].kids) if not isinstance(k, str) and not k.bad]
         if found:
-            return found
+            return [_path(x) for x in found]
     return []
 
 
+def _path(here: tuple | None) -> list[Node]:
+    path = []
+    while here:
+        path.append(here[0])
+        here = here[1]
+    return path[::-1]
+
+
 class Page:
     def __init__(self):
         self.blocks: list[str] = []
@@ -263,63 +280,69 @@ class Page:
             self.blocks.append(said)
         self.now = []
 
-    def take(self, node: Node, wrapper: list | None, named: bool, template: bool) -> None:
-        """named: the region is an article by its markup, and all in it but furniture is data; template: in other
-        regions, blocks whose texts never vary are the host's, not the page's."""
-        items = _match(node.kids, wrapper[2]) if wrapper else [None] * len(node.kids)
-        for kid, item in zip(node.kids, items, strict=True):
-            if isinstance(kid, str):
-                self.now.append(kid)
-                continue
-            if kid.bad:
-                continue
-            if kid.tag == "header":
-                self.headings(kid) if named else None
+    def take(self, region: Node, wrapper: list | None, named: bool) -> None:
+        """named: the region is an article by its markup. wrapper: the region's item, or None."""
+        template = wrapper is not None and len(wrapper[6]) >= SEEN and _varies(wrapper)
+        often = wrapper[3] / 2 if wrapper else 0
+        todo: list = [(region, wrapper, False)]  # None ends a block; the last of three: headings only
+        while todo:
+            step = todo.pop()
+            if step is None:
+                self.flush()
                 continue
-            if not named and item is not None and item[4] and item[5] > 0.5 * item[4] and kid.tag in BLOCK:
-                continue  # mostly links
-            if template and item is not None and item[3] > 2 and kid.tag in BLOCK and not _varies(item):
+            if isinstance(step, str):
+                self.now.append(step)
                 continue
-            block = kid.tag in BLOCK
-            if block:
-                self.flush()
-            self.take(kid, item, named, template)
-            if block:
-                self.flush()
-
-    def headings(self, node: Node) -> None:
-        for kid in node.kids:
-            if not isinstance(kid, str) and not kid.bad:
-                if kid.tag in HEADINGS:
-                    self.flush()
-                    self.take(kid, None, True, False)
-                    self.flush()
-                else:
-                    self.headings(kid)
+            node, item, headings = step
+            parts: list = []
+            for kid, of in zip(node.kids, _match(node.kids, item[2]) if item else [None] * len(node.kids), strict=True):
+                if isinstance(kid, str):
+                    if not headings:
+                        parts.append(kid)
+                elif kid.bad:
+                    continue
+                elif headings and kid.tag not in HEADINGS:
+                    parts.append((kid, None, True))
+                elif kid.tag == "header":
+                    if named:
+                        parts.append((kid, None, True))
+                elif kid.tag not in BLOCK:
+                    parts.append((kid, of, False))
+                elif not self.furniture(kid, of, named, template, often):
+                    parts += [None, (kid, of, False), None]
+            todo += reversed(parts)
+
+    @staticmethod
+    def furniture(kid: Node, item: list | None, named: bool, template: bool, often: float) -> bool:
+        """Whether the wrapper says that a block is the host's and not the page's."""
+        if item is None:
+            return False
+        constant = template and len(item[6]) >= SEEN and not _varies(item)
+        if named:
+            return constant and kid.tag in BOXES and item[4] > 0 and item[3] >= often
+        return constant or item[5] > 0.5 * item[4] > 0
 
 
 def main_text(page: str | None, wrapper: list | None = None) -> str:
     if not page:
         return ""
-    top = parse(page)
+    return _said(parse(page), wrapper)
+
+
+def _said(top: Node, wrapper: list | None) -> str:
     out = Page()
     regions = _regions(top)
-    named = bool(regions)
-    for region in regions or [top]:
-        item, walk = wrapper, top
-        while item is not None and walk is not region:  # follow the wrapper down to the region
-            step = next(((k, w) for k, w in zip(walk.kids, _match(walk.kids, item[2]), strict=True) if not isinstance(k, str) and _holds(k, region)), None)
-            walk, item = step if step else (region, None)
-        varying = not named and item is not None and item[3] > 2 and _varies(item)
-        out.take(region, item, named, varying)
+    for path in regions or [[top]]:
+        item = wrapper
+        for walk, below in zip(path, path[1:], strict=False):  # follow the wrapper down to the region
+            if item is None:
+                break
+            item = next(w for k, w in zip(walk.kids, _match(walk.kids, item[2]), strict=True) if k is below)
+        out.take(path[-1], item, bool(regions))
         out.flush()
     return " ".join(out.blocks)
 
 
-def _holds(node: Node, region: Node) -> bool:
-    return node is region or any(not isinstance(k, str) and _holds(k, region) for k in node.kids)
-
-
 def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1), F.lit("")))
 
