@@ -13,7 +13,7 @@ SELECT v.vec_id, coalesce(n_links, 0) AS n_links, component_id, v.vec_id = compo
 FROM v JOIN c ON v.vec_id = c.i LEFT JOIN n ON v.vec_id = n.i"""
 
 _MIXING = """
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, md5('42:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, md5('42:' || coalesce(doc_id::VARCHAR, '')) AS key, md5(coalesce(text, '')) AS tie FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM d GROUP BY source),
 l AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS total,
   coalesce(sum(2.0::DOUBLE * source_size) OVER (ORDER BY 2.0::DOUBLE * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
@@ -21,10 +21,20 @@ l AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size)
 m AS (SELECT arg_min((total - capped) / rest, cap / weight) AS level FROM l WHERE (total - capped) / rest * weight <= cap),
 t AS (SELECT source, source_size, CASE WHEN level IS NULL THEN cap ELSE least(cap, level * weight) END AS target FROM l, m),
 e AS (SELECT source, source_size, target, least(round(target), floor(2.0 * source_size))::BIGINT AS ends FROM t),
-x AS (SELECT d.*, e.source_size, e.target, e.ends, (sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size, rid) - size)::BIGINT AS start FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
-SELECT doc_id, size, source_size, target,
-  (greatest(0, least(start + size, ends) - start) + greatest(0, least(start + source_size + size, ends) - start - source_size) * (source_size > 0)::INT)::BIGINT AS taken
-FROM x"""
+x AS (SELECT d.*, e.source_size, e.target, e.ends, (sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size, tie, rid) - size)::BIGINT AS start FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source),
+b AS (SELECT greatest(1, ceil(sum(target) / 131072))::BIGINT AS block, sum(target) AS total, ceil(sum(target) / greatest(1, ceil(sum(target) / 131072)))::BIGINT AS n FROM t),
+u AS (SELECT source, coalesce(sum(target) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) / total, 0) AS u FROM t, b WHERE target > 0),
+v AS (SELECT i AS slot, (i + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE - floor((i + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE) AS u FROM (SELECT unnest(range(n)) AS i FROM b)),
+drawn AS (SELECT slot, source, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM (SELECT v.slot, u.source FROM v ASOF JOIN u ON v.u >= u.u)),
+need AS (SELECT source, ceil(ends / block)::BIGINT AS slots FROM e, b),
+have AS (SELECT need.source, slots, count(drawn.slot) AS n FROM need LEFT JOIN drawn ON need.source IS NOT DISTINCT FROM drawn.source GROUP BY need.source, slots),
+late AS (SELECT b.n + row_number() OVER (ORDER BY rank, source NULLS LAST) - 1 AS slot, source, rank FROM (SELECT source, unnest(range(n, slots)) AS rank FROM have), b),
+plan AS (SELECT slot, drawn.source, rank FROM drawn JOIN need ON drawn.source IS NOT DISTINCT FROM need.source WHERE rank < slots UNION ALL SELECT slot, source, rank FROM late),
+span AS (SELECT rid, source, start + pass * source_size AS lo, least(start + pass * source_size + size, ends) AS hi FROM x, (SELECT unnest([0, 1]) AS pass) WHERE size > 0),
+piece AS (SELECT rid, source, lo, hi, unnest(range(lo // block, (hi - 1) // block + 1)) AS rank FROM span, b WHERE lo < hi),
+took AS (SELECT rid, sum(least(hi, (piece.rank + 1) * block) - greatest(lo, piece.rank * block)) AS taken, min(slot) AS first_slot, count(*) AS n_pieces
+  FROM piece JOIN plan ON piece.source IS NOT DISTINCT FROM plan.source AND piece.rank = plan.rank, b GROUP BY rid)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, first_slot, coalesce(n_pieces, 0) AS n_pieces FROM x LEFT JOIN took USING (rid)"""
 
 _RESAMPLING = """
 WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS tab),

@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from grainmill.llm import embeddings, html, lm, merkle, mixing, simhash, toxicity
+from grainmill.session import Written
 from tests.llm.conftest import invented
 
 
@@ -218,6 +219,58 @@ def test_mixed_documents(spark, plain):
     assert again == sorted(map(tuple, out.collect()), key=str)
 
 
+def prefix_gaps(order, shares):
+    """Largest difference between slots and share of each source, over all prefixes, by counting."""
+    counts, worst = Counter(), dict.fromkeys(shares, 0.0)
+    for t, src in enumerate(order):
+        counts[src] += 1
+        worst = {s: max(w, abs(counts[s] - (t + 1) * shares[s])) for s, w in worst.items()}
+    return worst
+
+
+def test_every_prefix_of_the_schedule_is_near_its_targets(spark, docs, monkeypatch):
+    def facts(mixed):
+        sources = {r.src: r.target for r in mixed.sources.collect() if r.target}
+        shares = {s: t / sum(sources.values()) for s, t in sources.items()}
+        order = [r.src for r in mixed.schedule.orderBy("slot").collect()]
+        return {r.src: r.gap for r in mixing.gaps(mixed).collect()}, prefix_gaps(order, shares), 2 + np.log2(len(order))
+
+    got, want, bound = facts(mixing.mix(spark, docs, slots=4000))
+    assert got.keys() == want.keys() and all(abs(got[s] - w) < 1e-6 or got[s] <= 1 for s, w in want.items())
+    assert max(got.values()) <= bound
+    for constant in (0.0, 0.123456):
+        monkeypatch.setattr(mixing, "GOLDEN", constant)
+        got, _, bound = facts(mixing.mix(spark, docs, slots=4000))
+        assert max(got.values()) > bound
+
+
+def test_the_mix_is_read_in_slot_order(spark, plain, monkeypatch):
+    def order():
+        return [r.doc_id for r in mixing.mixed_documents(spark, plain).collect()]
+
+    mixed = mixing.mix(spark, plain)
+    of = {r.rid: r.doc_id for r in mixed.rows.collect()}
+    first = {}
+    for p in mixed.pieces.collect():
+        key = (of[p.rid], p["pass"])
+        first[key] = min(first.get(key, p.slot), p.slot)
+    got = order()
+    assert got[: len(first)] == [i for (i, _), _ in sorted(first.items(), key=lambda kv: (kv[1], kv[0][1]))]
+    monkeypatch.setattr(mixing, "GOLDEN", 0.0)
+    assert order() != got
+
+
+def test_mixed_documents_with_clashing_names_and_ties(spark, plain):
+    names = ["size", "lo", "hi", "slot", "rid", "pass", "_row", "c0", "src", "key", "tie"]
+    wide = plain.select("*", *(F.lit(k).alias(n) for k, n in enumerate(names)))
+    out = mixing.mixed_documents(spark, wide)
+    assert out.columns == wide.columns and {tuple(r[n] for n in names) for r in out.collect()} == {tuple(range(len(names)))}
+    rows = [(1, f"w{k % 7} a b c d", "s") for k in range(40)] + [(k, "x y z", "t") for k in range(2, 30)]
+    ties = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    a, b = (sorted(map(tuple, mixing.mixed_documents(spark, t).collect())) for t in (ties.coalesce(1), ties.orderBy(F.desc("text")).repartition(7)))
+    assert a == b
+
+
 # -- fingerprints ----------------------------------------------------------------------------------------------------
 
 
@@ -304,7 +357,7 @@ def test_main_text(spark):
     frame = spark.createDataFrame(pages, "page_id bigint, url string, html string").withColumn("host", F.lit(1)).withColumn("text", F.lit(2)).repartition(3)
     got = {r.page_id: r.text for r in html.extract(spark, frame).collect()}
     for i in range(8):
-        assert got[i] == f"Title {i} & more Para one {i} bold <tag> Second half {i} item {i} other Same on all"
+        assert got[i] == f"Title {i} & more Para one {i} bold <tag> Second half {i} item {i} other"  # the box that is the same on all pages of the host goes
     assert got[50] == "Title 1 & more Para one 1 bold <tag> Second half 1 item 1 other Same on all"
     assert got[51] == got[52] == "" and got[53] == "cut of text &am" and got[54] == "plain & text" and got[56] == "Body only"
     assert html.extract(spark, frame.limit(0)).count() == 0
@@ -324,6 +377,27 @@ def test_pages_nested_without_end():
         own = html.expression(html.parse(page))
         assert html.main_text(page, html._open(html._pack(html._merge(own, html.expression(html.parse(page)))))) == "First. Deep inside here Last."
     assert html.main_text("<article>" + "<div>" * 300 + "a<div>b</div>c") == "a b c"
+    for deep in (1, 190, 250, 1000):  # regions and furniture at any depth
+        page = f"<nav>menu</nav>{'<div>' * deep}junk before<article><header>by line<h1>Head</h1></header><p>Body</p></article>after{'</div>' * deep}"
+        own = html.expression(html.parse(page))
+        assert html.main_text(page, html._merge(own, own)) == html.main_text(page) == "Head Body", deep
+
+
+def test_the_wrapper_decides_inside_articles(spark):
+    """An unnamed notice that a host repeats goes; a paragraph or heading that it repeats stays, and so do copies of a page."""
+
+    def page(i, box):
+        return f"<body><article><div class='box'>{box}</div><h2>Same head</h2><p>Story {i} {invented(i, 20)}</p><p>Same end</p><section>Part {i}</section></article></body>"
+
+    rows = [(i, "http://a.org/x", page(i, "We use tracking here")) for i in range(6)]
+    rows += [(10 + i, "http://b.org/x", page(1, "Said once")) for i in range(5)]  # one page, crawled five times
+    rows += [(20 + i, "http://c.org/x", page(i, f"Box {i}")) for i in range(6)]
+    rows += [(30, "http://d.org/x", page(0, "One page only"))]
+    got = {r.page_id: r.text for r in html.extract(spark, spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4)).collect()}
+    for i, url, _ in rows:
+        k = {"a": i, "b": 1, "c": i - 20, "d": 0}[url[7]]
+        box = {"a": "", "b": "Said once ", "c": f"Box {k} ", "d": "One page only "}[url[7]]
+        assert got[i] == f"{box}Same head Story {k} {' '.join(invented(k, 20).split())} Same end Part {k}"
 
 
 def test_repeated_rows_long_pages_and_extra_columns(spark):
@@ -384,3 +458,23 @@ def test_pipeline(spark, tmp_path):
     back = pieces.decode(kept[5], public_tokenizers.path("piece_bpe_32k.model"))
     assert sorted(map(tuple, back.collect())) == sorted((r.doc_id, r.text) for r in kept[4].collect())
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(tuple, kept[5].collect()))
+
+
+def test_stages_take_nulls_repeats_clashes_and_empty_tables(spark, tmp_path):
+    """Each stage before the last, in turn: rows with nulls in any column, repeated ids, and columns named like those inside."""
+    import corpus_pipeline
+
+    rows = [(i, invented(i, 40), "en", f"s{i % 3}") for i in range(40)]
+    rows += [(None, None, None, None), (None, invented(900, 30), None, None), (7, "", "en", "s1"), (7, "another text here", "en", None), (8, "  \n\t ", None, "s2"), rows[3], rows[3], (50, "long word " * 30_000, "en", "s0")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    names = ["_row", "size", "lo", "hi", "slot", "id", "component", "score", "toxic", "gone", "doc", "key"]
+    wide = docs.select("*", *(F.lit(n).alias(n) for n in names))
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)] + [(None, None, None)], "doc_id bigint, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    keep = Written(spark)
+    for frame in (wide, wide.limit(0), wide.withColumn("n_chars", F.length("text"))):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = keep(stage(spark, frame, str(tmp_path)), "out")
+            assert out.columns == frame.columns, name
+            got = out.collect()
+            assert all(r[n] == n for r in got for n in names) and bool(got) == bool(frame.limit(1).count()), name
