@@ -26,14 +26,19 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays (five-word shingles, similarity 0.8 or more)."""
+    """One document of each group of near copies stays (SimHash, then shared shingles for the rest; five-word shingles, similarity
+    0.8 or more)."""
     keep = Written(spark)
     whole = F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)))  # so no column clashes with those here
-    rows = keep(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", whole.alias("whole")), "rows")  # written, so a row has one number
-    groups = simhash.near_texts(spark, rows.select("row", "text"), "row")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "row"))
-    stay = rows.select("row", "doc_id", "text").join(groups, F.col("row") == F.col("id")).groupBy("component").agg(first["row"].alias("row"))
-    kept = rows.select("row", "whole").join(keep(stay.select("row"), "stay"), "row", "left_semi")
+    rows = keep(docs.select(F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("h"), whole.alias("whole")), "rows")  # written, so a row has one number
+    text, doc_id = (F.col(f"whole.c{docs.columns.index(c)}").alias(c) for c in ("text", "doc_id"))
+    groups = simhash.near_texts(spark, rows.select("row", text), "row")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h", "row"))
+    named = keep(rows.select("row", doc_id, "h").join(groups, F.col("row") == F.col("id")).select("row", "doc_id", "h", "component"), "named")
+    stay = named.groupBy("component").agg(first["row"].alias("row"))
+    gone = keep(named.join(stay, "row", "left_anti").select("row"), "gone")
+    keep.only(rows, gone)
+    kept = rows.join(F.broadcast(gone) if gone.count() <= simhash.SMALL else gone, "row", "left_anti")
     return kept.select(*(F.col(f"whole.c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 

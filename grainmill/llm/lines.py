@@ -1,7 +1,9 @@
 """Fuzzy line dedup.
 
 Lines are normalised (lower case, digits to 0, ASCII punctuation to spaces, single spaces); lines equal in that form, by a
-hash of 128 bits, are one node. Nodes are candidates by any of three indexes:
+hash of 128 bits, are one node. In the index a node goes by the hash's first half, so of 150,000,000 distinct lines two are
+taken for one there with a probability of 0.0006; it matters if one of them is linked. Nodes are candidates by any of three
+indexes:
 
 - A SimHash of 128 bits in four blocks. A word votes in one block only, the one that its hash names, so a word that is
   changed, added or lost moves one or two blocks and no others, and (pigeonhole) two blocks at least stay. Nodes meet
@@ -40,8 +42,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.llm.simhash import MARK, by_marks, links, marks_of
-from grainmill.llm.words import slices
+from grainmill.llm.simhash import DEALT, MARK, blobs, by_marks, links, marks_of, shares
+from grainmill.llm.words import release, slices
 from grainmill.session import Written
 
 SIMILARITY = 0.9
@@ -110,23 +112,39 @@ def line_keys(lines: list[bytes]) -> np.ndarray:
 
 
 def line_facts(texts: list[str | None], similarity: float) -> tuple[list[int], list[int], np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-    """(text, pos, keys, n, marks, kinds) of the lines that aren't blank after normalisation, in order; n is their code points.
-    Words of all lines are worked on as one array."""
+    """(text, pos, keys, n, marks, kinds) of the lines that aren't blank after normalisation, in order; n is their code points."""
+    text, pos, lines = _said(texts)
+    n = _points(lines)
+    return text, pos, line_keys(lines), n, _marks(lines, n, similarity), _kinds(lines, n)
+
+
+def _said(texts: list[str | None]) -> tuple[list[int], list[int], list[bytes]]:
     text, pos, lines = [], [], []
     for t, x in enumerate(texts):
         for p, line in said_lines(x) if x else ():
             text.append(t)
             pos.append(p)
             lines.append(line)
+    return text, pos, lines
+
+
+def _points(lines: list[bytes]) -> np.ndarray:
+    """Code points of each line."""
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    begun = np.concatenate([[0], np.cumsum((np.frombuffer(b"".join(lines), np.uint8) & 0xC0) != 0x80)])
+    ends = np.cumsum(sizes)
+    return begun[ends] - begun[ends - sizes]
+
+
+def _marks(lines: list[bytes], n: np.ndarray, similarity: float) -> list[bytes]:
+    """Posting keys of each line. Words of all lines are worked on as one array."""
     if not lines:
-        return [], [], np.zeros((0, 2), np.int64), np.zeros(0, np.int64), [], np.zeros((0, KINDS // 8), np.int64)
+        return []
     buffer = np.frombuffer(b"\n".join(lines) + b"\n", np.uint8)
     ends = np.nonzero((buffer == 32) | (buffer == 10))[0]
     starts = np.concatenate([[0], ends[:-1] + 1])
     last = np.nonzero(buffer[ends] == 10)[0] + 1
     first = np.concatenate([[0], last[:-1]])
-    points = np.concatenate([[0], np.cumsum((buffer & 0xC0) != 0x80)])
-    n = points[ends[last - 1]] - points[starts[first]]
     words = _run_hashes(buffer.astype(np.uint64) + np.uint64(1), starts, ends)
     rank = np.repeat(np.arange(len(lines)), last - first)
     views, there = _views(words, rank, ends - starts, len(lines))
@@ -140,11 +158,13 @@ def line_facts(texts: list[str | None], similarity: float) -> tuple[list[int], l
             runs = _mix(np.ascontiguousarray(runs).view(np.uint64)[:, 0])
             marks[i] += marks_of(_min_hashes(runs, np.zeros(1, np.int64))[0])
         marks[i] += _parts(lines[i].decode("utf-8", "replace"), similarity)
-    return text, pos, line_keys(lines), n, marks, _kinds(lines, n)
+    return marks
 
 
 def _kinds(lines: list[bytes], n: np.ndarray) -> np.ndarray:
     """How many characters of each kind the lines hold."""
+    if not lines:
+        return np.zeros((0, KINDS // 8), np.int64)
     points = np.frombuffer(b"".join(lines).decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
     kind = ((points * np.uint32(0x9E3779B1)) >> np.uint32(28)).astype(np.int64)
     counts = np.bincount(np.repeat(np.arange(len(lines)) * KINDS, n) + kind, minlength=len(lines) * KINDS)
@@ -234,15 +254,52 @@ def _majorities(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(doc, doc_id, pos, key, check, n, marks) of each line that isn't blank: doc is a hash of (doc_id, text)."""
+    """(doc, doc_id, pos, key, check, n, k0, k1) of each line that isn't blank: doc is a hash of (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=SLICE):
-            text, pos, keys, n, marks, kinds = line_facts(batch.column(2).to_pylist(), similarity)
-            at = pa.array(text, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(pos, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(n), *(pa.array(k) for k in kinds.T), pa.array(marks, pa.binary())], names=["doc", "doc_id", "pos", "key", "check", "n", "k0", "k1", "marks"])
+            text, pos, lines = _said(batch.column(2).to_pylist())
+            n, keys, at = _points(lines), line_keys(lines), pa.array(text, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(pos, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(n), *(pa.array(k) for k in _kinds(lines, n).T)], names=["doc", "doc_id", "pos", "key", "check", "n", "k0", "k1"])
+
+    return _named(docs, id_col, text_col).mapInArrow(run, "doc bigint, doc_id bigint, pos bigint, key bigint, check bigint, n bigint, k0 bigint, k1 bigint")
 
-    return _named(docs, id_col, text_col).mapInArrow(run, "doc bigint, doc_id bigint, pos bigint, key bigint, check bigint, n bigint, k0 bigint, k1 bigint, marks binary")
+
+def _fuzzy(n, similarity: float):
+    """Whether a line of n code points may be similar to another one: an edit fits into (1 - similarity) of the longer one."""
+    return n * (1 - similarity) / similarity >= 1 - 1e-9
+
+
+def postings(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """Blobs of the marks of lines that may be similar to others, by the first half of their keys. They are made from the
+    texts and dealt in one go, as 100 bytes of marks a line are dear to write. A task posts a line once or a few times,
+    however many copies it has."""
+    parts = shares(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, nodes, done, n_held = [], [], set(), 0
+        for batch in slices(batches, limit=SLICE):
+            lines = list(set(_said(batch.column(0).to_pylist())[2]))
+            ids = line_keys(lines)[:, 0].tolist()
+            fresh = [i for i, k in enumerate(ids) if k not in done and _fuzzy(len(lines[i]), similarity)]
+            if len(done) > 4 * DEALT:
+                done.clear()
+            done.update(ids[i] for i in fresh)
+            lines, ids = [lines[i] for i in fresh], np.array([ids[i] for i in fresh], np.int64)
+            n = _points(lines)
+            some = np.nonzero(_fuzzy(n, similarity))[0]
+            key, at = by_marks(_marks([lines[i] for i in some], n[some], similarity))
+            keys.append(key)
+            nodes.append(ids[some][at])
+            n_held += len(some)
+            if n_held >= DEALT:
+                yield blobs(np.concatenate(keys), np.concatenate(nodes), parts)
+                keys, nodes, n_held = [], [], 0
+        if keys:
+            yield blobs(np.concatenate(keys), np.concatenate(nodes), parts)
+        release()
+
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "part int, data binary")
 
 
 def _doc(id_col: str, text_col: str) -> Column:
@@ -253,10 +310,6 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(_doc(id_col, text_col).alias("doc"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
 
 
-def _keys(nodes: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    yield by_marks(nodes["marks"])
-
-
 def distance_within(a: str, b: str, most: int) -> bool:
     """Whether the edit distance is at most `most`: common ends cut off, then Myers' bit vectors, which stop once the
     distance can't come down to `most`."""
@@ -295,7 +348,7 @@ def distance_within(a: str, b: str, most: int) -> bool:
     return score <= most
 
 
-def _verify(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, similarity: float, keep: Written):
+def _verify(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, similarity: float):
     """Filters pairs of nodes (id, doc, pos) by the edit similarity of their lines."""
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,7 +370,7 @@ def _verify(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, simil
                 ok.append(distance_within(x, y, int((1 - similarity) * longer + 1e-9)))
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame, keep: Written) -> DataFrame:
         wanted = keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
         holders = nodes.join(wanted, "id", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("id", "pos")).alias("wanted"))
         if wanted.count() <= SMALL:
@@ -331,13 +384,12 @@ def _verify(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, simil
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, keep: Written | None = None) -> DataFrame:
-    """(doc, gone) of documents that lose lines: gone is their places, from 0."""
+    """(doc, gone) of documents that lose lines: gone is their places, from 0. It is a table; those it came from are removed."""
     keep = keep or Written(spark)
     lines = keep(lines_of(docs, id_col, text_col, similarity), "lines")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("i"), "doc", "pos"))
-    nodes = keep(lines.groupBy("key", "check").agg(*(F.min(c).alias(c) for c in ("n", "k0", "k1", "marks")), F.count("*").alias("copies"), first.alias("first")).withColumn("id", F.monotonically_increasing_id()), "line-nodes")
-    # A line of n code points is similar to another only if an edit fits into (1 - similarity) of the longer one.
-    fuzzy = nodes.where(F.col("n") * (1 - similarity) / similarity >= 1 - 1e-9).select("id", "n", "k0", "k1", "marks", "first.doc", "first.pos")
+    nodes = keep(lines.groupBy("key", "check").agg(*(F.min(c).alias(c) for c in ("n", "k0", "k1")), F.count("*").alias("copies"), first.alias("first")), "line-nodes")
+    fuzzy = nodes.where(_fuzzy(F.col("n"), similarity)).select(F.col("key").alias("id"), "n", "k0", "k1", "first.doc", "first.pos")
 
     def near(x: str, y: str) -> Column:
         lo, hi = F.least(F.col(f"{x}n"), F.col(f"{y}n")), F.greatest(F.col(f"{x}n"), F.col(f"{y}n"))
@@ -348,12 +400,16 @@ def duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
                 moved = moved + F.abs(a - b)
         return (lo >= hi * similarity) & (moved <= 2 * F.floor(hi * (1 - similarity) + 1e-9))
 
-    found = links(spark, fuzzy.select("id", "n", "k0", "k1", "marks"), ["marks"], _keys, near, _verify(docs, fuzzy, id_col, text_col, similarity, keep), keep)
-    grouped = nodes.join(found, nodes.id == found.node, "left").select("key", "check", "copies", "first", F.coalesce("component", "id").alias("group"))
+    found = links(spark, fuzzy.select("id", "n", "k0", "k1"), postings(spark, docs, id_col, text_col, similarity), near, _verify(docs, fuzzy, id_col, text_col, similarity), keep)
+    linked = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
+    group = F.when(F.col("component").isNull(), F.struct("key", "check")).otherwise(F.struct(F.col("component").alias("key"), F.lit(0).cast("bigint").alias("check")))
+    grouped = nodes.join(linked, (nodes.key == linked.node) & _fuzzy(nodes.n, similarity), "left").select("key", "check", "copies", "first", group.alias("group"))
     kept = grouped.groupBy("group").agg(F.min("first").alias("kept"), F.sum("copies").alias("n")).where("n > 1")
     repeated = grouped.join(kept, "group").select("key", "check", "kept")
     gone = lines.select("doc", "pos", "key", "check").join(repeated, ["key", "check"]).where((F.col("doc") != F.col("kept.doc")) | (F.col("pos") != F.col("kept.pos")))
-    return gone.groupBy("doc").agg(F.collect_set("pos").alias("gone"))
+    out = keep(gone.groupBy("doc").agg(F.collect_set("pos").alias("gone")), "gone")
+    keep.only(out)
+    return out
 
 
 def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, count: bool = False) -> DataFrame:

@@ -8,6 +8,8 @@ them. Links are found in two passes that together lose none and emit no group's
 1. every posting list links its members to its smallest member (a star, linear in the list);
 2. lists whose members are still in different components are joined with themselves across components only.
 
+Near copies of texts (`near_texts`) are found by this index first, then by shared shingles of prefixes for the rest.
+
 Empty, null and one-word texts have fingerprints like any other; equal fingerprints are one node, so copies cost
 nothing. Ties and repeated rows collapse into that node; rows with a null id take the component of their fingerprint
 but never name it. An empty table gives an empty result. Only the named columns are read, so others may clash."""
@@ -125,8 +127,30 @@ def by_bytes(fps: list[str], min_shared: int) -> tuple[Keys, Callable[[str, str]
     return keys, enough
 
 
+def blobs(key: np.ndarray, node: np.ndarray, parts: int) -> pa.RecordBatch:
+    """(part, data): postings dealt by a hash of their key; data is their keys and node ids."""
+    part = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+    part = (part % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((key, part))
+    key, node, part = key[order], node[order], part[order]
+    cuts = np.searchsorted(part, np.arange(parts + 1))
+    some = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
+    data = [pack(steps_of(key[cuts[p] : cuts[p + 1]].view(np.uint64)), node[cuts[p] : cuts[p + 1]]) for p in some]
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(data, pa.binary())], names=["part", "data"])
+
+
+def shares(spark: SparkSession) -> int:
+    """Parts that postings are dealt to."""
+    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def posted(spark: SparkSession, nodes: DataFrame, prints: list[str], keys: Keys) -> DataFrame:
+    """Dealt postings of nodes (id, prints). keys gives posting keys from arrays of the prints, an array per posting."""
+    return nodes.select("id", *prints).repartition(shares(spark) // 2, "id").mapInArrow(_deal(prints, keys, shares(spark)), "part int, data binary")
+
+
 def _deal(prints: list[str], keys: Keys, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(part, data): postings of many nodes at once, by a hash of their key; data is their keys and node ids."""
+    """Blobs of the postings of many nodes at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -137,15 +161,7 @@ def _deal(prints: list[str], keys: Keys, parts: int) -> Callable[[Iterator[pa.Re
             nodes = {name: c.to_pylist() if pa.types.is_binary(c.type) else np.ascontiguousarray(c.to_numpy(), np.int64) for name in prints for c in [table.column(name)]}
             ids = table.column("id").to_numpy()
             posted = [p if isinstance(p, tuple) else (p, slice(None)) for p in keys(nodes)]
-            key, node = np.concatenate([k for k, _ in posted]), np.concatenate([ids[at] for _, at in posted])
-            part = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-            part = (part % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((key, part))
-            key, node, part = key[order], node[order], part[order]
-            cuts = np.searchsorted(part, np.arange(parts + 1))
-            some = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
-            data = [pack(steps_of(key[cuts[p] : cuts[p + 1]].view(np.uint64)), node[cuts[p] : cuts[p + 1]]) for p in some]
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(data, pa.binary())], names=["part", "data"])
+            return blobs(np.concatenate([k for k, _ in posted]), np.concatenate([ids[at] for _, at in posted]), parts)
 
         for batch in batches:
             held.append(batch)
@@ -159,16 +175,23 @@ def _deal(prints: list[str], keys: Keys, parts: int) -> Callable[[Iterator[pa.Re
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, id) of postings whose key has more than one. Held are one head per key and a run of postings, so a list of
-    any length streams through: its head goes out with the first posting that meets it."""
+    """(key, id) of postings whose key has more than one node. Held are one head per key and a run of postings, so a list of
+    any length streams through: its head goes out with the first posting that meets it. A node that is posted again under
+    its key goes out once per run, and not as its own company."""
     heads = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]  # key, node, has gone out
 
     def settle(held: list[list[np.ndarray]]) -> pa.RecordBatch:
         nonlocal heads
         key = np.concatenate([np.cumsum(h[0], dtype=np.uint64).view(np.int64) for h in held])
         node = np.concatenate([h[1] for h in held])
-        order = np.argsort(key, kind="stable")
+        order = np.lexsort((node, key))
         key, node = key[order], node[order]
+        again = np.zeros(len(key), bool)
+        again[1:] = (key[1:] == key[:-1]) & (node[1:] == node[:-1])
+        if len(heads[0]):
+            at = np.minimum(np.searchsorted(heads[0], key), len(heads[0]) - 1)
+            again |= (heads[0][at] == key) & (heads[1][at] == node)
+        key, node = key[~again], node[~again]
         first = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0] if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.append(first, len(key)))
         distinct = key[first]
@@ -198,42 +221,57 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
 
 
-def links(spark: SparkSession, nodes: DataFrame, prints: list[str], keys: Keys, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame] | None = None, keep: Written | None = None) -> DataFrame:
+def links(spark: SparkSession, nodes: DataFrame, dealt: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame, Written], DataFrame] | None = None, keep: Written | None = None, known: DataFrame | None = None) -> DataFrame:
     """(node, component) of nodes joined by verified links.
 
-    nodes: id bigint, unique, the bigint or binary columns `prints`, and what near reads, written to a table. keys gives posting keys
-    from arrays of the prints, an array per posting; pairs that share a key are candidates if near(prefix a, prefix b)
-    holds on their columns; verify, if given, filters pairs (a, b) further."""
-    keep = keep or Written(spark)
-    cols = [c for c, kind in nodes.dtypes if kind != "binary"]  # marks are for posting only
+    nodes: id bigint, unique, and what near reads, written to a table; dealt: their postings, as blobs. Pairs that share a
+    key are candidates if near(prefix a, prefix b) holds on their columns; verify, if given, filters pairs (a, b) further.
+    known: (node, component) linked already, of which no pair within a component is looked at again. Tables written on the
+    way are removed as soon as they are read."""
+    keep, own = keep or Written(spark), Written(spark)
+    cols = nodes.columns
+    if known is not None:
+        nodes = nodes.join(known.withColumnRenamed("component", "was"), nodes.id == known.node, "left").select(*cols, F.coalesce("was", "id").alias("was"))
+        cols = nodes.columns
 
     def paired(left: DataFrame, right: DataFrame, on: Column, name: str) -> DataFrame:
         found = left.join(right, on & near("x_", "y_"))
-        out = found.select(F.greatest("x_id", "y_id").alias("a"), F.least("x_id", "y_id").alias("b")).distinct()
-        if not verify:
-            return keep(out, name)
-        out = keep(out, f"{name}-pairs")
-        return keep(verify(out), name) if out.limit(1).count() else out
+        out = own(found.select(F.greatest("x_id", "y_id").alias("a"), F.least("x_id", "y_id").alias("b")).distinct(), name)
+        if not verify or not out.limit(1).count():
+            return out
+        used = Written(spark)
+        true = own(verify(out, used), f"{name}-verified")
+        used.only()
+        own.drop(out)
+        return true
 
     def named(df: DataFrame, prefix: str) -> DataFrame:
         return df.select(*(F.col(c).alias(prefix + c) for c in df.columns))
 
-    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = nodes.select("id", *prints).repartition(spread, "id").mapInArrow(_deal(prints, keys, 2 * spread), "part int, data binary")
-    shared = dealt.repartition(spread, "part").mapInArrow(_match, "key bigint, id bigint")
-    members = keep(shared.join(nodes.select(*cols), "id").select("key", *cols), "members")
+    members = own(dealt.repartition(shares(spark) // 2, "part").mapInArrow(_match, "key bigint, id bigint").join(nodes, "id").select("key", *cols), "members")
     heads = members.groupBy("key").agg(F.min(F.struct("id", *(c for c in cols if c != "id"))).alias("h"), F.count("*").alias("size"))
-    first = paired(named(members, "x_"), named(heads.select("key", "h.*"), "y_"), (F.col("x_key") == F.col("y_key")) & (F.col("x_id") != F.col("y_id")), "stars")
-    found = components(spark, first, keep)
+    apart = F.col("x_was") != F.col("y_was") if known is not None else F.col("x_id") != F.col("y_id")
+    edges = paired(named(members, "x_"), named(heads.select("key", "h.*"), "y_"), (F.col("x_key") == F.col("y_key")) & apart, "stars")
+    if known is not None:
+        edges = edges.unionByName(known.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    found = components(spark, edges, own)
 
     # A list of two was settled by its star; any longer one that still holds two components is compared across them.
     longer = members.join(heads.where("size > 2").select("key"), "key", "left_semi")
-    marked = keep(longer.join(found, longer.id == found.node, "left").select("key", *cols, F.coalesce("component", "id").alias("component")), "marked")
+    marked = own(longer.join(found, longer.id == found.node, "left").select("key", *cols, F.coalesce("component", "id").alias("component")), "marked")
+    own.drop(members)
     mixed = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    open_lists = keep(marked.join(mixed, "key", "left_semi"), "open")
+    open_lists = own(marked.join(mixed, "key", "left_semi").distinct(), "open")
+    own.drop(marked)
     x, y = named(open_lists, "x_"), named(open_lists, "y_")
     second = paired(x, y, (F.col("x_key") == F.col("y_key")) & (F.col("x_component") < F.col("y_component")), "across")
-    return components(spark, first.unionByName(second), keep) if second.limit(1).count() else found
+    out = keep(components(spark, edges.unionByName(second), own) if second.limit(1).count() else found, "links")
+    own.only()
+    return out
+
+
+def _close(x: str, y: str, max_bits: int) -> Column:
+    return F.bit_count(F.col(f"{x}fp").bitwiseXOR(F.col(f"{y}fp"))) <= max_bits
 
 
 def hamming_components(spark: SparkSession, fps: DataFrame, max_bits: int = 4, keep: Written | None = None) -> DataFrame:
@@ -244,7 +282,7 @@ def hamming_components(spark: SparkSession, fps: DataFrame, max_bits: int = 4, k
     keep = keep or Written(spark)
     nodes = keep(fps.groupBy("fp").agg(F.min("id").alias("id")).where("id is not null"), "nodes").select("id", "fp")
     keys, enough = by_bytes(["fp"], BYTES - max_bits)
-    found = links(spark, nodes, ["fp"], keys, lambda x, y: enough(x, y) & (F.bit_count(F.col(f"{x}fp").bitwiseXOR(F.col(f"{y}fp"))) <= max_bits), keep=keep)
+    found = links(spark, nodes, posted(spark, nodes, ["fp"], keys), lambda x, y: enough(x, y) & _close(x, y, max_bits), keep=keep)
     return nodes.join(found, nodes.id == found.node, "left").select("fp", F.coalesce("component", "id").alias("component"))
 
 
@@ -300,8 +338,8 @@ def _commonness(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: float, levels) -> DataFrame:
-    """(id, key, n, marks): key identifies the sequence of words, n counts distinct shingles, marks are those of the
-    prefix: the n - ceil(threshold * n) + 1 shingles that come first, rare ones before common ones. Two sets whose
+    """(id, key, n, fp, marks): key identifies the sequence of words, n counts distinct shingles, fp is their SimHash as
+    `fingerprints` makes it, marks are those of the prefix: the n - ceil(threshold * n) + 1 shingles that come first, rare ones before common ones. Two sets whose
     Jaccard similarity reaches the threshold share one, whatever the order is, as long as it is the same for all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,14 +348,19 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, width: int, threshold
             for t in batch.column(1).to_pylist():
                 h = _shingle_hashes(t, width)
                 first = h[np.argsort(levels.value[_cell(h)], kind="stable")[: len(h) - int(np.ceil(threshold * len(h) - 1e-9)) + 1]]
-                rows.append([xxhash.xxh3_64_intdigest(b" ".join(words_of(t))) - (1 << 63), len(h), marks_of(first)])
-            cols = list(zip(*rows, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True))], names=["id", "key", "n", "marks"])
+                words = words_of(t)
+                rows.append([xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63), len(h), fingerprint(hashes(shingles(words, 4), 42)), marks_of(first)])
+            cols = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True))], names=["id", "key", "n", "fp", "marks"])
+
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id bigint, key bigint, n bigint, fp bigint, marks binary")
+
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id bigint, key bigint, n bigint, marks binary")
+#: Ids of texts to verify that are broadcast at most; beyond, they are joined by shuffle.
+SMALL = 200_000
 
 
-def _jaccard_filter(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: float) -> Callable[[DataFrame], DataFrame]:
+def _jaccard_filter(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: float) -> Callable[[DataFrame, Written], DataFrame]:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             held = [np.unique(hashes(shingles(words_of(t), width), 0)).tobytes() for t in batch.column(1).to_pylist()]
@@ -332,25 +375,30 @@ def _jaccard_filter(docs: DataFrame, id_col: str, text_col: str, width: int, thr
                 keep.append(both >= threshold * (len(p) + len(q) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(named, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(sets, "id bigint, held binary")
+    def verify(pairs: DataFrame, keep: Written) -> DataFrame:
+        named = keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "named")
+        few = F.broadcast(named) if named.count() <= SMALL else named
+        texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(few, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(sets, "id bigint, held binary")
         full = pairs.join(texts.select(F.col("id").alias("a"), F.col("held").alias("p")), "a").join(texts.select(F.col("id").alias("b"), F.col("held").alias("q")), "b")
         return full.select("a", "b", "p", "q").mapInArrow(test, "a bigint, b bigint")
 
     return verify
 
 
-def near_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
+def near_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, max_bits: int = 4) -> DataFrame:
     """(id, component) per row: groups of texts linked by a Jaccard similarity of word shingles >= threshold.
 
-    Candidates share a shingle of their prefixes, which no link lacks; every candidate is verified on its shingle sets.
+    SimHashes that differ in at most max_bits bits are found first, by the byte-position index. For links that SimHash
+    doesn't see, texts of different groups so far are candidates if they share a shingle of their prefixes, which no link
+    lacks. Every candidate of either index is verified on its shingle sets.
     Texts of equal words are one node. Rows with a null id keep a null component unless their words equal those of a row
     with one. Null and empty texts are one node, as they have equal (no) words."""
     keep = Written(spark)
     levels = spark.sparkContext.broadcast(_commonness(docs, text_col, width))
     rows = keep(_sketches(docs, id_col, text_col, width, threshold, levels), "sketches")
-    nodes = keep(rows.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("marks").alias("marks")).where("id is not null"), "nodes")
+    nodes = keep(rows.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("marks").alias("marks")).where("id is not null"), "nodes")
+    named = keep(rows.select("id", "key"), "keys")
+    keep.drop(rows)
 
     def near(x: str, y: str) -> Column:
         return F.least(F.col(x + "n"), F.col(y + "n")) >= F.greatest(F.col(x + "n"), F.col(y + "n")) * threshold
@@ -358,9 +406,14 @@ def near_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     def keys(nodes: dict[str, list[bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield by_marks(nodes["marks"])
 
-    found = links(spark, nodes.select("id", "n", "marks"), ["marks"], keys, near, _jaccard_filter(docs, id_col, text_col, width, threshold), keep)
-    named = nodes.join(found, nodes.id == found.node, "left").select("key", F.coalesce("component", "id").alias("component"))
-    return rows.select("id", "key").join(named, "key", "left").select("id", "component")
+    verify = _jaccard_filter(docs, id_col, text_col, width, threshold)
+    by_fp, enough = by_bytes(["fp"], BYTES - max_bits)
+    close = links(spark, nodes.select("id", "n", "fp"), posted(spark, nodes, ["fp"], by_fp), lambda x, y: enough(x, y) & _close(x, y, max_bits) & near(x, y), verify, keep)
+    found = links(spark, nodes.select("id", "n"), posted(spark, nodes, ["marks"], keys), near, verify, keep, known=close)
+    groups = nodes.join(found, nodes.id == found.node, "left").select("key", F.coalesce("component", "id").alias("component"))
+    out = keep(named.join(groups, "key", "left").select("id", "component"), "groups")
+    keep.only(out)
+    return out
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,9 +61,13 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Shuffle files go with the write that they were made for, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Written:
     """Tables written once to the shared folder: their lineage ends there, so a lost executor costs no
-    recomputation of what came before. `drop` removes one that nothing reads any more."""
+    recomputation of what came before. `drop` removes those that nothing reads any more, `only` all but those named."""
 
     def __init__(self, spark: SparkSession):
         reach(spark)
@@ -71,16 +75,25 @@ class Written:
         self.paths: dict[int, str] = {}
 
     def __call__(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        path = new_path(self.spark, name)
-        df.write.option("compression", codec).parquet(path)
+        path, was = new_path(self.spark, name), self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", codec).parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, was)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         self._keep = [*getattr(self, "_keep", []), out]
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        if path := self.paths.pop(id(df), None):
-            delete(self.spark, path)
+    def drop(self, *frames: DataFrame) -> None:
+        for df in frames:
+            if path := self.paths.pop(id(df), None):
+                delete(self.spark, path)
+
+    def only(self, *frames: DataFrame) -> None:
+        stay = {id(df) for df in frames}
+        self.drop(*(df for df in getattr(self, "_keep", []) if id(df) not in stay))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

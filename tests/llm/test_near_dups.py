@@ -262,3 +262,57 @@ def test_near_texts_finds_contiguous_edits(spark):
     got = {r.id: r.component for r in simhash.near_texts(spark, spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
     assert len(linked) >= 50
     assert [i for i in linked if got[i] != got[i + 1]] == [] and len(set(got.values())) == 120 - len(linked)
+
+
+def left_over(spark) -> set[str]:
+    import os
+
+    from grainmill.session import shared_dir
+
+    top = shared_dir(spark).removeprefix("file://") + "/grainmill"
+    return set(os.listdir(top)) if os.path.isdir(top) else set()
+
+
+def test_stages_remove_what_they_have_read(spark):
+    """Of line dedup and the near-dedup stage only the tables stay that their results read, and no shuffle files of others."""
+    import corpus_pipeline
+
+    from tests.llm.conftest import invented
+
+    rows = [(k, invented(k % 40, 60) + (f" zu{k}" if k % 3 else "") + "\n" + invented(100 + k, 30)) for k in range(120)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    for stage, most in ((corpus_pipeline.without_repeated_lines, {"gone"}), (corpus_pipeline.without_near_copies, {"rows", "gone", "groups"})):
+        before = left_over(spark)
+        out = stage(spark, frame, "")
+        assert {name.split("-", 1)[1] for name in left_over(spark) - before} <= most, stage
+        assert 0 < out.where("text != ''").count() <= 120
+
+
+def test_near_dedup_stage_links_by_simhash_first(spark, monkeypatch):
+    """The byte-position index over fingerprints finds texts within 4 bits, pairs that fail the shingle test are dropped, and
+    the prefix index gets its groups."""
+    import corpus_pipeline
+
+    from tests.llm.conftest import invented
+
+    rows = []
+    for k in range(20):
+        words = invented(3000 + k, 400).split()
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:200], "zu" + words[200], *words[201:]]))]
+    chant = "one two three four five " * 200  # its repeats, of an odd number, settle the fingerprint, whatever comes after it
+    rows += [(100, chant + invented(1, 20)), (101, chant + invented(2, 20))]
+    calls, real = [], simhash.links
+
+    def spied(spark, nodes, *more, known=None, **named):
+        out = real(spark, nodes, *more, known=known, **named)
+        calls.append((nodes.columns, known is not None, {(r.node, r.component) for r in out.collect()}))
+        return out
+
+    monkeypatch.setattr(simhash, "links", spied)
+    got = {r.doc_id for r in corpus_pipeline.without_near_copies(spark, spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1), "").collect()}
+    fps = {r.id: r.fp & (2**64 - 1) for r in simhash.fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    close = [k for k in range(20) if (fps[2 * k] ^ fps[2 * k + 1]).bit_count() <= 4]
+    assert (fps[100] ^ fps[101]).bit_count() <= 4 and len(close) > 10
+    assert [c[:2] for c in calls] == [(["id", "n", "fp"], False), (["id", "n"], True)]
+    assert len(calls[0][2]) == len(close) and calls[0][2] <= calls[1][2]
+    assert got == {2 * k for k in range(20)} | {100, 101}
