@@ -14,11 +14,15 @@ indexes:
   words for their length, such as text without spaces, take runs of 8 bytes as well. Edits spread over most words of a
   line can be missed here.
 - Lines of which one has under SHORT code points: one of the even parts of the shorter is in the longer, close to its
-  place, as there is one part more than edits (pigeonhole). This loses nothing.
+  place, as there is one part more than edits (pigeonhole). This loses nothing, nor does leaving out keys that all their
+  lines only ask for: the shorter line of a pair posts its own parts.
 
 Of lines under one key, pairs stay whose counts of characters in KINDS kinds differ by no more than that many edits can
 (an edit moves two counts by one), which loses nothing either.
 
+Texts of candidates are taken in one pass over the documents, by a filter of fixed size. Pairs whose counts of grams are
+too far apart go, and those that one alignment shows to be close stay, before any distance is taken; neither changes a result.
+
 Candidates are verified by edit similarity alone, 1 - distance / longer length, on the normalised lines; of each
 connected group the first occurrence by (doc_id, document, line) stays and the others go. Lines too short for an edit
 to leave them similar match by equality only, which loses nothing.
@@ -33,7 +37,8 @@ an empty result. All columns of the input are carried; only doc_id and text are
 from __future__ import annotations
 
 import string
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -42,8 +47,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.llm.simhash import DEALT, MARK, blobs, by_marks, links, marks_of, shares
-from grainmill.llm.words import release, slices
+from grainmill.llm.simhash import DEALT, MARK, _match, links, marks_of, shares
+from grainmill.llm.words import pack, release, slices, steps_of, unpack
 from grainmill.session import Written
 
 SIMILARITY = 0.9
@@ -62,8 +67,6 @@ SLICE = 256 << 10
 SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").reshape(-1, 8).copy().view(np.uint64)[:, 0]
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
-#: Rows of candidates' documents that are broadcast at most; beyond, they are joined by shuffle.
-SMALL = 200_000
 
 
 def normalise(text: str) -> bytes:
@@ -137,9 +140,18 @@ def _points(lines: list[bytes]) -> np.ndarray:
 
 
 def _marks(lines: list[bytes], n: np.ndarray, similarity: float) -> list[bytes]:
-    """Posting keys of each line. Words of all lines are worked on as one array."""
+    """Posting keys of each line."""
+    keys, at, _ = _keys(lines, n, similarity)
+    order = np.lexsort((keys, at))
+    held, cuts = marks_of(keys[order]), np.searchsorted(at[order], np.arange(len(lines) + 1)) * MARK
+    return [held[i:j] for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+
+def _keys(lines: list[bytes], n: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posting keys of all lines, the line of each, and whether it only asks: two lines that ask for a part that neither has
+    cut needn't meet. Words of all lines are worked on as one array."""
     if not lines:
-        return []
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
     buffer = np.frombuffer(b"\n".join(lines) + b"\n", np.uint8)
     ends = np.nonzero((buffer == 32) | (buffer == 10))[0]
     starts = np.concatenate([[0], ends[:-1] + 1])
@@ -150,15 +162,21 @@ def _marks(lines: list[bytes], n: np.ndarray, similarity: float) -> list[bytes]:
     views, there = _views(words, rank, ends - starts, len(lines))
     keys = np.concatenate([views, _bands(words, rank, first)], axis=1)
     there = np.concatenate([there, np.ones((len(lines), BANDS), bool)], axis=1) & (n >= SHORT)[:, None]
-    held, cuts = marks_of(keys[there]), np.concatenate([[0], np.cumsum(there.sum(1))]) * MARK
-    marks = [held[i:j] for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-    for i in np.nonzero((n > WIDE * (last - first)) | (n <= (SHORT - 1) / similarity + 1e-9))[0].tolist():
-        if n[i] > WIDE * (last[i] - first[i]):
-            runs = np.lib.stride_tricks.sliding_window_view(np.frombuffer(lines[i].ljust(RUN), np.uint8), RUN)
-            runs = _mix(np.ascontiguousarray(runs).view(np.uint64)[:, 0])
-            marks[i] += marks_of(_min_hashes(runs, np.zeros(1, np.int64))[0])
-        marks[i] += _parts(lines[i].decode("utf-8", "replace"), similarity)
-    return marks
+    out, at = [keys[there]], [np.nonzero(there)[0]]
+    for i in np.nonzero(n > WIDE * (last - first))[0].tolist():
+        runs = np.lib.stride_tricks.sliding_window_view(np.frombuffer(lines[i].ljust(RUN), np.uint8), RUN)
+        runs = _mix(np.ascontiguousarray(runs).view(np.uint64)[:, 0])
+        out.append(_min_hashes(runs, np.zeros(1, np.int64))[0])
+        at.append(np.full(BANDS, i))
+    asks = [np.zeros(len(k), bool) for k in out]
+    some = np.nonzero(n <= (SHORT - 1) / similarity + 1e-9)[0]
+    for size in np.unique(n[some]).tolist():
+        of = some[n[some] == size]
+        parts, only = _parts([lines[i] for i in of.tolist()], size, similarity)
+        out.append(parts.reshape(-1))
+        at.append(np.repeat(of, parts.shape[1]))
+        asks.append(np.tile(only, len(of)))
+    return np.concatenate(out), np.concatenate(at), np.concatenate(asks)
 
 
 def _kinds(lines: list[bytes], n: np.ndarray) -> np.ndarray:
@@ -212,16 +230,14 @@ def _min_hashes(features: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return keys
 
 
-def _parts(line: str, similarity: float) -> bytes:
-    """Marks by which lines meet if the shorter has under SHORT code points: for each length that the shorter may have,
-    its even parts, one more than edits can be in the pair's longer line; the shorter posts its own, the longer what it
-    holds at those places, moved by as much as edits can."""
-    size, keys = len(line), set()
-    digest = xxhash.xxh3_64_intdigest
+@cache
+def _places(size: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, salt, only asks) of the parts that a line of `size` code points posts."""
 
     def most(longer: int) -> int:
         return int((1 - similarity) * longer + 1e-9)
 
+    places = []
     for shorter in range(1, min(size, SHORT - 1) + 1):
         if size - shorter > most(size):
             continue
@@ -232,8 +248,21 @@ def _parts(line: str, similarity: float) -> bytes:
             more = size - shorter  # edits before a part and after it bound how far the first equal part has moved
             for by in range(max(-k, more - edits + k), min(k, more + edits - k) + 1):
                 if 0 <= lo + by and hi + by <= size:
-                    keys.add(digest(f"{shorter} {k} {line[lo + by : hi + by]}"))
-    return marks_of(np.array(sorted(keys), np.uint64))
+                    places.append((lo + by, hi + by, shorter * SHORT + k, more > 0 or by != 0))
+    begin, end, salt, asks = np.array(places, np.int64).reshape(-1, 4).T
+    return begin, end, _mix(salt.astype(np.uint64) + np.uint64(1)), asks.astype(bool)
+
+
+def _parts(lines: list[bytes], size: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Keys by which lines meet if the shorter has under SHORT code points, a row for each of `lines`, which have `size`: for
+    each length that the shorter may have, its even parts, one more than edits can be in the pair's longer line; the shorter
+    posts its own, the longer what it holds at those places, moved by as much as edits can. And which columns only ask,
+    being no parts of a line of that size."""
+    begin, end, salt, asks = _places(size, similarity)
+    points = np.frombuffer(b"".join(lines).decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+    total = np.zeros((len(lines), size + 1), np.uint64)
+    np.cumsum((points.reshape(-1, size).astype(np.uint64) + np.uint64(1)) * _powers(BASE, size), axis=1, dtype=np.uint64, out=total[:, 1:])
+    return _mix((total[:, end] - total[:, begin]) * _powers(INVERSE, size + 1)[begin] + salt), asks
 
 
 def _majorities(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -278,6 +307,17 @@ def postings(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, nodes, done, n_held = [], [], set(), 0
+
+        def out() -> pa.RecordBatch:
+            key, node = np.concatenate(keys), np.concatenate(nodes)
+            order = np.argsort(key)
+            key, node = key[order], node[order]
+            part = ((key >> np.uint64(1)) * np.uint64(parts) >> np.uint64(8 * MARK)).astype(np.int64)  # ranges of keys, which are hashes
+            cuts = np.searchsorted(part, np.arange(parts + 1))
+            some = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
+            data = [pack(steps_of(key[cuts[p] : cuts[p + 1]]), node[cuts[p] : cuts[p + 1]]) for p in some]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(data, pa.binary())], names=["part", "data"])
+
         for batch in slices(batches, limit=SLICE):
             lines = list(set(_said(batch.column(0).to_pylist())[2]))
             ids = line_keys(lines)[:, 0].tolist()
@@ -288,20 +328,58 @@ def postings(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, s
             lines, ids = [lines[i] for i in fresh], np.array([ids[i] for i in fresh], np.int64)
             n = _points(lines)
             some = np.nonzero(_fuzzy(n, similarity))[0]
-            key, at = by_marks(_marks([lines[i] for i in some], n[some], similarity))
-            keys.append(key)
+            key, at, asks = _keys([lines[i] for i in some], n[some], similarity)
+            keys.append(key >> np.uint64(64 - 8 * MARK) << np.uint64(1) | asks)  # the lowest bit: only asks
             nodes.append(ids[some][at])
             n_held += len(some)
             if n_held >= DEALT:
-                yield blobs(np.concatenate(keys), np.concatenate(nodes), parts)
+                yield out()
                 keys, nodes, n_held = [], [], 0
         if keys:
-            yield blobs(np.concatenate(keys), np.concatenate(nodes), parts)
+            yield out()
         release()
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "part int, data binary")
 
 
+#: Postings that a task holds to drop keys that are only asked for; further ones are matched unfiltered.
+HELD = 1 << 22
+
+
+def _match_owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As simhash's match, without the keys that all their lines only ask for."""
+
+    def owned() -> Iterator[pa.RecordBatch]:
+        held, n, whole = [], 0, True
+
+        def out() -> pa.RecordBatch:
+            key, node = np.concatenate([np.cumsum(k, dtype=np.uint64) for k, _ in held]), np.concatenate([v for _, v in held])
+            held.clear()
+            asks, key = (key & np.uint64(1)).astype(bool), key >> np.uint64(1)
+            if whole:
+                order = np.argsort(key, kind="stable")
+                key, node, asks = key[order], node[order], asks[order]
+                begin = np.nonzero(np.diff(key, prepend=~key[:1]))[0]
+                goes = np.repeat(~np.logical_and.reduceat(asks, begin), np.diff(np.append(begin, len(key)))) if len(key) else asks
+                key, node = key[goes], node[goes]
+            else:
+                order = np.argsort(key, kind="stable")
+                key, node = key[order], node[order]
+            return pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([pack(steps_of(key), node)], pa.binary())], names=["part", "data"])
+
+        for batch in batches:
+            for blob in batch.column(1):
+                held.append(unpack(blob.as_py()))
+                n += len(held[-1][1])
+                if n >= HELD:
+                    whole, n = False, 0
+                    yield out()
+        if held:
+            yield out()
+
+    yield from _match(owned())
+
+
 def _doc(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
@@ -348,39 +426,126 @@ def distance_within(a: str, b: str, most: int) -> bool:
     return score <= most
 
 
-def _verify(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, similarity: float):
-    """Filters pairs of nodes (id, doc, pos) by the edit similarity of their lines."""
-
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=SLICE):
-            ids, said = [], []
-            for text, wanted in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                at = {w["pos"]: w["id"] for w in wanted}
-                for pos, line in said_lines(text) if text else ():
-                    if pos in at:
-                        ids.append(at[pos])
-                        said.append(line.decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(said, pa.string())], names=["id", "line"])
+#: Grams that pairs of lines are told apart by before their distance is taken, and the cells that they are counted in.
+GRAM, CELLS = 3, 512
+
+
+#: Code points that must agree for an alignment to go on, and how far ahead such a place is looked for.
+ANCHOR, AHEAD = 8, 24
+
+
+def edits_at_most(a: str, b: str, most: int) -> int:
+    """Edits of one alignment of two lines, so no fewer than their distance: it goes on where the next code points agree
+    again. Where none do, or over `most`, some number over `most`."""
+    i = j = spent = 0
+    while True:
+        step = 64
+        while step:
+            while a[i : i + step] == b[j : j + step] and i + step <= len(a) and j + step <= len(b):
+                i, j = i + step, j + step
+            step //= 4
+        if i >= len(a) or j >= len(b):
+            return spent + max(0, len(a) - i) + max(0, len(b) - j)
+        for ahead in range(1, AHEAD):
+            p, q = a[i + ahead : i + ahead + ANCHOR], b[j + ahead : j + ahead + ANCHOR]
+            if p == q:
+                i, j = i + ahead, j + ahead
+            elif p == b[j : j + ANCHOR]:
+                i += ahead
+            elif q == a[i : i + ANCHOR]:
+                j += ahead
+            else:
+                continue
+            spent += ahead
+            break
+        else:  # a passage that was put in, lost or replaced
+            for ahead in range(0, min(most - spent + 1, len(a) - i), ANCHOR):
+                at = b.find(a[i + ahead : i + ahead + 2 * ANCHOR], j, j + most - spent + 2 * ANCHOR)
+                if at >= 0:
+                    spent += max(ahead, at - j)
+                    i, j = i + ahead, at
+                    break
+            else:
+                return most + 1
+        if spent > most:
+            return spent
+
+
+def _far(p: list[str], q: list[str], most: np.ndarray) -> np.ndarray:
+    """Pairs that can't be within `most` edits: an edit takes and adds GRAM grams at most, each a difference of one."""
+    sums = []
+    for lines in (p, q):
+        points = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
+        sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+        grams = points[: max(0, len(points) - GRAM + 1)].copy()
+        for k in range(1, GRAM):
+            grams = grams * np.uint32(0x01000193) + points[k : k + len(grams)]
+        cell = (grams * np.uint32(0x9E3779B1) >> np.uint32(23)).astype(np.int64)
+        owner = np.repeat(np.arange(len(lines)), sizes)[: len(grams)]
+        within = np.arange(len(grams)) + GRAM <= np.repeat(np.cumsum(sizes), sizes)[: len(grams)]
+        sums.append(np.bincount((owner * CELLS + cell)[within], minlength=len(lines) * CELLS))
+    return np.abs(sums[0] - sums[1]).reshape(-1, CELLS).sum(1) > 2 * GRAM * most
+
+
+#: Bits of the filter that says which lines' texts may be wanted, and the shares it is put together in.
+FILTER, FILTER_SHARES = 1 << 26, 64
+
+
+def _wanted(ids: DataFrame) -> np.ndarray:
+    """Bits by the high bits of ids. Their number is fixed, so the driver takes 8 MB for any table; where they fill up, more
+    lines go out than are wanted, which joins drop."""
+    width = FILTER // FILTER_SHARES
+
+    def bits(group: pa.Table) -> pa.Table:
+        cells = np.zeros(width, bool)
+        cells[group.column("cell").to_numpy()] = True
+        return pa.table({"share": group.column("share")[:1], "bits": pa.array([np.packbits(cells, bitorder="little").tobytes()], pa.binary())})
+
+    high = F.shiftrightunsigned("id", 64 - (FILTER - 1).bit_length())
+    cells = ids.select((high / width).cast("int").alias("share"), (high % width).cast("int").alias("cell")).distinct()
+    out = np.zeros((FILTER_SHARES, width // 8), np.uint8)
+    for r in cells.groupBy("share").applyInArrow(bits, "share int, bits binary").collect():
+        out[r.share] = np.frombuffer(r.bits, np.uint8)
+    return out.reshape(-1)
+
+
+def _verify(spark: SparkSession, docs: DataFrame, text_col: str, similarity: float, keep: Written) -> tuple[Callable[[DataFrame], None], Callable[[DataFrame, Written], DataFrame]]:
+    """What takes the texts of candidates, once, and what filters pairs of nodes by the edit similarity of their lines."""
+    held: list[DataFrame] = []
+
+    def take(members: DataFrame) -> None:
+        wanted = spark.sparkContext.broadcast(_wanted(members))
+
+        def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits, done = wanted.value, set()
+            for batch in slices(batches, limit=SLICE):
+                lines = list(set(_said(batch.column(0).to_pylist())[2]))
+                ids = line_keys(lines)[:, 0]
+                high = ids.view(np.uint64) >> np.uint64(64 - (FILTER - 1).bit_length())
+                some = np.nonzero(bits[high >> np.uint64(3)] >> (high & np.uint64(7)).astype(np.uint8) & 1)[0]
+                some = [i for i, k in zip(some.tolist(), ids[some].tolist(), strict=True) if k not in done]
+                if len(done) > 4 * DEALT:
+                    done.clear()
+                done.update(ids[some].tolist())
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array([lines[i].decode("utf-8", "replace") for i in some], pa.string())], names=["id", "line"])
+
+        held.append(keep(docs.select(F.col(text_col).alias("text")).mapInArrow(texts, "id bigint, line string").dropDuplicates(["id"]), "texts"))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                longer = max(len(x), len(y))
-                ok.append(distance_within(x, y, int((1 - similarity) * longer + 1e-9)))
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                p, q = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+                most = np.array([int((1 - similarity) * max(len(x), len(y)) + 1e-9) for x, y in zip(p, q, strict=True)])
+                far = _far(p, q, most).tolist()
+                ok = [not f and (edits_at_most(x, y, m) <= m or distance_within(x, y, m)) for f, x, y, m in zip(far, p, q, most.tolist(), strict=True)]
+                yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     def verify(pairs: DataFrame, keep: Written) -> DataFrame:
-        wanted = keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
-        holders = nodes.join(wanted, "id", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("id", "pos")).alias("wanted"))
-        if wanted.count() <= SMALL:
-            holders = F.broadcast(holders)
-        rows = _named(docs, id_col, text_col).select("doc", "text").join(holders, "doc").select("doc", "text", "wanted")
-        held = keep(rows.mapInArrow(texts, "id bigint, line string").dropDuplicates(["id"]), "texts")
-        full = pairs.join(held.select(F.col("id").alias("a"), F.col("line").alias("p")), "a").join(held.select(F.col("id").alias("b"), F.col("line").alias("q")), "b")
-        return full.select("a", "b", "p", "q").mapInArrow(test, "a bigint, b bigint")
+        p, q = (held[0].select(F.col("id").alias(end), F.col("line").alias(line)) for end, line in (("a", "p"), ("b", "q")))
+        return pairs.join(p, "a").join(q, "b").select("a", "b", "p", "q").mapInArrow(test, "a bigint, b bigint")
 
-    return verify
+    return take, verify
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, keep: Written | None = None) -> DataFrame:
@@ -389,7 +554,7 @@ def duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     lines = keep(lines_of(docs, id_col, text_col, similarity), "lines")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("i"), "doc", "pos"))
     nodes = keep(lines.groupBy("key", "check").agg(*(F.min(c).alias(c) for c in ("n", "k0", "k1")), F.count("*").alias("copies"), first.alias("first")), "line-nodes")
-    fuzzy = nodes.where(_fuzzy(F.col("n"), similarity)).select(F.col("key").alias("id"), "n", "k0", "k1", "first.doc", "first.pos")
+    fuzzy = nodes.where(_fuzzy(F.col("n"), similarity)).select(F.col("key").alias("id"), "n", "k0", "k1")
 
     def near(x: str, y: str) -> Column:
         lo, hi = F.least(F.col(f"{x}n"), F.col(f"{y}n")), F.greatest(F.col(f"{x}n"), F.col(f"{y}n"))
@@ -400,7 +565,8 @@ def duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
                 moved = moved + F.abs(a - b)
         return (lo >= hi * similarity) & (moved <= 2 * F.floor(hi * (1 - similarity) + 1e-9))
 
-    found = links(spark, fuzzy.select("id", "n", "k0", "k1"), postings(spark, docs, id_col, text_col, similarity), near, _verify(docs, fuzzy, id_col, text_col, similarity), keep)
+    take, verify = _verify(spark, docs, text_col, similarity, keep)
+    found = links(spark, fuzzy.select("id", "n", "k0", "k1"), postings(spark, docs, id_col, text_col, similarity), near, verify, keep, take=take, match=_match_owned)
     linked = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
     group = F.when(F.col("component").isNull(), F.struct("key", "check")).otherwise(F.struct(F.col("component").alias("key"), F.lit(0).cast("bigint").alias("check")))
     grouped = nodes.join(linked, (nodes.key == linked.node) & _fuzzy(nodes.n, similarity), "left").select("key", "check", "copies", "first", group.alias("group"))

@@ -221,13 +221,14 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
 
 
-def links(spark: SparkSession, nodes: DataFrame, dealt: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame, Written], DataFrame] | None = None, keep: Written | None = None, known: DataFrame | None = None) -> DataFrame:
+def links(spark: SparkSession, nodes: DataFrame, dealt: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame, Written], DataFrame] | None = None, keep: Written | None = None, known: DataFrame | None = None, take: Callable[[DataFrame], None] | None = None, match: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] = _match) -> DataFrame:
     """(node, component) of nodes joined by verified links.
 
     nodes: id bigint, unique, and what near reads, written to a table; dealt: their postings, as blobs. Pairs that share a
     key are candidates if near(prefix a, prefix b) holds on their columns; verify, if given, filters pairs (a, b) further.
-    known: (node, component) linked already, of which no pair within a component is looked at again. Tables written on the
-    way are removed as soon as they are read."""
+    known: (node, component) linked already, of which no pair within a component is looked at again. take is given
+    the members of lists (key, id, ..) before pairs are verified; match turns blobs into (key, id) of lists. Tables written on
+    the way are removed as soon as they are read."""
     keep, own = keep or Written(spark), Written(spark)
     cols = nodes.columns
     if known is not None:
@@ -248,7 +249,9 @@ def links(spark: SparkSession, nodes: DataFrame, dealt: DataFrame, near: Callabl
     def named(df: DataFrame, prefix: str) -> DataFrame:
         return df.select(*(F.col(c).alias(prefix + c) for c in df.columns))
 
-    members = own(dealt.repartition(shares(spark) // 2, "part").mapInArrow(_match, "key bigint, id bigint").join(nodes, "id").select("key", *cols), "members")
+    members = own(dealt.repartition(shares(spark) // 2, "part").mapInArrow(match, "key bigint, id bigint").join(nodes, "id").select("key", *cols), "members")
+    if take:
+        take(members)
     heads = members.groupBy("key").agg(F.min(F.struct("id", *(c for c in cols if c != "id"))).alias("h"), F.count("*").alias("size"))
     apart = F.col("x_was") != F.col("y_was") if known is not None else F.col("x_id") != F.col("y_id")
     edges = paired(named(members, "x_"), named(heads.select("key", "h.*"), "y_"), (F.col("x_key") == F.col("y_key")) & apart, "stars")

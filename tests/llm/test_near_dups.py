@@ -316,3 +316,58 @@ def test_near_dedup_stage_links_by_simhash_first(spark, monkeypatch):
     assert [c[:2] for c in calls] == [(["id", "n", "fp"], False), (["id", "n"], True)]
     assert len(calls[0][2]) == len(close) and calls[0][2] <= calls[1][2]
     assert got == {2 * k for k in range(20)} | {100, 101}
+
+
+def test_line_pairs_are_told_apart_by_bounds_first():
+    """One alignment never takes fewer edits than the distance, and pairs whose grams are too far apart aren't similar. Both
+    decide some pairs, so that the distance is taken of the others alone."""
+    import random
+
+    from tests.llm.conftest import invented
+
+    r, pairs = random.Random(2), []
+    for k in range(600):
+        a = invented(k % 90, r.choice([1, 3, 10, 40, 120])).lower()
+        b = list(a if k % 4 else invented(k + 1000, 40).lower())
+        for _ in range(r.randrange(len(b) // (6 if k % 2 else 30) + 2)):
+            at = r.randrange(len(b) + 1)
+            b[at : at + r.choice([0, 1, 1, 9])] = r.choice(["", "é水", "𝄞", "a"])
+        pairs.append((a, "".join(b)))
+    pairs += [("", ""), ("", "a"), ("a" * 100, "a" * 91), ("long passage " * 40, "long passage " * 20 + "put in, of no use " + "long passage " * 20)]
+    most = np.array([int(0.1 * max(len(a), len(b)) + 1e-9) for a, b in pairs])
+    within = [lines.distance_within(a, b, m) for (a, b), m in zip(pairs, most.tolist(), strict=True)]
+    sure = [lines.edits_at_most(a, b, m) <= m for (a, b), m in zip(pairs, most.tolist(), strict=True)]
+    far = lines._far([a for a, _ in pairs], [b for _, b in pairs], most).tolist()
+    assert not any(s and not w for s, w in zip(sure, within, strict=True))
+    assert not any(f and w for f, w in zip(far, within, strict=True))
+    assert sum(sure) > 0.5 * sum(within) > 50 and sum(far) > 50
+
+
+def test_parts_that_are_only_asked_for_make_no_lists(monkeypatch):
+    """Two lines of 60 code points that hold a part of a shorter line at its place don't meet under it unless a line has it;
+    with one, they do. The same holds however few postings are held at once, but for lists that need not be there."""
+    import pyarrow as pa
+
+    from grainmill.llm.words import pack, steps_of
+
+    def met(key, asks, node):
+        key = np.array(key, np.uint64) << np.uint64(1) | np.array(asks, np.uint64)
+        order = np.argsort(key, kind="stable")
+        blob = pack(steps_of(key[order]), np.array(node)[order])
+        out = lines._match_owned(iter([pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([blob], pa.binary())], names=["part", "data"])]))
+        return sorted(x for b in out for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+
+    key, asks, node = [5, 5, 6, 6, 6, 7, 8, 8], [1, 1, 1, 0, 1, 0, 0, 0], [1, 2, 1, 3, 2, 1, 1, 4]
+    assert met(key, asks, node) == [(6, 1), (6, 2), (6, 3), (8, 1), (8, 4)]
+    assert met([], [], []) == []
+    monkeypatch.setattr(lines, "HELD", 1)
+    assert met(key, asks, node) == [(5, 1), (5, 2), (6, 1), (6, 2), (6, 3), (8, 1), (8, 4)]
+
+
+def test_line_texts_are_taken_by_a_filter_of_fixed_size(spark):
+    """All ids that are asked for are in, negative ones too, and others hardly."""
+    ids = [-1, 0, 1 << 62, -(1 << 63), 12345678901234567]
+    bits = lines._wanted(spark.createDataFrame([(i,) for i in ids * 2], "id bigint"))
+    high = np.array(ids).view(np.uint64) >> np.uint64(38)
+    assert len(bits) == lines.FILTER // 8 and int(np.unpackbits(bits).sum()) == len(set(high.tolist()))
+    assert all(int(bits[h >> 3]) >> (h & 7) & 1 for h in high.tolist())
