@@ -31,8 +31,8 @@ END = 1
 REMEMBERED = 1_000_000
 #: Words encoded by one call; their ids are told apart by the word-end mark.
 TOGETHER = 512
-#: A full stop or comma after a letter is a chunk of its own to the tokenizer as well.
-STOP = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D]|$)")
+#: A full stop or comma after a letter is a chunk of its own to the tokenizer as well. The mark comes first, as it is what is searched for.
+STOP = re.compile(rb"([.,])(?<=[a-z].)(?=[\x20\x09-\x0D]|$)")
 #: A capital that a mark may follow: the tokenizer composes the two before it lowers case.
 MARKED = re.compile(rb"[A-Z][\x80-\xff]")
 
@@ -91,7 +91,7 @@ class ChunkEncoder:
         for text in texts:
             if raw := text.encode() if text else b"":
                 if b"<|" not in raw:
-                    raw = b" ".join([c.lower() if c.isascii() else c for c in raw.split()]) if MARKED.search(raw) else raw.lower()
+                    raw = b" ".join([c.lower() if c.isascii() else c for c in raw.split()]) if not raw.isascii() and MARKED.search(raw) else raw.lower()
                     raw = STOP.sub(rb" \1", raw)
                 chunks += raw.split()
             chunks.append(b"")

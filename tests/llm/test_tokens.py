@@ -166,3 +166,20 @@ def test_each_occurrence_draws_its_own_segmentation():
         at += len(want)
         seen.add((word, tuple(want)))
     assert at == len(ids) and len({s for w, s in seen if w == " the"}) > 2 and len({s for w, s in seen if w == " international"}) > 4
+
+
+def test_marks_after_letters_are_cut_off_as_by_a_plain_reading():
+    """A stop or comma after a-z and before white space or the end; the pattern looks for the mark first."""
+    import random
+
+    from grainmill.llm.token_files import STOP
+
+    r = random.Random(1)
+    for _ in range(3000):
+        raw = "".join(r.choice("ab.,. \n\té1A") for _ in range(r.randrange(30))).encode()
+        want = b""
+        for i in range(len(raw)):
+            cut = raw[i] in b".," and i > 0 and 97 <= raw[i - 1] <= 122 and (i + 1 == len(raw) or raw[i + 1] in b" \t\n\x0b\x0c\r")
+            want += (b" " if cut else b"") + raw[i : i + 1]
+        assert STOP.sub(rb" \1", raw) == want
+    assert STOP.pattern.startswith(b"([.,])")
