@@ -21,7 +21,8 @@ Of lines under one key, pairs stay whose counts of characters in KINDS kinds dif
 (an edit moves two counts by one), which loses nothing either.
 
 Texts of candidates are taken in one pass over the documents, by a filter of fixed size. Pairs whose counts of grams are
-too far apart go, and those that one alignment shows to be close stay, before any distance is taken; neither changes a result.
+too far apart go, and those that one alignment shows to be close stay, and of the rest those go whose blocks are too far from
+all passages near their place, before any distance is taken; none of this changes a result.
 
 Candidates are verified by edit similarity alone, 1 - distance / longer length, on the normalised lines; of each
 connected group the first occurrence by (doc_id, document, line) stays and the others go. Lines too short for an edit
@@ -487,6 +488,63 @@ def _far(p: list[str], q: list[str], most: np.ndarray) -> np.ndarray:
     return np.abs(sums[0] - sums[1]).reshape(-1, CELLS).sum(1) > 2 * GRAM * most
 
 
+#: Code points of a block, bits of a number, and blocks worked on at once.
+BLOCK, LANES = 64, 8192
+#: Bytes of lines that are told apart at once.
+TOLD = 2 << 20
+#: Edits beyond which grams are counted instead, as blocks take time with the square of a line's length.
+LONG = 300
+
+
+def _ends(steps: np.ndarray) -> tuple[list[int], list[int]]:
+    """From sorted numbers of steps: the first that goes on, and for how many steps more until another one ends."""
+    until, first = np.unique(steps, return_index=True)
+    return first.tolist(), np.diff(until, prepend=0).tolist()
+
+
+def _apart(p: list[str], q: list[str], most: np.ndarray) -> np.ndarray:
+    """Pairs that can't be within `most` edits by blocks of p's lines: of each, the least distance to any passage of q's line
+    within `most` code points of its place (Myers' bit vectors, a block to a number, all blocks side by side). Blocks don't
+    overlap, so the sum is no more than the distance; nor do code points that go by the same five bits add to it."""
+    x, y = (np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32) & np.uint32(31) for lines in (p, q))
+    n, m = (np.fromiter(map(len, lines), np.int64, len(lines)) for lines in (p, q))
+    blocks = -(-n // BLOCK)
+    pair = np.repeat(np.arange(len(p)), blocks)
+    at = (np.arange(len(pair)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * BLOCK
+    begin, size = (np.cumsum(n) - n)[pair] + at, np.minimum(n[pair] - at, BLOCK)
+    lo, hi = np.maximum(at - most[pair], 0), np.minimum(at + size + most[pair], m[pair])
+    reach, lo = np.maximum(hi - lo, 0), np.minimum(lo, m[pair]) + (np.cumsum(m) - m)[pair]
+    least = np.zeros(len(pair), np.int64)
+    one, order = np.uint64(1), np.argsort(reach, kind="stable")
+    for cut in range(0, len(order), LANES):
+        lanes = order[cut : cut + LANES]
+        row, spare = np.arange(len(lanes)) * 32, BLOCK - size[lanes]
+        # Bits below a block that is shorter match anything at no cost, so the last code point is the highest bit of each.
+        plus = ~np.uint64(0) << np.minimum(spare, BLOCK - 1).astype(np.uint64)
+        masks = np.repeat(~plus, 32)
+        for i in range(BLOCK):
+            some = np.nonzero(size[lanes] > i)[0]
+            masks[row[some] + x[begin[lanes[some]] + i]] |= one << (spare[some] + i).astype(np.uint64)
+        minus, score, best = np.zeros(len(lanes), np.uint64), size[lanes].copy(), size[lanes].copy()
+        place, steps = lo[lanes].copy(), reach[lanes]
+        for live, times in zip(*_ends(steps), strict=True):  # lanes before `live` are at their end
+            a, b, rows, places, now, low = plus[live:], minus[live:], row[live:], place[live:], score[live:], best[live:]
+            for _ in range(times):
+                eq = masks.take(rows + y.take(places))
+                places += 1
+                diag = (((eq & a) + a) ^ a) | eq
+                down, up = a & diag, b | ~(diag | a)
+                now += (down.view(np.int64) >> 63) - (up.view(np.int64) >> 63)
+                np.minimum(low, now, out=low)
+                up <<= one
+                down <<= one
+                eq |= b
+                np.bitwise_and(up, eq, out=b)
+                np.bitwise_or(down, ~(eq | up), out=a)
+        least[lanes] = best
+    return np.bincount(pair, least, minlength=len(p)) > most
+
+
 #: Bits of the filter that says which lines' texts may be wanted, and the shares it is put together in.
 FILTER, FILTER_SHARES = 1 << 26, 64
 
@@ -509,6 +567,31 @@ def _wanted(ids: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
+def _similar(p: list[str], q: list[str], most: np.ndarray) -> np.ndarray:
+    """Which pairs are within `most` edits. The distance is taken of those alone that no bound decides."""
+    ok, long = np.zeros(len(p), bool), most > LONG
+    for bound, some in ((_far, np.nonzero(long)[0]), (_apart, np.nonzero(~long)[0])):
+        sure = np.array([edits_at_most(p[i], q[i], int(most[i])) <= most[i] for i in some.tolist()], bool)
+        ok[some[sure]] = True
+        some = some[~sure]
+        if len(some):
+            some = some[~bound([p[i] for i in some.tolist()], [q[i] for i in some.tolist()], most[some])]
+        ok[some] = [distance_within(p[i], q[i], int(most[i])) for i in some.tolist()]
+    return ok
+
+
+def _maybe(spark: SparkSession, ids: DataFrame) -> Callable[[Column], Column]:
+    """Whether an id may be among `ids`, by the filter of fixed size."""
+    wanted = spark.sparkContext.broadcast(_wanted(ids))
+
+    @F.arrow_udf("boolean")
+    def test(ids: pa.Array) -> pa.Array:
+        high = ids.to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - (FILTER - 1).bit_length())
+        return pa.array((wanted.value[high >> np.uint64(3)] >> (high & np.uint64(7)).astype(np.uint8) & 1).astype(bool))
+
+    return test
+
+
 def _verify(spark: SparkSession, docs: DataFrame, text_col: str, similarity: float, keep: Written) -> tuple[Callable[[DataFrame], None], Callable[[DataFrame, Written], DataFrame]]:
     """What takes the texts of candidates, once, and what filters pairs of nodes by the edit similarity of their lines."""
     held: list[DataFrame] = []
@@ -532,14 +615,10 @@ def _verify(spark: SparkSession, docs: DataFrame, text_col: str, similarity: flo
         held.append(keep(docs.select(F.col(text_col).alias("text")).mapInArrow(texts, "id bigint, line string").dropDuplicates(["id"]), "texts"))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                p, q = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-                most = np.array([int((1 - similarity) * max(len(x), len(y)) + 1e-9) for x, y in zip(p, q, strict=True)])
-                far = _far(p, q, most).tolist()
-                ok = [not f and (edits_at_most(x, y, m) <= m or distance_within(x, y, m)) for f, x, y, m in zip(far, p, q, most.tolist(), strict=True)]
-                yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+        for batch in slices(batches, "p", TOLD):
+            p, q = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            most = np.array([int((1 - similarity) * max(len(x), len(y)) + 1e-9) for x, y in zip(p, q, strict=True)], np.int64)
+            yield batch.select([0, 1]).filter(pa.array(_similar(p, q, most), pa.bool_()))
 
     def verify(pairs: DataFrame, keep: Written) -> DataFrame:
         p, q = (held[0].select(F.col("id").alias(end), F.col("line").alias(line)) for end, line in (("a", "p"), ("b", "q")))
@@ -590,7 +669,9 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
 
     # The split stands in an array of one, so that the lambda sees its value and not the expression.
     without = F.transform(F.array(F.split(text, "\n", -1)), kept)[0]
-    out = wide.join(gone, "doc", "left")
+    may_lose = _maybe(spark, gone.select(F.col("doc").alias("id")))(F.col("doc"))
+    # Texts of documents that lose nothing aren't shuffled.
+    out = wide.where(may_lose).join(gone, "doc", "left").unionByName(wide.where(~may_lose).withColumn("gone", F.lit(None).cast("array<bigint>")))
     cols = [F.when(F.col("gone").isNull(), text).otherwise(without).alias(c) if c == text_col else F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
     n_lines = F.when(F.coalesce(text, F.lit("")) == "", F.lit(0)).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
     more = [n_lines.cast("bigint").alias("n_lines"), F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("bigint").alias("n_gone")] if count else []

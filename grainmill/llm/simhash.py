@@ -88,6 +88,8 @@ def _combos(min_shared: int, width: int = 3) -> list[tuple[int, ...]]:
 Keys = Callable[[dict[str, np.ndarray]], Iterator[np.ndarray | tuple[np.ndarray, np.ndarray]]]
 #: Bytes of a key in a column of marks, and what sets such keys apart from others.
 MARK, MARKED = 5, 1 << 41
+#: Keys of open lists by which pairs that share several are told.
+LEAST = 8
 #: Nodes whose postings a task deals out at once, and postings that it matches at once.
 DEALT, MATCHED = 1 << 16, 1 << 20
 
@@ -145,8 +147,9 @@ def shares(spark: SparkSession) -> int:
 
 
 def posted(spark: SparkSession, nodes: DataFrame, prints: list[str], keys: Keys) -> DataFrame:
-    """Dealt postings of nodes (id, prints). keys gives posting keys from arrays of the prints, an array per posting."""
-    return nodes.select("id", *prints).repartition(shares(spark) // 2, "id").mapInArrow(_deal(prints, keys, shares(spark)), "part int, data binary")
+    """Dealt postings of nodes (id, prints), by the tasks that hold them. keys gives posting keys from arrays of
+    the prints, an array per posting."""
+    return nodes.select("id", *prints).mapInArrow(_deal(prints, keys, shares(spark)), "part int, data binary")
 
 
 def _deal(prints: list[str], keys: Keys, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -266,8 +269,13 @@ def links(spark: SparkSession, nodes: DataFrame, dealt: DataFrame, near: Callabl
     mixed = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     open_lists = own(marked.join(mixed, "key", "left_semi").distinct(), "open")
     own.drop(marked)
+    once = F.lit(True)
+    if verify:  # a pair under several keys is wanted once: under the least of those that are among the first keys of both
+        some = open_lists.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("key")), 1, LEAST).alias("least"))
+        open_lists = own(open_lists.join(some, "id"), "open-keys")
+        once = F.coalesce(F.array_min(F.array_intersect("x_least", "y_least")), F.col("x_key")) >= F.col("x_key")
     x, y = named(open_lists, "x_"), named(open_lists, "y_")
-    second = paired(x, y, (F.col("x_key") == F.col("y_key")) & (F.col("x_component") < F.col("y_component")), "across")
+    second = paired(x, y, (F.col("x_key") == F.col("y_key")) & (F.col("x_component") < F.col("y_component")) & once, "across")
     out = keep(components(spark, edges.unionByName(second), own) if second.limit(1).count() else found, "links")
     own.only()
     return out
@@ -285,7 +293,7 @@ def hamming_components(spark: SparkSession, fps: DataFrame, max_bits: int = 4, k
     keep = keep or Written(spark)
     nodes = keep(fps.groupBy("fp").agg(F.min("id").alias("id")).where("id is not null"), "nodes").select("id", "fp")
     keys, enough = by_bytes(["fp"], BYTES - max_bits)
-    found = links(spark, nodes, posted(spark, nodes, ["fp"], keys), lambda x, y: enough(x, y) & _close(x, y, max_bits), keep=keep)
+    found = links(spark, nodes, posted(spark, nodes.repartition(shares(spark) // 2, "id"), ["fp"], keys), lambda x, y: enough(x, y) & _close(x, y, max_bits), keep=keep)
     return nodes.join(found, nodes.id == found.node, "left").select("fp", F.coalesce("component", "id").alias("component"))
 
 
@@ -341,7 +349,7 @@ def _commonness(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: float, levels) -> DataFrame:
-    """(id, key, n, fp, marks): key identifies the sequence of words, n counts distinct shingles, fp is their SimHash as
+    """(id, key, n, fp, marks, tally): key identifies the sequence of words, n counts distinct shingles, fp is their SimHash as
     `fingerprints` makes it, marks are those of the prefix: the n - ceil(threshold * n) + 1 shingles that come first, rare ones before common ones. Two sets whose
     Jaccard similarity reaches the threshold share one, whatever the order is, as long as it is the same for all."""
 
@@ -352,18 +360,41 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, width: int, threshold
                 h = _shingle_hashes(t, width)
                 first = h[np.argsort(levels.value[_cell(h)], kind="stable")[: len(h) - int(np.ceil(threshold * len(h) - 1e-9)) + 1]]
                 words = words_of(t)
-                rows.append([xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63), len(h), fingerprint(hashes(shingles(words, 4), 42)), marks_of(first)])
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True))], names=["id", "key", "n", "fp", "marks"])
+                rows.append([xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63), len(h), fingerprint(hashes(shingles(words, 4), 42)), marks_of(first), tally(h)])
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True))], names=["id", "key", "n", "fp", "marks", "tally"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id bigint, key bigint, n bigint, fp bigint, marks binary")
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id bigint, key bigint, n bigint, fp bigint, marks binary, tally binary")
 
 
 #: Ids of texts to verify that are broadcast at most; beyond, they are joined by shuffle.
 SMALL = 200_000
+#: Cells of a byte that the shingles of one text are counted in.
+TALLY = 128
 
 
-def _jaccard_filter(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: float) -> Callable[[DataFrame, Written], DataFrame]:
+def tally(h: np.ndarray) -> bytes:
+    """How many of a text's distinct shingles fall into each cell, up to 255."""
+    return np.minimum(np.bincount((h >> np.uint64(57)).astype(np.int64), minlength=TALLY), 255).astype(np.uint8).tobytes()
+
+
+def _may_link(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of (a, b, p, m, q, n), tallies and counts of shingles, the pairs (a, b) that may reach the threshold. Tallies differ by no
+    more than the sets do, and those of a link by (1 - threshold) / (1 + threshold) of both sizes at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, TALLY).astype(np.int16) for c in (2, 4))
+            both = batch.column(3).to_numpy() + batch.column(5).to_numpy()
+            apart = np.abs(p - q).sum(1, dtype=np.int64)
+            yield batch.select([0, 1]).filter(pa.array(apart <= (1 - threshold) / (1 + threshold) * both + 1e-6, pa.bool_()))
+
+    return run
+
+
+def _jaccard_filter(docs: DataFrame, tallies: DataFrame, id_col: str, text_col: str, width: int, threshold: float) -> Callable[[DataFrame, Written], DataFrame]:
+    """Filters pairs by their shingle sets; tallies (id, n, tally) tell most of the others apart before texts are read."""
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             held = [np.unique(hashes(shingles(words_of(t), width), 0)).tobytes() for t in batch.column(1).to_pylist()]
@@ -379,6 +410,8 @@ def _jaccard_filter(docs: DataFrame, id_col: str, text_col: str, width: int, thr
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     def verify(pairs: DataFrame, keep: Written) -> DataFrame:
+        x, y = (tallies.select(F.col("id").alias(end), F.col("tally").alias(t), F.col("n").alias(n)) for end, t, n in (("a", "p", "m"), ("b", "q", "n")))
+        pairs = keep(pairs.join(x, "a").join(y, "b").select("a", "b", "p", "m", "q", "n").mapInArrow(_may_link(threshold), "a bigint, b bigint"), "likely")
         named = keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "named")
         few = F.broadcast(named) if named.count() <= SMALL else named
         texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(few, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(sets, "id bigint, held binary")
@@ -393,13 +426,13 @@ def near_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
 
     SimHashes that differ in at most max_bits bits are found first, by the byte-position index. For links that SimHash
     doesn't see, texts of different groups so far are candidates if they share a shingle of their prefixes, which no link
-    lacks. Every candidate of either index is verified on its shingle sets.
+    lacks. Every candidate of either index is verified on its shingle sets, unless counts of its shingles tell that it is no link.
     Texts of equal words are one node. Rows with a null id keep a null component unless their words equal those of a row
     with one. Null and empty texts are one node, as they have equal (no) words."""
     keep = Written(spark)
     levels = spark.sparkContext.broadcast(_commonness(docs, text_col, width))
     rows = keep(_sketches(docs, id_col, text_col, width, threshold, levels), "sketches")
-    nodes = keep(rows.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("marks").alias("marks")).where("id is not null"), "nodes")
+    nodes = keep(rows.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("marks").alias("marks"), F.first("tally").alias("tally")).where("id is not null"), "nodes")
     named = keep(rows.select("id", "key"), "keys")
     keep.drop(rows)
 
@@ -409,7 +442,7 @@ def near_texts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     def keys(nodes: dict[str, list[bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield by_marks(nodes["marks"])
 
-    verify = _jaccard_filter(docs, id_col, text_col, width, threshold)
+    verify = _jaccard_filter(docs, nodes.select("id", "n", "tally"), id_col, text_col, width, threshold)
     by_fp, enough = by_bytes(["fp"], BYTES - max_bits)
     close = links(spark, nodes.select("id", "n", "fp"), posted(spark, nodes, ["fp"], by_fp), lambda x, y: enough(x, y) & _close(x, y, max_bits) & near(x, y), verify, keep)
     found = links(spark, nodes.select("id", "n"), posted(spark, nodes, ["marks"], keys), near, verify, keep, known=close)

@@ -371,3 +371,87 @@ def test_line_texts_are_taken_by_a_filter_of_fixed_size(spark):
     high = np.array(ids).view(np.uint64) >> np.uint64(38)
     assert len(bits) == lines.FILTER // 8 and int(np.unpackbits(bits).sum()) == len(set(high.tolist()))
     assert all(int(bits[h >> 3]) >> (h & 7) & 1 for h in high.tolist())
+
+
+def test_texts_are_told_apart_by_tallies_of_shingles_first(spark, monkeypatch):
+    """No link fails the test by tallies, most other pairs of a size do, and texts that share a rare passage alone, so that the
+    prefix index makes them candidates, are never read for their shingle sets."""
+    import pyarrow as pa
+
+    from tests.llm.conftest import invented
+
+    texts = [invented(k, 300).split() for k in range(40)]
+    pairs = [(a, a[:at] + invented(500 + at, 12).split() + a[at + 12 :]) for a in texts for at in (5, 100)] + [(a, b) for a, b in combinations(texts[:20], 2)]
+    pairs += [(["a"], ["a"]), ([], []), (["b"] * 3, ["a"]), (texts[0], texts[0][:245])]
+    sets = [[simhash._shingle_hashes(" ".join(x), 5) for x in p] for p in pairs]
+    cols = [[i for i in range(len(sets))], [-i for i in range(len(sets))], [simhash.tally(p) for p, _ in sets], [len(p) for p, _ in sets], [simhash.tally(q) for _, q in sets], [len(q) for _, q in sets]]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=list("abpmqn"))
+    stay = {i for b in simhash._may_link(0.8)(iter([batch])) for i in b.column(0).to_pylist()}
+    linked = {i for i, (p, q) in enumerate(sets) if len(np.intersect1d(p, q)) >= 0.8 * len(np.union1d(p, q))}
+    assert len(linked) > 80 and linked <= stay and len(stay - linked) < 0.1 * (len(sets) - len(linked))
+
+    passage = invented(9000, 30)
+    rows = [(k, invented(9100 + k, 150) + " " + passage + " " + invented(9200 + k, 150)) for k in range(12)] + [(20, invented(9100, 150) + " " + passage + " " + invented(9200, 150) + " more")]
+    asked, real = [], simhash.Written.__call__
+
+    def spied(self, df, name, codec="zstd"):
+        out = real(self, df, name, codec)
+        asked.extend(out.collect() if name == "likely" else [])
+        return out
+
+    monkeypatch.setattr(simhash.Written, "__call__", spied)
+    got = {r.id: r.component for r in simhash.near_texts(spark, spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    assert got == {k: k for k in range(12)} | {20: 0}
+    assert {(r.a, r.b) for r in asked} == {(20, 0)}
+
+
+def test_line_pairs_are_told_apart_by_their_blocks():
+    """Blocks never add up to more than the distance, whatever the lengths and scripts, and decide most pairs of near lines that
+    are just too far apart; the verdict is that of the distance."""
+    import random
+
+    from tests.llm.conftest import invented
+
+    r, pairs = random.Random(4), []
+    for k in range(400):
+        words = invented(4000 + k, r.choice([1, 4, 12, 40, 90])).lower().split()
+        other = [w if r.random() > (0.07 if k % 3 else 0.2) else r.choice(["é水", "zuqo", "gehtu ka", "", "𝄞"]) for w in words]
+        if k % 5 == 0:
+            other = [*words[len(words) // 4 :], *other[: len(words) // 4]]
+        pairs.append((" ".join(words), " ".join(other)))
+    pairs += [("", ""), ("", "a"), ("a", ""), ("a" * 64, "a" * 64), ("a" * 65, "b" * 65), ("ab" * 64, "ba" * 64), ("x" * 4000, "x" * 3600), ("x" * 4000, "x" * 3599)]
+    p, q = ([x[k] for x in pairs] for k in (0, 1))
+    most = np.array([int(0.1 * max(len(a), len(b)) + 1e-9) for a, b in pairs])
+    within = np.array([lines.distance_within(a, b, m) for a, b, m in zip(p, q, most.tolist(), strict=True)])
+    apart = lines._apart(p, q, most)
+    assert not (apart & within).any() and apart.sum() > 0.7 * (~within).sum() > 50
+    assert (lines._similar(p, q, most) == within).all()
+    assert len(lines._similar([], [], np.zeros(0, np.int64))) == 0
+
+
+def test_a_pair_under_many_keys_is_looked_at_once(spark, monkeypatch):
+    """Twelve nodes that meet under twelve keys, of which the even ones are linked first: the 51 pairs across groups come out of
+    the join once each, not twelve times, and none is missing."""
+    from grainmill.llm.words import pack, steps_of
+    from grainmill.session import Written
+
+    nodes = Written(spark)(spark.createDataFrame([(i, 1) for i in range(12)], "id bigint, n bigint"), "nodes")
+    blob = pack(steps_of(np.repeat(np.arange(12), 12).astype(np.uint64)), np.tile(np.arange(12), 12))
+    dealt = spark.createDataFrame([(0, bytearray(blob))], "part int, data binary")
+    kind, made, asked = type(nodes), [], []
+    real = kind.distinct
+
+    def spied(self):
+        if self.columns == ["a", "b"]:
+            made.append(self.count())
+        return real(self)
+
+    def verify(pairs, keep):
+        asked.append({(r.a, r.b) for r in pairs.collect()})
+        return pairs.where("b = 0 and a % 2 = 0") if len(asked) == 1 else pairs
+
+    monkeypatch.setattr(kind, "distinct", spied)
+    found = {r.node: r.component for r in simhash.links(spark, nodes, dealt, lambda x, y: F.lit(True), verify).collect()}
+    assert asked[1] == {(a, b) for a in range(12) for b in range(a) if a % 2 or b % 2}
+    assert 51 in made and 51 * 12 not in made
+    assert {found.get(i, i) for i in range(12)} == {0}
