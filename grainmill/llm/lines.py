@@ -20,9 +20,9 @@ indexes:
 Of lines under one key, pairs stay whose counts of characters in KINDS kinds differ by no more than that many edits can
 (an edit moves two counts by one), which loses nothing either.
 
-Texts of candidates are taken in one pass over the documents, by a filter of fixed size. Pairs whose counts of grams are
-too far apart go, and those that one alignment shows to be close stay, and of the rest those go whose blocks are too far from
-all passages near their place, before any distance is taken; none of this changes a result.
+Texts of candidates are taken in one pass over the documents, by a filter of fixed size. Pairs that one alignment shows to be
+close stay; of the rest those go whose blocks are too far from all passages near their place or, in very long lines, whose
+counts of grams are too far apart, before any distance is taken. None of this changes a result.
 
 Candidates are verified by edit similarity alone, 1 - distance / longer length, on the normalised lines; of each
 connected group the first occurrence by (doc_id, document, line) stays and the others go. Lines too short for an edit
